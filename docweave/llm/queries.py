@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
 from docweave.llm.best_fit import op1_best_fit_packing
+from docweave.llm.edit_fingerprints import op4_edit_fingerprints
 from docweave.llm.exact_topk import op9_exact_topk
 from docweave.llm.line_dedup import op3_line_dedup
 from docweave.llm.minhash import op10_minhash_near_dedup
 from docweave.llm.mixing import op5_mix_sources
 
-_ALL = (op1_best_fit_packing, op3_line_dedup, op5_mix_sources, op9_exact_topk, op10_minhash_near_dedup)
+_ALL = (op1_best_fit_packing, op3_line_dedup, op4_edit_fingerprints, op5_mix_sources, op9_exact_topk, op10_minhash_near_dedup)
 
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
