@@ -9,9 +9,12 @@ How it stays bounded:
 * Documents with equal shingle sets become one node first, so a group of exact
   copies is a single row in everything that follows.
 * A bucket of a band is never expanded into its pairs. Each member is paired
-  with the bucket's least node. When the components of these confirmed links are
-  known, only members of one bucket that lie in *different* components are
-  compared, so no link is lost and none inside a component is spelt out.
+  with the bucket's leader, the node that meets most others. When the components
+  of these confirmed links are known, only members of one bucket that lie in
+  *different* components are compared, so no link is lost and none inside a
+  component is spelt out. Of those, pairs that cannot reach the threshold are
+  left out by an exact bound from their sizes and from the shingles that only
+  one document has.
 * Signatures only rule out pairs far below the threshold (by ``SLACK``, six
   standard errors); each surviving pair is confirmed on the full sets.
 """
@@ -173,27 +176,36 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     signed = scratch.save(chosen.dropDuplicates(["set_id"]).select("set_id", "n_shingles", "signature", "bands"), "signed")
 
     buckets = signed.select("set_id", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("set_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = scratch.save(buckets.join(leaders, "band"), "shared")
-
-    tested = shared.where("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
+    several = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(buckets.join(several, "band"), "shared")
+    # The node that meets most others leads its bucket: of a family of copies that is one with few edits.
+    weight = shared.groupBy("set_id").agg(F.sum("n").alias("weight"))
+    led = shared.join(weight, "set_id").groupBy("band").agg(F.max(F.struct("weight", "set_id")).alias("best")).select("band", F.col("best.set_id").alias("leader"))
+    tested = shared.join(led, "band").where("set_id <> leader").select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct()
     tested = scratch.save(_likely_pairs(tested, signed, percent), "likely")
-    linked = scratch.save(_confirmed_pairs(scratch, docs, rows, nodes, tested, n_words, percent, "first"), "linked")
+    sets = scratch.save(_sets_of(docs, nodes, tested, n_words), "sets")
+    linked = _confirmed_pairs(sets, tested, percent)
     labels = scratch.save(components(scratch, linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
-    # Members of a bucket that are not yet in one component.
+    # Members of a bucket that are not yet in one component. A shingle that only one of the documents with known sets has
+    # cannot be in the intersection of two of these, which rules out most pairs of a family's far ends.
     members = shared.join(labels, shared.set_id == labels.node, "left").select("band", "set_id", F.coalesce("component", "set_id").alias("label"))
     mixed = members.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("band")
-    apart = scratch.save(members.join(mixed, "band", "left_semi"), "apart")
-    x, y = (apart.select("band", F.col("set_id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-    sizes_a, sizes_b = (signed.select(F.col("set_id").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    cross = x.join(sizes_a, "a").join(y.join(sizes_b, "b"), "band").where(f"label_a < label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    sizes = signed.select(F.col("set_id").alias("_s"), "n_shingles").join(_single_shingles(sets), "_s", "left").select("_s", "n_shingles", (F.col("n_shingles") - F.coalesce("singles", F.lit(0))).alias("common"), F.col("singles").isNotNull().alias("known"))
+    apart = scratch.save(members.join(mixed, "band", "left_semi").join(sizes, F.col("set_id") == F.col("_s")).drop("_s"), "apart")
+    x, y = (apart.select("band", F.col("set_id").alias(c), F.col("label").alias(f"label_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("common").alias(f"common_{c}"), F.col("known").alias(f"known_{c}")) for c in "ab")
+    most = F.when(F.col("known_a") & F.col("known_b"), F.least("common_a", "common_b")).otherwise(F.least("n_a", "n_b"))
+    may_reach = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    cross = x.join(y, "band").where((F.col("label_a") < F.col("label_b")) & may_reach)
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     further = scratch.save(_likely_pairs(cross, signed, percent), "further")
     if not further.isEmpty():
-        found = _confirmed_pairs(scratch, docs, rows, nodes, further, n_words, percent, "second")
-        linked = scratch.save(linked.unionByName(found), "all_linked")
-        labels = scratch.save(components(scratch, linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "again"), "all_labels")
+        of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}")) for c in "ab")
+        found = _confirmed_pairs(scratch.save(_sets_of(docs, nodes, further, n_words), "more_sets"), further, percent)
+        found = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("label_a", "a").alias("u"), F.coalesce("label_b", "b").alias("v"))
+        merged = components(scratch, found, "again").withColumnsRenamed({"node": "_node", "component": "_component"})
+        whole = labels.select("node", "component").unionByName(merged.select(F.col("_node").alias("node"), F.col("_node").alias("component"))).dropDuplicates(["node"])
+        labels = scratch.save(whole.join(merged, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component")), "all_labels")
 
     named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
     named = scratch.save(named, "named")
@@ -213,17 +225,35 @@ def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100), "a long, b long")
 
 
-def _confirmed_pairs(scratch: Scratch, docs: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int, percent: int, name: str) -> DataFrame:
-    """The pairs whose full sets are alike enough. Only documents in a pair have their texts read into sets."""
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int) -> DataFrame:
+    """``set_id, members``: the full sets of the nodes in ``pairs``. Only documents in a pair have their texts read into sets."""
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = nodes.join(needed, "set_id").select("set_id", "doc_id")
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("set_id", "text")
-    sets = texts.mapInArrow(_sets(n_words), "set_id long, members binary").dropDuplicates(["set_id"])
-    sets = scratch.save(sets, f"sets_{name}")
+    wanted = nodes.join(needed, "set_id").select("set_id", F.col("doc_id").alias("one_id"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id"))).select("set_id", "text")
+    return texts.mapInArrow(_sets(n_words), "set_id long, members binary").dropDuplicates(["set_id"])
+
+
+def _confirmed_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
     a, b = (sets.select(F.col("set_id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
     return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _single_shingles(sets: DataFrame) -> DataFrame:
+    """``_s, singles``: how many shingles of each set are in no other of these sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, raw in zip(batch.column("set_id").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+                wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+                values = wide.view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), one)), pa.array(values)], names=["_s", "shingle"])
+
+    owners = sets.mapInArrow(run, "_s long, shingle long").groupBy("shingle").agg(F.min("_s").alias("_s"), F.count("*").alias("n"))
+    return owners.groupBy("_s").agg(F.sum((F.col("n") == 1).cast("long")).alias("singles")).unionByName(sets.select(F.col("set_id").alias("_s"), F.lit(0).cast("long").alias("singles"))).groupBy("_s").agg(F.sum("singles").alias("singles"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, two-word shingles, similarity 0.8."""
     return near_duplicates(documents(spark, sf_dir), n_words=2, percent=80)
