@@ -5,10 +5,11 @@ from docweave.llm.disclosure import op7_disclosure
 from docweave.llm.edit_fingerprints import op4_edit_fingerprints
 from docweave.llm.exact_topk import op9_exact_topk
 from docweave.llm.line_dedup import op3_line_dedup
+from docweave.llm.lm_scoring import op8_lm_scoring
 from docweave.llm.minhash import op10_minhash_near_dedup
 from docweave.llm.mixing import op5_mix_sources
 
-_ALL = (op1_best_fit_packing, op3_line_dedup, op4_edit_fingerprints, op5_mix_sources, op7_disclosure, op9_exact_topk, op10_minhash_near_dedup)
+_ALL = (op1_best_fit_packing, op3_line_dedup, op4_edit_fingerprints, op5_mix_sources, op7_disclosure, op8_lm_scoring, op9_exact_topk, op10_minhash_near_dedup)
 
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
