@@ -1,9 +1,66 @@
-"""The corpus pipeline: five stages, each one of the operators of ``docweave.llm``."""
+"""The corpus pipeline: five stages, each one of the operators of ``docweave.llm``.
 
-STAGES: list = []
+Each stage takes the session, the rows that the stage before it kept, and the
+folder of the tables. ``run`` writes each stage's rows as Parquet into the
+folder that the cluster shares, and the next stage reads them again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.llm.best_fit import pack_documents
+from docweave.llm.common import Scratch, documents
+from docweave.llm.line_dedup import dedup_lines
+from docweave.llm.minhash import near_duplicates
+from docweave.llm.mixing import mix_sources
+from docweave.llm.quality import classify
+
+#: Word shingles and similarity of near duplicates.
+SHINGLE_WORDS, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later occurrences of repeated three-line windows; those with nothing left go."""
+    cleaned = dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | (F.trim("text") != "")
+    return cleaned.where(left).select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    found = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select("doc_id").distinct()
+    unique = docs.join(found, "doc_id", "left_anti")
+    return unique.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows of each document as the mix takes copies."""
+    mixed = mix_sources(docs).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins that hold the documents."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("near_dedup", near_dedup), ("mixing", mixing), ("best_fit_packing", packing)]
+#: SQL cannot train the classifier or reproduce the hashes; tests hold ``run`` against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply all stages to the documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

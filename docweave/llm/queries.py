@@ -8,8 +8,10 @@ from docweave.llm.line_dedup import op3_line_dedup
 from docweave.llm.lm_scoring import op8_lm_scoring
 from docweave.llm.minhash import op10_minhash_near_dedup
 from docweave.llm.mixing import op5_mix_sources
+from docweave.llm.quality import op6_quality_classifier
+from docweave.llm.token_packing import op2_token_packing
 
-_ALL = (op1_best_fit_packing, op3_line_dedup, op4_edit_fingerprints, op5_mix_sources, op7_disclosure, op8_lm_scoring, op9_exact_topk, op10_minhash_near_dedup)
+_ALL = (op1_best_fit_packing, op2_token_packing, op3_line_dedup, op4_edit_fingerprints, op5_mix_sources, op6_quality_classifier, op7_disclosure, op8_lm_scoring, op9_exact_topk, op10_minhash_near_dedup)
 
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
