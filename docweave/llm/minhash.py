@@ -10,11 +10,9 @@ How it stays bounded:
   copies is a single row in everything that follows.
 * A bucket of a band is never expanded into its pairs. Each member is paired
   with the bucket's leader, the node that meets most others. When the components
-  of these confirmed links are known, only members of one bucket that lie in
-  *different* components are compared, so no link is lost and none inside a
-  component is spelt out. Of those, pairs that cannot reach the threshold are
-  left out by an exact bound from their sizes and from the shingles that only
-  one document has.
+  of these confirmed links are known, only members of one leader's group that lie
+  in *different* components are compared, block by block within tasks, so no link
+  is lost, none inside a component is spelt out, and only links leave a task.
 * Signatures only rule out pairs far below the threshold (by ``SLACK``, six
   standard errors); each surviving pair is confirmed on the full sets.
 """
@@ -37,6 +35,8 @@ BANDS, ROWS = 40, 5
 SLACK = 0.17
 #: Bytes of a shingle's hash in the sets that are compared.
 SET_BYTES = 6
+#: Nodes of a group that are compared in one task.
+BLOCK = 2000
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,6 +114,12 @@ def _sets(n_words: int):
     return run
 
 
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+    wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+    return wide.view(np.uint64).ravel()
+
+
 def _likely(threshold: float):
     """Keeps pairs whose signatures agree in nearly the threshold's share of positions or more."""
 
@@ -131,16 +137,11 @@ def _likely(threshold: float):
 def _confirmed(percent: int):
     """Keeps pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
 
-    def unpack(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-        wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-        return wide.view(np.uint64).ravel()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = unpack(x.as_py()), unpack(y.as_py())
+                x, y = _unpack(x.as_py()), _unpack(y.as_py())
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -181,29 +182,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     # The node that meets most others leads its bucket: of a family of copies that is one with few edits.
     weight = shared.groupBy("set_id").agg(F.sum("n").alias("weight"))
     led = shared.join(weight, "set_id").groupBy("band").agg(F.max(F.struct("weight", "set_id")).alias("best")).select("band", F.col("best.set_id").alias("leader"))
-    tested = shared.join(led, "band").where("set_id <> leader").select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct()
+    groups = scratch.save(shared.join(led, "band").select("leader", "set_id").distinct(), "groups")
+    tested = groups.where("set_id <> leader").select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct()
     tested = scratch.save(_likely_pairs(tested, signed, percent), "likely")
-    sets = scratch.save(_sets_of(docs, nodes, tested, n_words), "sets")
+    needed = tested.select(F.col("a").alias("set_id")).unionByName(tested.select(F.col("b").alias("set_id")))
+    sets = scratch.save(_sets_of(docs, nodes, needed, n_words), "sets")
     linked = _confirmed_pairs(sets, tested, percent)
     labels = scratch.save(components(scratch, linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
-    # Members of a bucket that are not yet in one component. A shingle that only one of the documents with known sets has
-    # cannot be in the intersection of two of these, which rules out most pairs of a family's far ends.
-    members = shared.join(labels, shared.set_id == labels.node, "left").select("band", "set_id", F.coalesce("component", "set_id").alias("label"))
-    mixed = members.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("band")
-    sizes = signed.select(F.col("set_id").alias("_s"), "n_shingles").join(_single_shingles(sets), "_s", "left").select("_s", "n_shingles", (F.col("n_shingles") - F.coalesce("singles", F.lit(0))).alias("common"), F.col("singles").isNotNull().alias("known"))
-    apart = scratch.save(members.join(mixed, "band", "left_semi").join(sizes, F.col("set_id") == F.col("_s")).drop("_s"), "apart")
-    x, y = (apart.select("band", F.col("set_id").alias(c), F.col("label").alias(f"label_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("common").alias(f"common_{c}"), F.col("known").alias(f"known_{c}")) for c in "ab")
-    most = F.when(F.col("known_a") & F.col("known_b"), F.least("common_a", "common_b")).otherwise(F.least("n_a", "n_b"))
-    may_reach = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    cross = x.join(y, "band").where((F.col("label_a") < F.col("label_b")) & may_reach)
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    further = scratch.save(_likely_pairs(cross, signed, percent), "further")
+    further = scratch.save(_links_between(scratch, docs, nodes, groups, labels, n_words, percent), "further")
     if not further.isEmpty():
-        of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}")) for c in "ab")
-        found = _confirmed_pairs(scratch.save(_sets_of(docs, nodes, further, n_words), "more_sets"), further, percent)
-        found = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("label_a", "a").alias("u"), F.coalesce("label_b", "b").alias("v"))
-        merged = components(scratch, found, "again").withColumnsRenamed({"node": "_node", "component": "_component"})
+        merged = components(scratch, further, "again").withColumnsRenamed({"node": "_node", "component": "_component"})
         whole = labels.select("node", "component").unionByName(merged.select(F.col("_node").alias("node"), F.col("_node").alias("component"))).dropDuplicates(["node"])
         labels = scratch.save(whole.join(merged, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component")), "all_labels")
 
@@ -225,35 +214,63 @@ def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100), "a long, b long")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_words: int) -> DataFrame:
-    """``set_id, members``: the full sets of the nodes in ``pairs``. Only documents in a pair have their texts read into sets."""
-    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = nodes.join(needed, "set_id").select("set_id", F.col("doc_id").alias("one_id"))
+def _sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, n_words: int) -> DataFrame:
+    """``set_id, members``: the full sets of the nodes in ``needed(set_id)``. No other document has its text read into a set."""
+    wanted = nodes.join(needed.distinct(), "set_id").select("set_id", F.col("doc_id").alias("one_id"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id"))).select("set_id", "text")
     return texts.mapInArrow(_sets(n_words), "set_id long, members binary").dropDuplicates(["set_id"])
 
 
+def _links_between(scratch: Scratch, docs: DataFrame, nodes: DataFrame, groups: DataFrame, labels: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """``u, v``: labels of components that some link between two members of one leader's group joins.
+
+    Nodes that share a bucket are in its leader's group together. A group in which
+    all nodes have one label is done. In the others every node outside the most
+    frequent label is compared with every node of another label, on full sets, by
+    counting common shingles over an inverted index. Groups are cut into blocks of
+    ``BLOCK`` nodes, and a pair only leaves its task as a link of two labels.
+    """
+    members = groups.join(labels, groups.set_id == labels.node, "left").select("leader", "set_id", F.coalesce("component", "set_id").alias("label"))
+    counts = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1 and n > 2")
+    mixed = mixed.select("leader", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("y_blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("x_blocks"))
+    apart = scratch.save(members.join(mixed, "leader"), "apart")
+    spread = lambda blocks: F.pmod(F.xxhash64("set_id"), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    xs = apart.where("label <> main").withColumns({"x": spread("x_blocks"), "y": every("y_blocks"), "asks": F.lit(True)})
+    ys = apart.withColumns({"y": spread("y_blocks"), "x": every("x_blocks"), "asks": F.lit(False)})
+    columns = ["leader", "x", "y", "asks", "set_id", "label"]
+    sets = scratch.save(_sets_of(docs, nodes, apart.select("set_id"), n_words), "apart_sets")
+    rows = xs.select(*columns).unionByName(ys.select(*columns)).join(sets, "set_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.select(["asks", "label", "members"]).to_pylist()
+        asking, others = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
+        found = set()
+        if asking and others:
+            sets = [_unpack(r["members"]) for r in others]
+            sizes, of = np.array([len(x) for x in sets]), np.array([r["label"] for r in others])
+            keys = np.concatenate(sets)
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            for r in asking:
+                own = _unpack(r["members"])
+                left, right = np.searchsorted(keys, own, "left").tolist(), np.searchsorted(keys, own, "right").tolist()
+                common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(left, right, strict=True)]), minlength=len(sets))
+                close = (100 * common >= percent * (sizes + len(own) - common)) & (of != r["label"])
+                found.update((max(r["label"], x), min(r["label"], x)) for x in of[close].tolist())
+        links = sorted(found)
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+    return rows.groupBy("leader", "x", "y").applyInArrow(compare, "u long, v long").distinct()
+
+
 def _confirmed_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike enough."""
     a, b = (sets.select(F.col("set_id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
     return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _single_shingles(sets: DataFrame) -> DataFrame:
-    """``_s, singles``: how many shingles of each set are in no other of these sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, raw in zip(batch.column("set_id").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-                wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-                values = wide.view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), one)), pa.array(values)], names=["_s", "shingle"])
-
-    owners = sets.mapInArrow(run, "_s long, shingle long").groupBy("shingle").agg(F.min("_s").alias("_s"), F.count("*").alias("n"))
-    return owners.groupBy("_s").agg(F.sum((F.col("n") == 1).cast("long")).alias("singles")).unionByName(sets.select(F.col("set_id").alias("_s"), F.lit(0).cast("long").alias("singles"))).groupBy("_s").agg(F.sum("singles").alias("singles"))
-
-
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, two-word shingles, similarity 0.8."""
     return near_duplicates(documents(spark, sf_dir), n_words=2, percent=80)
