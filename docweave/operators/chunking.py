@@ -159,16 +159,19 @@ def split_points(docs: DataFrame) -> DataFrame:
     toc = F.when(starts, True).when(F.col("_t").startswith("#"), False)
     rows = rows.withColumn("_toc", F.coalesce(F.last(toc, ignorenulls=True).over(order), F.lit(False)))
     before = F.col("_after") - F.length("line") - 1
+
+    def point(kind: str, priority: int, position: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), position.alias("position"))
+
     kind = (
-        F.when(F.col("_toc"), F.lit(None))
-        .when((F.col("line_no") < F.col("_last")) & (F.col("_t") == ""), F.struct(F.lit("paragraph_break").alias("kind"), F.lit(100).alias("priority"), F.col("_after").alias("position")))
-        .when(F.col("_t").startswith("#"), F.struct(F.lit("header"), F.lit(90), before))
-        .when(F.col("_t").rlike(r"^([-*+]|[0-9]+\.)\s"), F.struct(F.lit("list_item"), F.lit(80), before))
-        .when(F.col("_t").rlike(r"[.!?]$"), F.struct(F.lit("sentence_end"), F.lit(70), F.col("_after")))
-        .when(F.col("_t").endswith(":"), F.struct(F.lit("colon_end"), F.lit(60), F.col("_after")))
-        .otherwise(F.struct(F.lit("line_break"), F.lit(30), F.col("_after")))
+        F.when((F.col("line_no") < F.col("_last")) & (F.col("_t") == ""), point("paragraph_break", 100, F.col("_after")))
+        .when(F.col("_t").startswith("#"), point("header", 90, before))
+        .when(F.col("_t").rlike(r"^([-*+]|[0-9]+\.)\s"), point("list_item", 80, before))
+        .when(F.col("_t").rlike(r"[.!?]$"), point("sentence_end", 70, F.col("_after")))
+        .when(F.col("_t").endswith(":"), point("colon_end", 60, F.col("_after")))
+        .otherwise(point("line_break", 30, F.col("_after")))
     )
-    return rows.withColumn("_p", kind).where("_p is not null").select("doc_id", "line_no", F.col("_p.position").alias("position"), F.col("_p.kind").alias("kind"), F.col("_p.priority").alias("priority"))
+    return rows.where("not _toc").withColumn("_p", kind).select("doc_id", "line_no", F.col("_p.position").alias("position"), F.col("_p.kind").alias("kind"), F.col("_p.priority").alias("priority"))
 
 
 def best_splits(docs: DataFrame, limit: int = LIMIT, share: float = 0.75) -> DataFrame:
