@@ -37,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
     found = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select("doc_id").distinct()
-    unique = docs.join(found, "doc_id", "left_anti")
+    unique = docs.join(found.hint("merge"), "doc_id", "left_anti")  # by a shuffle at every size
     return unique.select(*docs.columns)
 
 
