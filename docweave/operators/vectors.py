@@ -106,7 +106,7 @@ def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float =
                 n, i, s = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), batch.column("k").take(pa.array(i.astype(np.int64))), pa.array(s.astype(np.float64))], names=["n", key, "similarity"])
 
-        numbered = F.element_at(F.array(*map(F.lit, names)), (F.col("n") + 1).cast("int"))
+        numbered = F.element_at(F.array(*map(F.lit, names)), (F.col("n") + 1).cast("int")).cast(questions.schema["question"].dataType)
         scored = vectors.select(F.col(key).alias("k"), vector("embedding").alias("v")).where("v is not null").mapInArrow(nearest, f"n long, {key} {kind}, similarity double")
         scored = scored.select(numbered.alias("question"), key, "similarity")
         out = scored if out is None else out.unionByName(scored)

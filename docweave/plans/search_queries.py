@@ -88,7 +88,7 @@ def scoped_topk(spark, sf_dir):
 
 
 _BATCH = """WITH scored AS (SELECT q.vec_id AS question, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM (SELECT * FROM embeddings WHERE label = 3) q, embeddings e)
-SELECT question, id, round(s, 9) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS rank FROM scored) WHERE rank <= 5"""
+SELECT question, id, round(s, 9) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS rank FROM scored) WHERE rank <= 5"""
 
 
 @query(_BATCH)

@@ -94,7 +94,7 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HEADINGS_SQL = r"""
 heads AS (
-  SELECT page_id AS doc_id, unnest(range(len(lv))) AS line_no, CAST(unnest(lv) AS INT) AS level, unnest(ti) AS title
+  SELECT page_id AS doc_id, CAST(unnest(range(len(lv))) AS INT) AS line_no, CAST(unnest(lv) AS INT) AS level, unnest(ti) AS title
   FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS lv, regexp_extract_all(html, '(?s)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS ti FROM pages)
 )
 """

@@ -30,12 +30,12 @@ def docs(spark, sf_dir):
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-@query("SELECT lang, count(*) AS n_docs, sum(length(text) // 4) AS tokens FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n_docs, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY lang")
 def token_count(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(t.token_count(F.col("text"))).alias("tokens"))
 
 
-@query("SELECT count(*) AS chunks, min(length(text) // 4) AS min_tokens, max(length(text) // 4) AS max_tokens, round(avg(length(text) // 4), 6) AS avg_tokens, count(*) FILTER (WHERE length(text) // 4 > 650) AS oversized FROM documents")
+@query("SELECT count(*) AS chunks, CAST(min(length(text) // 4) AS INT) AS min_tokens, CAST(max(length(text) // 4) AS INT) AS max_tokens, round(avg(length(text) // 4), 6) AS avg_tokens, count(*) FILTER (WHERE length(text) // 4 > 650) AS oversized FROM documents")
 def chunk_token_stats(spark, sf_dir):
     from docweave.operators.retrieval import chunk_statistics
 
@@ -45,12 +45,12 @@ def chunk_token_stats(spark, sf_dir):
 _SENTENCES = r"string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
 
-@query(f"SELECT doc_id, unnest(range(len({_SENTENCES}))) AS n, unnest({_SENTENCES}) AS sentence FROM documents")
+@query(f"SELECT doc_id, CAST(unnest(range(len({_SENTENCES}))) AS INT) AS n, unnest({_SENTENCES}) AS sentence FROM documents")
 def split_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("n", "sentence"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_words, regexp_extract_all(text, '\S+')[1] AS first_word, length(text) AS n_chars FROM documents")
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS n_words, regexp_extract_all(text, '\S+')[1] AS first_word, CAST(length(text) AS INT) AS n_chars FROM documents")
 def split_words(spark, sf_dir):
     found = t.words(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.size(found).alias("n_words"), F.try_element_at(found, F.lit(1)).alias("first_word"), F.length("text").alias("n_chars"))
@@ -84,7 +84,7 @@ def pack_chars_budget(spark, sf_dir):
     return _packed(spark, sf_dir, F.split("text", "\n", -1), 2000, "\n\n", F.length)
 
 
-@query("SELECT doc_id, sum(words) AS n_words FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS words FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, CAST(sum(words) AS BIGINT) AS n_words FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS words FROM documents) GROUP BY doc_id")
 def chunk_documents(spark, sf_dir):
     """All chunks of all documents, checked by their words: none is lost."""
     found = c.chunks(docs(spark, sf_dir), separator="\n")
@@ -152,7 +152,7 @@ def file_router(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", t.file_type(path).alias("file_type"), t.base_name(path).alias("base_name"), t.stem(path).alias("stem"), t.is_allowed_upload(path, F.length("text")).alias("allowed"))
 
 
-_LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+_LINES = "lines AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
 @query(rf"""WITH {_LINES}, s AS (SELECT doc_id, line_no, {_STRIP.format('line')} AS t FROM lines)
