@@ -14,4 +14,18 @@ from docweave.llm.token_packing import op2_token_packing
 _ALL = (op1_best_fit_packing, op2_token_packing, op3_line_dedup, op4_edit_fingerprints, op5_mix_sources, op6_quality_classifier, op7_disclosure, op8_lm_scoring, op9_exact_topk, op10_minhash_near_dedup)
 
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": """
+WITH l AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INT) AS place, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+w AS (SELECT doc_id, place, trim(line) || chr(10) || lead(trim(line)) OVER o || chr(10) || lead(trim(line), 2) OVER o AS passage FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+r AS (SELECT *, row_number() OVER p AS nth, count(*) OVER (PARTITION BY passage) AS n FROM w WHERE passage IS NOT NULL AND length(replace(passage, chr(10), '')) > 0 WINDOW p AS (PARTITION BY passage ORDER BY doc_id, place)),
+c AS (SELECT doc_id, nth > 1 AS later, unnest([place, place + 1, place + 2]) AS place FROM r WHERE n > 1),
+g AS (SELECT doc_id, place FROM c GROUP BY ALL HAVING bool_and(later))
+SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.place) AS INT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text
+FROM l LEFT JOIN g USING (doc_id, place) GROUP BY doc_id""",
+    "op9_exact_topk": """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
