@@ -21,30 +21,34 @@ from docweave.llm.quality import classify
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and the whole row, which they hand on."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang", "source")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("kept").select(*docs.columns)
+    judged = classify(_held(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later occurrences of repeated three-line windows; those with nothing left go."""
-    cleaned = dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | (F.trim("text") != "")
-    return cleaned.where(left).select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    cleaned = dedup_lines(_held(docs)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))}
+    return cleaned.select(*[fresh.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
-    found = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select("doc_id").distinct()
-    unique = docs.join(found.hint("merge"), "doc_id", "left_anti")  # by a shuffle at every size
-    return unique.select(*docs.columns)
+    found = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")  # by a shuffle at every size
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies."""
-    mixed = mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    mixed = mix_sources(_held(docs)).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.operators.store import Store
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step handles; temporary arrays take about sixty times as much.
@@ -29,28 +27,12 @@ _BYTE_CODE[_SPACE] = 0
 _BYTE_CODE[65:91] = _BYTE_CODE[97:123]  # A-Z count as a-z
 
 
-class Scratch:
-    """Intermediate tables of one operator call, in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset
-    (local runs, tests), a temporary folder stands in for it.
-    """
+class Scratch(Store):
+    """Intermediate tables of one operator call, in the folder that all executors share."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        super().__init__(spark, name)
         bound_batches(spark)
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a table and return a reader of it; this cuts the lineage."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -58,23 +40,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only on a local master without that setting."""
-    global _local_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="docweave-")
-        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
-    return _local_dir
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -85,6 +50,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_row(docs: DataFrame, added: tuple[str, ...]) -> Column:
+    """The row as one struct column, so that its names clash with none in between.
+
+    Columns named like those that an operator adds are left out: the added ones take their place.
+    """
+    taken = {name.lower() for name in added}
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
 def word_count(text: str = "text"):
     """Number of words of a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WORD, Scratch, documents
+from docweave.llm.common import WORD, Scratch, documents, whole_row
 
 #: The same matches as the plain patterns. \G (after the last match) or the look-behind keep each run of characters from
 #: being tried again at every place in it; possessive groups neither go back nor recurse.
@@ -126,7 +126,8 @@ def disclosures(docs: DataFrame) -> DataFrame:
     Positions are code points, the end is exclusive. Kinds are those of
     ``KINDS``; ``term`` spans are revealing words, and touch no other span. Null
     texts have no spans. Rows that repeat doc_id and text get the same spans and
-    count once; a null doc_id is an id like others. An empty table gives an empty result.
+    count once; a null doc_id is an id like others. Further columns are kept, but
+    for one named spans. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "disclosure")
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -139,8 +140,9 @@ def disclosures(docs: DataFrame) -> DataFrame:
     spans = spans.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), number.alias("kind_no"), F.col("end").cast("long").alias("end"), "kind"))).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "_id", "key": "_key"})
     none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")
-    out = docs.withColumn("_k", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    return out.withColumn("spans", F.coalesce("spans", none)).drop("_k", "_id", "_key")
+    out = docs.select(whole_row(docs, ("spans",)).alias("_in"), F.xxhash64("text").alias("_k"))
+    out = out.join(spans, F.col("_in.doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    return out.select("_in.*", F.coalesce("spans", none).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("spans", empty, step)
     text = F.concat(F.array_join(done["out"], ""), F.substring("text", (done["at"] + 1).cast("int"), F.length("text")))
-    return marked.select(*[F.when(F.size("spans") > 0, text).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns], "spans")
+    return marked.select(*[F.when(F.size("spans") > 0, text).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns if c.lower() != "spans"], "spans")
 
 
 def _is(kind: str):

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import Scratch, documents, word_count
+from docweave.llm.common import Scratch, documents, whole_row, word_count
 
 #: Weights of the sources in code point order, again from the first after the last.
 WEIGHTS = (5, 2, 1)
@@ -60,18 +60,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
 
     Null texts have size 0. A null source is a source of its own, after all
     others. Random numbers depend on doc_id, text and ``seed`` alone, so reruns
-    agree and rows that repeat doc_id, source and text share one fate. An empty
-    table gives an empty result.
+    agree and rows that repeat doc_id, source and text share one fate. Further
+    columns are kept, but for those named like the added ones. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    columns = docs.columns if columns is None else columns
+    chosen = docs if columns is None else docs.select(*columns)
     whole = docs.select(
-        *[F.col(c) for c in columns],
+        whole_row(chosen, ("size", "source_size", "target", "copies", "taken")).alias("_in"),
         F.struct(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.xxhash64("text", F.lit(seed)).alias("key")).alias("_row"),
         word_count().alias("size"),
     )
-    if "text" not in columns:
+    if "text" not in chosen.columns:
         whole = scratch.save(whole, "rows")
         rows = whole
     else:
@@ -124,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     plan = plan.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     one_more = F.col("_rank").isNotNull() & (chosen | F.coalesce(F.array_contains("closing", F.col("_order")), F.lit(False)))
     out = ranked(joined(whole, plan)).withColumn("copies", F.col("certain") + one_more.cast("long"))
-    return out.select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("_in.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
