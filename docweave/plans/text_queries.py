@@ -135,8 +135,11 @@ def md_table_render(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("id"), t.table_row([t.cell(F.col(x)) for x in ("p_partkey", "p_name", "p_brand", "p_size")]).alias("row"), t.table_separator(4).alias("separator"))
 
 
-@query(rf"""SELECT page_id, {_STRIP.format("regexp_replace(regexp_replace(url, '[^a-zA-Z0-9[:space:]()\[\]-]', '-', 'g'), '\s+', ' ', 'g')")} AS plain,
-{_STRIP.format("regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '-', 'g'), '\\s+', ' ', 'g')")} AS safe FROM pages""")
+_PLAIN = r"regexp_replace(regexp_replace(url, '[^a-zA-Z0-9[:space:]()\[\]-]', '-', 'g'), '\s+', ' ', 'g')"
+_SAFE = r"""regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '-', 'g'), '\s+', ' ', 'g')"""
+
+
+@query(f"SELECT page_id, {_STRIP.format(_PLAIN)} AS plain, {_STRIP.format(_SAFE)} AS safe FROM pages")
 def filename_norm(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", t.file_name_plain(F.col("url")).alias("plain"), t.file_name_safe(F.col("url")).alias("safe"))
 
