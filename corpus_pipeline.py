@@ -42,7 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
     found = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")  # by a shuffle at every size
+    return docs.join(found.hint("merge"), docs["doc_id"] == found["_gone"], "left_anti")  # by a shuffle at every size
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
