@@ -7,10 +7,13 @@ one ordered ``aggregate`` in the row, so no shuffle happens for packing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import has_pipe_table, is_empty_heading, is_table, markdown_heading, sentences, strip, token_count, words
+from docweave.operators.store import Store
 
 #: Tokens that a chunk may hold.
 LIMIT = 650
@@ -183,3 +186,26 @@ def best_splits(docs: DataFrame, limit: int = LIMIT, share: float = 0.75) -> Dat
     scored = near.withColumn("score", F.col("priority") * (1 - F.abs(F.col("position") - F.col("target")) / F.col("target")))
     best = scored.where("score > -1").groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("position")).alias("_p"))).alias("b"))
     return best.select("doc_id", (-F.col("b._p")).alias("position"), F.col("b.score").alias("score"))
+
+
+def split_long(docs: DataFrame, limit: int = LIMIT, rounds: int = 20) -> DataFrame:
+    """``doc_id, part, content`` of texts split again and again where that is best, until the rest is within the limit.
+
+    Each round cuts one part off the front of every text that is still too long, at
+    three quarters of the limit or, where that part would be too long, at 60 %. What
+    has no place to split, or is left after the last round, stays whole.
+    """
+    store, parts = Store(docs.sparkSession, "split"), []
+    rest = docs.select("doc_id", "text")
+    for part in range(rounds):
+        first, second = (best_splits(rest, limit, share).select("doc_id", F.col("position").alias(f"at_{k}")) for k, share in enumerate((0.75, 0.6)))
+        cut = rest.join(first, "doc_id", "left").join(second, "doc_id", "left")
+        fits = token_count(F.substring("text", F.lit(1), F.col("at_0").cast("int"))) <= limit
+        at = F.when(token_count(F.col("text")) > limit, F.when(fits, F.col("at_0")).otherwise(F.coalesce("at_1", "at_0")))
+        at = F.when((at > 0) & (at < F.length("text")), at)
+        cut = store.save(cut.withColumn("at", at).select("doc_id", "text", "at"), f"round{part}")
+        parts.append(cut.select("doc_id", F.lit(part).alias("part"), F.when(F.col("at").isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("at").cast("int"))).alias("content")))
+        rest = cut.where("at is not null").select("doc_id", F.substring("text", F.col("at").cast("int") + 1, F.length("text")).alias("text"))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, rest.select("doc_id", F.lit(rounds).alias("part"), F.col("text").alias("content"))])

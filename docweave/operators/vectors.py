@@ -36,7 +36,8 @@ def semantic_topk(nodes: DataFrame, query: list[float], k: int, least: float = 0
     """The ``k`` nearest nodes with a cosine of at least ``least``; ties by key."""
     literal = F.array(*[F.lit(float(x)) for x in query])
     scored = nodes.withColumn("similarity", cosine(vector(vector_column), literal))
-    return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(k)
+    # The threshold comes last: before the sort it would have every similarity computed twice.
+    return scored.orderBy(F.desc("similarity"), key).limit(k).where(F.col("similarity") >= least)
 
 
 def hybrid_scores(nodes: DataFrame, query: list[float], keywords: list[str] | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def hybrid_scores(nodes: DataFrame, query: list[float], keywords: list[str] | No
 
 
 def hybrid_topk(nodes: DataFrame, query: list[float], keywords: list[str] | None = None, k: int = 10, least: float = 0.1, key: str = "id") -> DataFrame:
-    return hybrid_scores(nodes, query, keywords).where(F.col("combined_score") >= least).orderBy(F.desc("combined_score"), key).limit(k)
+    return hybrid_scores(nodes, query, keywords).orderBy(F.desc("combined_score"), key).limit(k).where(F.col("combined_score") >= least)
 
 
 def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float = -1.0, key: str = "id") -> DataFrame:

@@ -103,3 +103,13 @@ def test_tables_of_contents_are_not_split(spark):
     text = "Contents\n[a][b](c)\n[d][e](f)\n# Start\nOne.\n\nTwo:\nthree\n- four"
     kinds = [r["kind"] for r in c.split_points(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("line_no").collect()]
     assert kinds == ["header", "sentence_end", "paragraph_break", "colon_end", "line_break", "list_item"]
+
+
+def test_split_long_loses_nothing(spark):
+    texts = ["# A\n" + "A sentence of some words.\n" * 40 + "\nlast line\n" * 5, "short", "x" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = c.split_long(df, limit=60).orderBy("doc_id", "part").collect()
+    for k, text in enumerate(texts):
+        parts = [r["content"] for r in rows if r["doc_id"] == k]
+        assert "".join(parts) == text
+        assert k == 2 or all(len(p) // 4 <= 60 for p in parts)
