@@ -3,12 +3,14 @@
 Every source gets a target number of words. A document of a source is wanted
 ``target / source size`` times: so many whole copies are certain, and the
 fraction is its inclusion probability. For the fraction the documents are ranked
-by their random odds divided by their inclusion odds, and the sample is the
-start of that order, as long as the source's remaining words.
+by their random odds divided by their inclusion odds, and the sample takes each
+document in that order that still fits the source's remaining words.
 
 The order is never sorted as a whole: ranks fall into about ``sqrt(rows)``
 buckets, whose sizes are summed before any shuffle; only the one bucket of each
-source in which the sample ends is put in order.
+source in which a document does not fit is put in order. That is repeated behind
+this document, for those that the gap has room for, until none is left. Each time
+the gap is smaller than the document that did not fit.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from docweave.llm.common import Scratch, documents, whole_row, word_count
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
 MAX_COPIES = 3
-#: Documents that are taken beyond the order, the largest that fits each time, before a last one that comes nearest.
-CLOSERS = 2
 _BITS = 53
 
 
@@ -54,9 +54,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
 
     ``size`` is the number of words, ``copies`` how often the mix takes the
     document and ``taken`` their product. ``columns`` picks the columns of
-    ``docs`` to keep (all by default). Of each source the sample stops before it
-    would pass the target; then up to ``CLOSERS`` documents, the largest that fits
-    each time, and a last one whose size comes nearest close the gap.
+    ``docs`` to keep (all by default). Of each source the sample passes over the
+    documents that would exceed the target, until no other one fits; then one whose
+    size comes nearest closes the gap, if that is smaller with it.
 
     Null texts have size 0. A null source is a source of its own, after all
     others. Random numbers depend on doc_id, text and ``seed`` alone, so reruns
@@ -95,35 +95,49 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
         out = out.withColumn("_bucket", F.least(F.floor(F.col("_rank") / (1 + F.col("_rank")) * steps), F.lit(steps - 1)).cast("long"))
         return out.withColumn("_order", F.struct("_rank", F.col("_row.id"), F.col("_row.key"))).drop("_u")
 
-    def joined(df: DataFrame, more: DataFrame) -> DataFrame:
-        return df.join(more.withColumnRenamed("source", "_of"), F.col("_row.of").eqNullSafe(F.col("_of")), "left").drop("_of")
+    def joined(df: DataFrame, more: DataFrame, how: str = "left") -> DataFrame:
+        return df.join(more.withColumnRenamed("source", "_of"), F.col("_row.of").eqNullSafe(F.col("_of")), how).drop("_of")
 
-    known = joined(rows, plan.select("source", "chance", "wanted"))
+    known = joined(rows, plan.select("source", "chance"))
     drawn = ranked(known).where("_rank is not null")
-    sums = drawn.groupBy(F.col("_row.of").alias("source"), "_bucket", "wanted").agg(F.sum("size").alias("words"))
-    total = F.sum("words").over(Window.partitionBy("source").orderBy("_bucket"))
-    cut = sums.withColumn("upto", total).where("upto > wanted").groupBy("source").agg(F.min_by(F.struct("_bucket", (F.col("wanted") - F.col("upto") + F.col("words")).alias("rest")), "_bucket").alias("c"))
-    cut = scratch.save(cut.select("source", F.col("c._bucket").alias("cut"), F.col("c.rest").alias("rest")), "cut")
-
-    last = joined(drawn, cut).where("_bucket = cut")
-    running = F.sum("size").over(Window.partitionBy("_row.of").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    last = last.withColumn("_sum", running).where("_sum <= rest").groupBy(F.col("_row.of").alias("source")).agg(F.max("_order").alias("final"), F.max("_sum").alias("filled"))
-    cut = scratch.save(cut.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "cut", "final", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("gap")), "ends")
-
-    chosen = F.coalesce((F.col("_bucket") < F.col("cut")) | ((F.col("_bucket") == F.col("cut")) & (F.col("_order") <= F.col("final"))), F.col("cut").isNull())
-    cut = cut.withColumn("closing", F.array().cast(drawn.select(F.array("_order")).schema[0].dataType))
-    for step in range(CLOSERS + 1):
-        spare = joined(drawn, cut).where(~chosen & ~F.array_contains("closing", F.col("_order")))
-        off = F.abs(F.col("size") - F.col("gap"))
-        fits = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) if step < CLOSERS else off < F.col("gap")
-        near = spare.where(fits).groupBy(F.col("_row.of").alias("_s")).agg(F.min(F.struct(off.alias("off"), "_order", "size")).alias("near"))
-        cut = cut.join(near, F.col("source").eqNullSafe(F.col("_s")), "left")
-        closing = F.when(F.col("near").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.col("near._order")))
-        cut = scratch.save(cut.select("source", "cut", "final", (F.col("gap") - F.coalesce("near.size", F.lit(0))).alias("gap"), closing.alias("closing")), f"closed{step}")
-    cut = cut.drop("gap")
-
-    plan = plan.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    one_more = F.col("_rank").isNotNull() & (chosen | F.coalesce(F.array_contains("closing", F.col("_order")), F.lit(False)))
+    kind = drawn.select("_order").schema[0].dataType.simpleString()
+    ends = plan.where("chance > 0").select("source", F.col("wanted").alias("gap"), F.lit(None).cast(kind).alias("past"), F.array().cast(f"array<struct<past:{kind},stop:{kind},gap:double>>").alias("runs"), F.lit(True).alias("open"))
+    ends, step = scratch.save(ends, "ends0"), 0
+    while not ends.where("open").isEmpty():  # a run ends before a document that does not fit; the next goes on behind it
+        left = joined(drawn, ends.where("open"), "inner").where("size <= gap and (past is null or _order > past)")
+        sums = left.groupBy(F.col("_row.of").alias("source"), "_bucket", "gap").agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy("_bucket"))
+        over = F.when(F.col("upto") > F.col("gap"), F.struct("_bucket", (F.col("gap") - F.col("upto") + F.col("words")).alias("rest")))
+        cut = sums.withColumn("upto", upto).groupBy("source").agg(F.max("upto").alias("all"), F.min(over).alias("c"))
+        cut = scratch.save(cut.select("source", "all", F.col("c._bucket").alias("cut"), F.col("c.rest").alias("rest")), f"cut{step}")
+
+        last = joined(left, cut.where("cut is not null"), "inner").where("_bucket = cut")
+        running = F.sum("size").over(Window.partitionBy("_row.of").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        fits = F.col("_sum") <= F.col("rest")
+        last = last.withColumn("_sum", running).groupBy(F.col("_row.of").alias("_s")).agg(F.min(F.when(~fits, F.col("_order"))).alias("stop"), F.max(F.when(fits, F.col("_sum"))).alias("filled"))
+        found = cut.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "all", "rest", "stop", "filled")
+        ends = ends.join(found, F.col("source").eqNullSafe(F.col("_s")), "left")
+        run = F.struct("past", "stop", "gap")
+        ends = ends.select(
+            "source",
+            F.when(F.col("stop").isNull(), F.col("gap") - F.coalesce("all", F.lit(0))).otherwise(F.col("rest") - F.coalesce("filled", F.lit(0))).alias("gap"),
+            F.col("stop").alias("past"),
+            F.when(F.col("open"), F.array_append("runs", run)).otherwise(F.col("runs")).alias("runs"),
+            F.col("stop").isNotNull().alias("open"),
+        )
+        step += 1
+        ends = scratch.save(ends, f"ends{step}")
+
+    within = lambda r: (r["past"].isNull() | (F.col("_order") > r["past"])) & (r["stop"].isNull() | (F.col("_order") < r["stop"])) & (F.col("size") <= r["gap"])
+    chosen = F.exists("runs", within)
+    spare = joined(drawn, ends, "inner").where(~chosen & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    spare = spare.groupBy(F.col("_row.of").alias("_s"), "_order", "gap").agg(F.sum("size").alias("words"))  # rows with one fate
+    off = F.abs(F.col("words") - F.col("gap"))
+    near = spare.where(off < F.col("gap")).groupBy("_s").agg(F.min(F.struct(off.alias("off"), "_order")).alias("near"))
+    ends = scratch.save(ends.join(near, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "runs", F.col("near._order").alias("closing")), "closed")
+
+    plan = plan.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    one_more = F.col("_rank").isNotNull() & (F.coalesce(chosen, F.lit(False)) | F.coalesce(F.col("_order") == F.col("closing"), F.lit(False)))
     out = ranked(joined(whole, plan)).withColumn("copies", F.col("certain") + one_more.cast("long"))
     return out.select("_in.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -281,6 +281,20 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_goes_on_past_a_document_that_does_not_fit(spark, docs):
+    sizes = [("a", 100)] * 200 + [("a", 10_000)] + [("b", 300)] * 100
+    df = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes)], "doc_id long, text string, source string").cache()
+    for seed in (1, 2, 3):
+        got = mixing.mix_sources(df, (65, 935), seed=seed).toPandas()
+        part = got[got.source == "a"]
+        assert part.target.iloc[0] == pytest.approx(3900) and part.taken.sum() == 3900, seed
+    got = mixing.mix_sources(docs).toPandas()  # with the long text, and repeated rows
+    for source, part in got.groupby(got.source.fillna("")):
+        target, certain = part.target.iloc[0], part.target.iloc[0] // part.source_size.iloc[0]
+        undrawn = part[(part.copies == certain) & (part["size"] > 0)].groupby(["doc_id", "text"], dropna=False)["size"].sum()
+        assert abs(target - part.taken.sum()) < (undrawn.min() if len(undrawn) else part["size"].max()), source
+
+
 @pytest.mark.parametrize("sizes", [[10, 1000, 10, 10, 10], [5], [0, 0], [7, 7, 7, 7, 7, 7, 7], [1, 100, 1, 1, 1, 50]])
 def test_targets_fill_up_to_their_caps(spark, sizes):
     weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
