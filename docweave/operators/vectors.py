@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import any_keyword
 
-#: Questions that are held against all vectors at once.
-QUESTION_BLOCK = 1024
+#: Questions and vectors that meet in one task.
+QUESTION_BLOCK, VECTOR_BLOCK = 1024, 8192
 #: Weights of the hybrid score; a keyword hit scores 0.3 before its weight.
 SEMANTIC, KEYWORD, HIT = 0.6, 0.3, 0.3
 
@@ -60,58 +60,50 @@ def hybrid_topk(nodes: DataFrame, query: list[float], keywords: list[str] | None
     return hybrid_scores(nodes, query, keywords).orderBy(F.desc("combined_score"), key).limit(k).where(F.col("combined_score") >= least)
 
 
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the lists of column ``v``, all their values, and where each begins."""
+    lists = table.column("v").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float = -1.0, key: str = "id") -> DataFrame:
-    """``question, <key>, similarity``: each question's ``k`` nearest vectors; ties by key.
+    """``question, <key>, similarity, rank``: each question's ``k`` nearest vectors; ties by key.
 
-    The questions, a set that someone wrote, come to the driver in blocks of
-    ``QUESTION_BLOCK``; a block goes to all tasks, which multiply it with one Arrow
-    batch of vectors after another and pass on each batch's best k. Vectors
-    are read once a block and only winners are shuffled.
+    Both sides are dealt into blocks, ``QUESTION_BLOCK`` questions and
+    ``VECTOR_BLOCK`` vectors on average. Each two blocks meet in one task, which
+    multiplies them and passes on each question's best k, ties of the last among
+    them. The driver sees two counts.
     """
-    kind = vectors.schema[key].dataType.simpleString()
-    rows = questions.select("question", vector("embedding").alias("embedding")).where("embedding is not null")
-    out = None
-    blocks, block = [], []
-    for row in rows.toLocalIterator(prefetchPartitions=False):
-        block.append((row["question"], row["embedding"]))
-        if len(block) == QUESTION_BLOCK:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    for block in filter(None, blocks):
-        names = [q for q, _ in block]
-
-        def nearest(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            by_length: dict[int, list[int]] = {}
-            for n, (_, v) in enumerate(block):
-                by_length.setdefault(len(v), []).append(n)
-            for batch in batches:
-                lists = batch.column("v")
-                sizes = lists.value_lengths().to_numpy()
-                flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-                found = []
-                for size, members in by_length.items():
-                    at = np.flatnonzero(sizes == size)
-                    if not len(at):
-                        continue
-                    m = flat[starts[at][:, None] + np.arange(size)]
-                    q = np.array([block[n][1] for n in members])
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        scores = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1))
-                    for n, row in zip(members, scores, strict=True):
-                        good = np.flatnonzero(row >= least)
-                        if len(good) > k:
-                            cut = np.partition(row[good], len(good) - k)[len(good) - k]
-                            good = good[row[good] >= cut]
-                        found.append((np.full(len(good), n), at[good], row[good]))
-                n, i, s = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), batch.column("k").take(pa.array(i.astype(np.int64))), pa.array(s.astype(np.float64))], names=["n", key, "similarity"])
-
-        numbered = F.element_at(F.array(*map(F.lit, names)), (F.col("n") + 1).cast("int")).cast(questions.schema["question"].dataType)
-        scored = vectors.select(F.col(key).alias("k"), vector("embedding").alias("v")).where("v is not null").mapInArrow(nearest, f"n long, {key} {kind}, similarity double")
-        scored = scored.select(numbered.alias("question"), key, "similarity")
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        return rows.select("question").join(vectors.select(key).limit(0)).withColumn("similarity", F.lit(0.0))
+    asked = questions.select("question", vector("embedding").alias("v")).where("v is not null")
+    rows = vectors.select(F.col(key).alias("k"), vector("embedding").alias("v")).where("v is not null")
+    sets, blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((asked, QUESTION_BLOCK), (rows, VECTOR_BLOCK)))
+    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("part", deal(sets)).withColumn("block", every(blocks))
+    rows = rows.withColumn("block", deal(blocks)).withColumn("part", every(sets))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        (q_sizes, q_flat, q_starts), (sizes, flat, starts) = map(_flat, (left, right))
+        found = []
+        for size in np.unique(q_sizes):
+            members, at = np.flatnonzero(q_sizes == size), np.flatnonzero(sizes == size)
+            if not len(at):
+                continue
+            q, m = q_flat[q_starts[members][:, None] + np.arange(size)], flat[starts[at][:, None] + np.arange(size)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1))
+            for n, row in zip(members, scores, strict=True):
+                good = np.flatnonzero(row >= least)
+                if len(good) > k:
+                    cut = np.partition(row[good], len(good) - k)[len(good) - k]
+                    good = good[row[good] >= cut]
+                found.append((np.full(len(good), n), at[good], row[good]))
+        n, i, s = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3))
+        return pa.table({"question": left.column("question").take(pa.array(n.astype(np.int64))), key: right.column("k").take(pa.array(i.astype(np.int64))), "similarity": pa.array(s.astype(np.float64))})
+
+    kinds = questions.schema["question"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    out = asked.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(nearest, f"question {kinds[0]}, `{key}` {kinds[1]}, similarity double")
     best = Window.partitionBy("question").orderBy(F.desc("similarity"), key)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -72,6 +73,26 @@ def test_batch_topk_ties_go_to_the_smaller_key(spark):
     assert vectors.batch_topk(vec, asked.limit(0), 2).count() == 0
 
 
+def test_batch_topk_keeps_questions_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 30, raising=False)
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    rng = np.random.default_rng(3)
+    found = [(k, [float(x) for x in rng.integers(-2, 3, 3 + k % 2)]) for k in range(100)]
+    vec = spark.createDataFrame(found, "id long, embedding array<double>")
+    asked = vec.where("id % 3 = 0").withColumnRenamed("id", "question")
+    got = sorted((r["question"], r["rank"], r["id"]) for r in vectors.batch_topk(vec, asked, 4).collect())
+    expected = []
+    for q, x in found[::3]:
+        scored = [(-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9), k) for k, y in found if len(x) == len(y) and any(x) and any(y)]
+        expected += [(q, n + 1, k) for n, (_, k) in enumerate(sorted(scored)[:4])]
+    near = {(q, n): s for q, n, s in ((r["question"], r["rank"], round(r["similarity"], 9)) for r in vectors.batch_topk(vec, asked, 4).collect())}
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(expected)]
+    for q, n, k in expected:
+        x, y = found[q][1], found[k][1]
+        assert near[q, n] == pytest.approx(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)))
+
+
 def test_extraction_becomes_the_expected_graph(spark):
     about = lambda text: Row(type="Description", text=text, embedding=[])
     entity = lambda name, kind: Row(id=name, name=name, type=kind, description_node=about(f"about {name}"))
