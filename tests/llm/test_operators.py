@@ -330,6 +330,25 @@ def test_classifier_keeps_prose_and_rejects_junk(spark, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_thresholds_come_from_all_trusted_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 60)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(400):
+        lang, letters = ("de", "opqrst ") if k % 5 == 0 else ("en", "abcdef ")
+        rows.append((k, "".join(rng.choice(list(letters), 200)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels).toPandas()
+    for _, part in got.groupby("lang"):  # de has 80 trusted rows, about 12 of them in the sample
+        assert part.threshold.nunique() == 1 and part.threshold.iloc[0] in set(part.perplexity)
+        assert (~part.kept).sum() <= 0.02 * len(part)
+    assert got.threshold.nunique() == 2
+    slim = quality.classify(df, labels, columns=["doc_id"]).toPandas()
+    assert list(slim.columns) == ["doc_id", "perplexity", "threshold", "kept"]
+    assert dict(zip(slim.doc_id, slim.kept, strict=True)) == dict(zip(got.doc_id, got.kept, strict=True))
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = "abracadabra abra cadabra " * 5
     model = quality.train(Scratch(spark, "t"), spark.createDataFrame([(text,)], "text string"), 3)
