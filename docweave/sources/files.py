@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.operators.store import bound_batches
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -74,7 +76,7 @@ def _scan(spark: SparkSession, path: str, parse, schema: str, names: list[str],
                     rows = [(file, *[None] * (len(names) - 2), repr(error))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    bound_batches(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
