@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.operators.store import Store
+from docweave.operators.store import Store, bound_batches
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step handles; temporary arrays take about sixty times as much.
 SLICE_BYTES = 1 << 20
-#: Bytes after which a batch of rows on its way to Python ends.
-BATCH_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,11 +33,6 @@ class Scratch(Store):
         bound_batches(spark)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end after some MB, however long the texts in them are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,17 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import Scratch, documents, iter_words, mix
+from docweave.llm.common import WORD, Scratch, documents, iter_words, mix
 from docweave.llm.components import components
 
 #: Bands times rows is the number of hash minima; at a similarity of 0.8 all but one pair in ten million share a band.
 BANDS, ROWS = 40, 5
 #: By so much an estimated similarity may fall short of the threshold before the full sets are not looked at.
 SLACK = 0.17
-#: Bytes of a shingle's hash in the sets that are compared.
-SET_BYTES = 6
-#: Nodes of a group that are compared in one task.
-BLOCK = 2000
+#: Nodes of a group, and shingles of their sets, on either side of a comparison in one task.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,33 +89,26 @@ def _signatures(n_words: int):
                 signatures.append((least & np.uint32(255)).astype(np.uint8).tobytes())
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "signature", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_id", "signature", "bands"],
             )
 
     return run
 
 
 def _sets(n_words: int):
-    """The sets of texts. A text of another set, whose row repeats a doc_id, is left out."""
+    """The sets of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, out = [], []
-            for wanted, words in zip(batch.column("set_id").to_pylist(), iter_words(batch.column("text")), strict=True):
-                found = shingles(words, n_words)
-                if len(found) and set_key(found) == wanted:
-                    keep.append(wanted)
-                    out.append(np.ascontiguousarray(np.unique(found >> np.uint64(64 - 8 * SET_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary())], names=["set_id", "members"])
+            out = [shingles(words, n_words).tobytes() for words in iter_words(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(out, pa.binary())], names=["set_id", "members"])
 
     return run
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(raw, np.uint64)
 
 
 def _likely(threshold: float):
@@ -162,18 +153,48 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     Null or wordless texts have an empty set and are linked with nothing. Rows
     with a null doc_id take part, but do not name a component: their
     component_id is the smallest doc_id linked to them, or null, and they are
-    not kept. Rows that repeat a doc_id are separate documents. Further columns
-    are ignored; an empty table gives an empty result.
+    not kept. Rows that repeat a doc_id are separate documents. Very long texts
+    count whole; their sets cross the network only if a likely partner exists.
+    Further columns are ignored; an empty table gives an empty result.
     """
+    rows, of_set = _grouped(docs, n_words, percent)
+    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    out = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` that stay when one row of each group of near duplicates does.
+
+    Groups are the components of ``near_duplicates``. The row that stays has the
+    smallest doc_id, null after all others; of rows with that doc_id the one whose
+    text has the least hash, and of equal ones a single row, picked by a hash of its other columns
+    (those that can be hashed). So rows that repeat a doc_id are told apart by their text, and
+    rows with a null doc_id go like others. Null and wordless texts are in no
+    group: all their rows stay. All columns are kept, whatever their names.
+    """
+    _, of_set = _grouped(docs, n_words, percent)
+    first = of_set.select("first.*").distinct()
+    key = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_unnamed": F.col("doc_id").cast("long").isNull(), "_key": F.xxhash64(F.col("text").cast("string"))}
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in key.items()], F.xxhash64(*others).alias("_other"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_words"))
+    # Equal rows become one before the shuffle, however many there are.
+    once = keyed.where("_words").groupBy(*key).agg(F.min_by("_row", "_other").alias("_row"))
+    stay = first.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("unnamed").alias("_unnamed"), F.col("text_key").alias("_key"))
+    return once.join(stay.hint("merge"), list(key), "left_semi").select("_row.*").unionByName(keyed.where("not _words").select("_row.*"))
+
+
+def _grouped(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets, and for each set the first row of its component: ``set_id, first(unnamed, doc_id, text_key)``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.save(docs.mapInArrow(_signatures(n_words), "doc_id long, n_shingles long, set_id long, signature binary, bands array<long>"), "rows")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = scratch.save(docs.mapInArrow(_signatures(n_words), "doc_id long, text_key long, n_shingles long, set_id long, signature binary, bands array<long>"), "rows")
 
     # One node for each distinct set; one of its documents stands for its text.
-    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n_shingles")).alias("one"))
-    nodes = scratch.save(nodes.select("set_id", "one.doc_id", "one.n_shingles"), "nodes")
-    chosen = rows.join(nodes.select("set_id", F.col("doc_id").alias("one_id")), "set_id").where("doc_id <=> one_id")
+    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "n_shingles")).alias("one"))
+    nodes = scratch.save(nodes.select("set_id", "one.*"), "nodes")
+    chosen = rows.join(nodes.select("set_id", F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key")), "set_id").where("doc_id <=> one_id and text_key = one_key")
     signed = scratch.save(chosen.dropDuplicates(["set_id"]).select("set_id", "n_shingles", "signature", "bands"), "signed")
 
     buckets = signed.select("set_id", F.explode("bands").alias("band"))
@@ -196,16 +217,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
         whole = labels.select("node", "component").unionByName(merged.select(F.col("_node").alias("node"), F.col("_node").alias("component"))).dropDuplicates(["node"])
         labels = scratch.save(whole.join(merged, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component")), "all_labels")
 
-    named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
+    named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", F.struct("unnamed", "doc_id", "text_key").alias("own"), F.coalesce("component", "set_id").alias("label"))
     named = scratch.save(named, "named")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(least, "label").select("set_id", "component_id")
-    return rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")), F.lit(False)).alias("kept"),
-    )
+    first = named.groupBy("label").agg(F.min("own").alias("first"))
+    return rows, named.join(first, "label").select("set_id", "first")
 
 
 def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -215,9 +230,12 @@ def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFram
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, n_words: int) -> DataFrame:
-    """``set_id, members``: the full sets of the nodes in ``needed(set_id)``. No other document has its text read into a set."""
-    wanted = nodes.join(needed.distinct(), "set_id").select("set_id", F.col("doc_id").alias("one_id"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id"))).select("set_id", "text")
+    """``set_id, members``: the full sets of the nodes in ``needed(set_id)``. No other text is read into a set.
+
+    A node's text is found by its hash and its doc_id, so rows that share a doc_id, or have none, do not multiply.
+    """
+    wanted = nodes.join(needed.distinct(), "set_id").select("set_id", F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key"))
+    texts = docs.join(wanted, (F.col("text_key") == F.col("one_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("set_id", "text")
     return texts.mapInArrow(_sets(n_words), "set_id long, members binary").dropDuplicates(["set_id"])
 
 
@@ -228,12 +246,15 @@ def _links_between(scratch: Scratch, docs: DataFrame, nodes: DataFrame, groups:
     all nodes have one label is done. In the others every node outside the most
     frequent label is compared with every node of another label, on full sets, by
     counting common shingles over an inverted index. Groups are cut into blocks of
-    ``BLOCK`` nodes, and a pair only leaves its task as a link of two labels.
+    about ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles, whichever is less, and a
+    pair only leaves its task as a link of two labels.
     """
     members = groups.join(labels, groups.set_id == labels.node, "left").select("leader", "set_id", F.coalesce("component", "set_id").alias("label"))
-    counts = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1 and n > 2")
-    mixed = mixed.select("leader", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("y_blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("x_blocks"))
+    members = members.join(nodes.select("set_id", "n_shingles"), "set_id")
+    counts = members.groupBy("leader", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    mixed = counts.groupBy("leader").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels")).where("labels > 1 and n > 2")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES))
+    mixed = mixed.select("leader", F.col("top.label").alias("main"), blocks(F.col("n"), F.col("size")).alias("y_blocks"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("x_blocks"))
     apart = scratch.save(members.join(mixed, "leader"), "apart")
     spread = lambda blocks: F.pmod(F.xxhash64("set_id"), F.col(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
