@@ -1,10 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling (operator 5).
 
-Every source gets a target number of words. A document of a source is wanted
-``target / source size`` times: so many whole copies are certain, and the
-fraction is its inclusion probability. For the fraction the documents are ranked
-by their random odds divided by their inclusion odds, and the sample takes each
-document in that order that still fits the source's remaining words.
+Every source gets a target number of words. How often a document of it is wanted
+depends on its length: documents of ``2 ** k`` words weigh ``2 ** (-k * DAMPING)``, so
+long ones are repeated less, and the source's level, times that weight and at most
+``max_copies``, is the number of copies that makes the expected words equal the
+target. So many whole copies are certain; the fraction is the document's
+inclusion probability. For the fractions the documents of a source are ranked by
+their random odds divided by their inclusion odds (Rosen, 1997), and the sample,
+whose size is fixed in words, takes each document in that order that still fits
+what the certain copies leave. At last the first document left in the order with which the source
+comes nearer to its target closes the gap.
 
 The order is never sorted as a whole: ranks fall into about ``sqrt(rows)``
 buckets, whose sizes are summed before any shuffle; only the one bucket of each
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import Scratch, documents, whole_row, word_count
@@ -26,9 +31,21 @@ from docweave.llm.common import Scratch, documents, whole_row, word_count
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
 MAX_COPIES = 3
+#: Exponent by which a document's weight falls with its number of words.
+DAMPING = 0.125
 _BITS = 53
 
 
+def random_number(doc_id: str | Column, key: str | Column, seed: int) -> Column:
+    """A document's number between 0 and 1, the same in every run."""
+    return (F.shiftrightunsigned(F.xxhash64(doc_id, key, F.lit(seed)), 64 - _BITS) + F.lit(0.5)) / F.lit(float(1 << _BITS))
+
+
+def octave(size: Column) -> Column:
+    """The power of two that a number of words lies at or above; 0 for none."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """``sizes(source, source_size)``, one row a source, with ``target``.
 
@@ -49,20 +66,42 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     return level.withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("weight"))).drop("place", "weight", "cap", "level")
 
 
+def copies_by_length(words: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``words(source, octave, words, target, source_size)``, one row a source and octave, with ``times``: the copies wanted of each document.
+
+    ``times`` is ``least(max_copies, level * weight)``, where the level of a source is the
+    one at which ``times * words`` sums to its target: the greatest that some number
+    of the octaves first capped leave. A window holds a source's octaves, some dozens.
+    """
+    weighed = words.withColumn("weight", F.pow(F.lit(2.0), -F.col("octave") * DAMPING))
+    whole = Window.partitionBy("source")
+    before = whole.orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("target") - F.coalesce(F.sum(F.col("words") * float(max_copies)).over(before), F.lit(0.0))
+    share = F.sum(F.col("words") * F.col("weight")).over(whole) - F.coalesce(F.sum(F.col("words") * F.col("weight")).over(before), F.lit(0.0))
+    level = weighed.withColumn("level", F.when(share > 0, left / share))
+    times = F.least(F.lit(float(max_copies)), F.max("level").over(whole) * F.col("weight"))
+    capped = F.col("target") >= F.col("source_size") * max_copies
+    out = level.withColumn("times", F.when(F.col("source_size") == 0, 0.0).when(capped, float(max_copies)).otherwise(F.greatest(times, F.lit(0.0))))
+    return out.drop("weight", "level")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` with ``size, source_size, target, copies, taken``.
 
     ``size`` is the number of words, ``copies`` how often the mix takes the
     document and ``taken`` their product. ``columns`` picks the columns of
     ``docs`` to keep (all by default). Of each source the sample passes over the
-    documents that would exceed the target, until no other one fits; then one whose
-    size comes nearest closes the gap, if that is smaller with it.
+    documents that would exceed the target, until no other one fits; then the
+    first one left in the order with less than twice the gap's words closes it.
 
     Null texts have size 0. A null source is a source of its own, after all
-    others. Random numbers depend on doc_id, text and ``seed`` alone, so reruns
-    agree and rows that repeat doc_id, source and text share one fate. Further
+    others. Very long texts are whole, a source's only text too: it is taken as often as
+    comes nearest, so the source may miss its target by half that text. Random numbers depend on doc_id, text and ``seed`` alone, so reruns
+    agree and rows that repeat doc_id, source and text share one fate; ties of rank are in the order of
+    doc_id and the text's hash. Further
     columns are kept, but for those named like the added ones. An empty table
-    gives an empty result.
+    gives an empty result. Targets and their windows hold one row a source, which has to fit one task
+    (millions do).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -80,28 +119,30 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     n = rows.count()
     steps = max(64, math.ceil(math.sqrt(n)))
 
-    sizes = rows.groupBy(F.col("_row.of").alias("source")).agg(F.sum("size").alias("source_size"))
-    plan = source_targets(sizes, weights, max_copies)
-    times = F.when(F.col("target") >= F.col("source_size") * max_copies, F.lit(float(max_copies))).otherwise(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    plan = plan.withColumn("times", times).withColumn("certain", F.floor("times").cast("long"))
-    plan = plan.withColumn("chance", F.col("times") - F.col("certain")).withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
+    words = scratch.save(rows.groupBy(F.col("_row.of").alias("source"), octave(F.col("size")).alias("octave")).agg(F.sum("size").alias("words")), "words")
+    targets = source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies).withColumnRenamed("source", "_s")
+    plan = copies_by_length(words.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), max_copies)
+    plan = plan.withColumn("certain", F.floor("times").cast("long")).withColumn("chance", F.col("times") - F.col("certain"))
     plan = scratch.save(plan, "plan")
 
     def ranked(df: DataFrame) -> DataFrame:
         """With the rank in the Pareto order and its bucket."""
-        random = (F.shiftrightunsigned(F.xxhash64("_row.id", "_row.key", F.lit(seed)), 64 - _BITS) + F.lit(0.5)) / F.lit(float(1 << _BITS))
         odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("chance") / (1 - F.col("chance")))
-        out = df.withColumn("_u", random).withColumn("_rank", F.when(F.col("chance") > 0, odds))
+        out = df.withColumn("_u", random_number("_row.id", "_row.key", seed)).withColumn("_rank", F.when(F.col("chance") > 0, odds))
         out = out.withColumn("_bucket", F.least(F.floor(F.col("_rank") / (1 + F.col("_rank")) * steps), F.lit(steps - 1)).cast("long"))
         return out.withColumn("_order", F.struct("_rank", F.col("_row.id"), F.col("_row.key"))).drop("_u")
 
-    def joined(df: DataFrame, more: DataFrame, how: str = "left") -> DataFrame:
-        return df.join(more.withColumnRenamed("source", "_of"), F.col("_row.of").eqNullSafe(F.col("_of")), how).drop("_of")
+    def joined(df: DataFrame, more: DataFrame, how: str = "left", by_length: bool = False) -> DataFrame:
+        same = F.col("_row.of").eqNullSafe(F.col("_of"))
+        if by_length:
+            more, same = more.withColumnRenamed("octave", "_octave"), same & (octave(F.col("size")) == F.col("_octave"))
+        return df.join(more.withColumnRenamed("source", "_of"), same, how).drop("_of", "_octave")
 
-    known = joined(rows, plan.select("source", "chance"))
+    known = joined(rows, plan.select("source", "octave", "chance"), by_length=True)
     drawn = ranked(known).where("_rank is not null")
     kind = drawn.select("_order").schema[0].dataType.simpleString()
-    ends = plan.where("chance > 0").select("source", F.col("wanted").alias("gap"), F.lit(None).cast(kind).alias("past"), F.array().cast(f"array<struct<past:{kind},stop:{kind},gap:double>>").alias("runs"), F.lit(True).alias("open"))
+    wanted = plan.groupBy("source").agg((F.max("target") - F.sum(F.col("certain") * F.col("words"))).alias("wanted"), F.max("chance").alias("chance"))
+    ends = wanted.where("chance > 0").select("source", F.col("wanted").alias("gap"), F.lit(None).cast(kind).alias("past"), F.array().cast(f"array<struct<past:{kind},stop:{kind},gap:double>>").alias("runs"), F.lit(True).alias("open"))
     ends, step = scratch.save(ends, "ends0"), 0
     while not ends.where("open").isEmpty():  # a run ends before a document that does not fit; the next goes on behind it
         left = joined(drawn, ends.where("open"), "inner").where("size <= gap and (past is null or _order > past)")
@@ -132,13 +173,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     chosen = F.exists("runs", within)
     spare = joined(drawn, ends, "inner").where(~chosen & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
     spare = spare.groupBy(F.col("_row.of").alias("_s"), "_order", "gap").agg(F.sum("size").alias("words"))  # rows with one fate
-    off = F.abs(F.col("words") - F.col("gap"))
-    near = spare.where(off < F.col("gap")).groupBy("_s").agg(F.min(F.struct(off.alias("off"), "_order")).alias("near"))
-    ends = scratch.save(ends.join(near, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "runs", F.col("near._order").alias("closing")), "closed")
+    near = spare.where(F.col("words") < 2 * F.col("gap")).groupBy("_s").agg(F.min("_order").alias("closing"))
+    ends = scratch.save(ends.join(near, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "runs", "closing"), "closed")
 
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     one_more = F.col("_rank").isNotNull() & (F.coalesce(chosen, F.lit(False)) | F.coalesce(F.col("_order") == F.col("closing"), F.lit(False)))
-    out = ranked(joined(whole, plan)).withColumn("copies", F.col("certain") + one_more.cast("long"))
+    out = ranked(joined(whole, plan, by_length=True)).withColumn("copies", F.col("certain") + one_more.cast("long"))
     return out.select("_in.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
