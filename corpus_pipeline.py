@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from docweave.llm.best_fit import pack_documents
 from docweave.llm.common import Scratch, documents
 from docweave.llm.line_dedup import dedup_lines
-from docweave.llm.minhash import near_duplicates
+from docweave.llm.minhash import without_near_duplicates
 from docweave.llm.mixing import mix_sources
 from docweave.llm.quality import classify
+from docweave.operators.store import temporary_tables
 
 #: Word shingles and similarity of near duplicates.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -40,9 +41,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    found = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found.hint("merge"), docs["doc_id"] == found["_gone"], "left_anti")  # by a shuffle at every size
+    """One row of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are told apart by their text; of equal rows one
+    stays; a null doc_id comes after all others. Null and wordless texts are in
+    no group and all stay.
+    """
+    return without_near_duplicates(docs, SHINGLE_WORDS, PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents; a stage's own tables and its input go when its rows are written."""
     scratch = Scratch(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary_tables():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
