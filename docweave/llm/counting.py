@@ -1,27 +1,34 @@
 """Counts of n-grams over a corpus, and their return to the texts that hold them.
 
-Texts are dealt into blocks of a bounded size. A block asks for each n-gram in
-it once: it sends its distinct hashes with its own counts, cut into shards by
-value, as packed rows. A shard adds the counts of all blocks and answers each
-block in the order of its question. So the corpus crosses the network once as
-text, and n-grams only as a few bytes for each block that holds them; no table
-of counts is ever broadcast or held by one task.
+Each input partition packs its texts into blocks of a bounded size, compressed,
+one row a block. A block asks for each n-gram in it once: it sends its distinct
+hashes with its own counts, cut into shards by value, as packed rows. A shard
+adds the counts of all blocks and answers each block in the order of its
+question. So the corpus crosses the network once as compressed text, and n-grams
+only as a few bytes for each block that holds them; no table of counts is ever
+broadcast or held by one task. Blocks and shards have a fixed size, so their
+numbers, and those of the partitions that they are dealt into, follow the corpus.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import mix, partitions, text_slices, word_hashes
 
-#: Bytes of text in a block, and with it the memory of one task.
+#: Bytes of text in a block and behind a shard, and with it the memory of one task.
 BLOCK_BYTES = 8 << 20
+#: Blocks, or shards, in one shuffle partition.
+PER_PARTITION = 4
+#: Different words that a task collects before it passes them on.
+WORDS_AT_ONCE = 1 << 20
 #: Stand for the start and the end of a text.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _LINK = np.uint64(0xD6E8FEB86659FD93)
@@ -40,25 +47,34 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in the smallest integers that hold them; the size tells which."""
-    most = int(counts.max(initial=0))
-    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64).tobytes()
+    """Counts as byte planes, low bytes first: nearly all of the high planes is zero and takes nothing when compressed."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // n if n else 1]).astype(np.int64)
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        wide[:, : len(planes)] = planes.T
+    return wide.view(np.int64).ravel()
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of values begins in sorted hashes."""
-    width = (1 << 64) // shards
+def hash_bits(total_bytes: int) -> int:
+    """Bits of the hashes of n-grams of two and more words: one in 65,536 or fewer meets a stranger in a corpus of that size."""
+    return min(64, max(48, int(total_bytes).bit_length() + 16))
+
+
+def shard_bounds(keys: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
+    """Where each shard's range of values begins in sorted hashes of so many bits."""
+    width = (1 << bits) // shards
     return np.append(np.searchsorted(keys, np.array([k * width for k in range(shards)], np.uint64)), len(keys))
 
 
 class Grams:
     """The n-grams of some texts: each text is START, its words, END, all of which but START are tokens."""
 
-    def __init__(self, column: pa.Array, order: int):
+    def __init__(self, column: pa.Array, order: int, bits: int = 64):
         hashes, sizes = [], []
         for _, _, data, bounds in text_slices(column):
             words, at = word_hashes(data, bounds)
@@ -73,12 +89,15 @@ class Grams:
         row[self.starts[:-1]], row[self.starts[1:] - 1] = START, END
         #: For each place the number of places before it in its text.
         self.place = np.arange(len(row)) - np.repeat(self.starts[:-1], self.sizes + 2)
-        self.keys = [row]
+        #: Bits of the hashes of each level: all 64 of single words.
+        self.bits = [64, *[bits] * (order - 1)]
+        longest, self.keys = row, [row]
         with np.errstate(over="ignore"):
             for level in range(1, order):
                 longer = np.zeros(len(row), np.uint64)
-                longer[1:] = mix(self.keys[-1][:-1] * _LINK + row[1:] + np.uint64(level))
-                self.keys.append(longer)
+                longer[1:] = mix(longest[:-1] * _LINK + row[1:] + np.uint64(level))
+                self.keys.append(longer >> np.uint64(64 - bits))
+                longest = longer
         #: Places at which the n-gram of each level lies within its text.
         self.valid = [self.place >= level for level in range(order)]
 
@@ -86,34 +105,74 @@ class Grams:
         return self.place > 0
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` dealt into blocks by a hash of the row, and the number of blocks."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(partitions(spark), math.ceil(total / block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
-    return dealt.repartition(partitions(spark), "block"), blocks
+def blocks_of(total_bytes: int, fewest: int) -> int:
+    """The number of shards, and about that of blocks, for a corpus of that size."""
+    return max(fewest, math.ceil(total_bytes / BLOCK_BYTES))
 
 
-def requests(dealt: DataFrame, shards: int, order: int, counted: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """Each block's distinct n-grams and how often the texts that ``counted`` selects hold them."""
+def in_blocks(docs: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``block, rows``: the rows of ``docs(text, ...)`` packed in the order of their partition, dealt over partitions by block.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        grams = Grams(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), order)
-        use = np.repeat(counted(table), grams.sizes + 2)
-        rows = []
-        for level in range(order):
-            valid = grams.valid[level]
-            keys, back = np.unique(grams.keys[level][valid], return_inverse=True)
-            counts = np.bincount(back, weights=use[valid], minlength=len(keys)).astype(np.int64)
-            at = shard_bounds(keys, shards)
-            rows += [(s, level, pack_keys(keys[a:b]), pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-        block = table.column("block")[0].as_py()
-        columns = [[r[i] for r in rows] for i in range(4)]
-        return pa.table({"shard": pa.array(columns[0], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "level": pa.array(columns[1], pa.int32()), "keys": pa.array(columns[2], pa.binary()), "counts": pa.array(columns[3], pa.binary())})
-
-    return dealt.groupBy("block").applyInArrow(run, _REQUEST)
+    Rows that repeat lie wherever they are read, so none makes a block larger; a text
+    beyond ``block_bytes`` is a block by itself. ``docs`` has to give the same rows in the same order when a task is run again, as files do.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(docs.schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+
+        def emit() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for batch in held:
+                    writer.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([part << 33 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column(c).cast(schema.field(c).type) for c in schema.names], names=schema.names)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy()
+            first = 0
+            for k, one in enumerate(sizes.tolist()):
+                if size and size + one > block_bytes:
+                    held.append(batch.slice(first, k - first))
+                    yield emit()
+                    held, size, n, first = [], 0, n + 1, k
+                size += one
+            held.append(batch.slice(first))
+        if held and sum(b.num_rows for b in held):
+            yield emit()
+
+    return docs.mapInArrow(pack, "block long, rows binary").repartition(max(1, math.ceil(blocks / PER_PARTITION)), "block")
+
+
+def unpack_rows(raw: bytes) -> pa.Table:
+    """The rows of a block."""
+    return pa.ipc.open_stream(raw).read_all().combine_chunks()
+
+
+def requests(dealt: DataFrame, shards: int, order: int, bits: int, counted: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Each block's distinct n-grams and how often the texts that ``counted`` selects hold them, dealt by shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                table = unpack_rows(raw.as_py())
+                grams = Grams(table.column("text").combine_chunks(), order, bits)
+                use = np.repeat(counted(table), grams.sizes + 2)
+                for level in range(order):
+                    valid = grams.valid[level]
+                    keys, back = np.unique(grams.keys[level][valid], return_inverse=True)
+                    counts = np.bincount(back, weights=use[valid], minlength=len(keys)).astype(np.int64)
+                    at = shard_bounds(keys, shards, grams.bits[level])
+                    parts = [(s, a, b) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([s for s, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([level] * len(parts), pa.int32()),
+                        pa.array([pack_keys(keys[a:b]) for _, a, b in parts], pa.binary()), pa.array([pack_counts(counts[a:b]) for _, a, b in parts], pa.binary()),
+                    ], names=["shard", "block", "level", "keys", "counts"])
+
+    return dealt.mapInArrow(ask, _REQUEST).repartition(max(1, math.ceil(shards / PER_PARTITION)), "shard")
 
 
 def replies(asked: DataFrame) -> DataFrame:
@@ -137,43 +196,44 @@ def replies(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, _REPLY)
 
 
-def counts_by_place(grams: Grams, answers: pa.Table, shards: int) -> list[np.ndarray]:
-    """For each level the corpus count of the n-gram that ends at each place, 0 where none does."""
+def known_counts(grams: Grams, answers: pa.Table, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level the corpus counts of the different n-grams, in the order of their hashes, the first place of each, and each place's n-gram (-1 for none)."""
     got = {(r["level"], r["shard"]): r["counts"] for r in answers.select(["level", "shard", "counts"]).to_pylist()}
     out = []
     for level, (row, valid) in enumerate(zip(grams.keys, grams.valid, strict=True)):
-        keys, back = np.unique(row[valid], return_inverse=True)
-        at = shard_bounds(keys, shards)
+        places = np.flatnonzero(valid)
+        keys, first, back = np.unique(row[places], return_index=True, return_inverse=True)
+        at = shard_bounds(keys, shards, grams.bits[level])
         total = np.zeros(len(keys), np.int64)
         for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if b > a:
                 total[a:b] = unpack_counts(got[level, s], b - a)
-        found = np.zeros(len(row), np.int64)
-        found[valid] = total[back]
-        out.append(found)
+        found = np.full(len(row), -1)
+        found[places] = back
+        out.append((total, places[first], found))
     return out
 
 
 def distinct_words(docs: DataFrame) -> tuple[int, int]:
     """The number of tokens (words and ends) and of different tokens of the texts."""
-    shards = partitions(docs.sparkSession)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, tokens = np.zeros(0, np.uint64), 0
+
+        def emit(keys: np.ndarray, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([n] + [0] * (len(keys) - 1), pa.int64())], names=["hash", "tokens"])
+
         for batch in batches:
-            rows, tokens = [], 0
             for _, _, data, bounds in text_slices(batch.column("text"), BLOCK_BYTES // 4):
                 words, _ = word_hashes(data, bounds)
                 tokens += len(words) + len(bounds) - 1
-                keys = np.unique(np.append(words, END))
-                at = shard_bounds(keys, shards)
-                rows += [(s, pack_keys(keys[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows] + [0], pa.int32()), pa.array([r[1] for r in rows] + [b""], pa.binary()), pa.array([0] * n + [tokens], pa.int64())], names=["shard", "keys", "tokens"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(raw) for raw in table.column("keys").to_pylist() if raw]]))
-        return pa.table({"tokens": [pa.compute.sum(table.column("tokens")).as_py()], "different": [len(keys)]})
-
-    parts = docs.select("text").mapInArrow(run, "shard int, keys binary, tokens long")
-    found = parts.groupBy("shard").applyInArrow(merge, "tokens long, different long").agg(F.sum("tokens"), F.sum("different")).first()
+                seen = np.union1d(seen, np.append(words, END))
+                if len(seen) > WORDS_AT_ONCE:
+                    yield emit(seen, tokens)
+                    seen, tokens = np.zeros(0, np.uint64), 0
+        if len(seen):
+            yield emit(seen, tokens)
+
+    found = docs.select("text").mapInArrow(run, "hash long, tokens long").groupBy("hash").agg(F.sum("tokens").alias("tokens"))
+    found = found.agg(F.sum("tokens"), F.count("*")).first()
     return found[0] or 0, found[1] or 0

@@ -5,15 +5,19 @@ A state has an arc for each token that follows it there, weighted with the
 log-probability of the smoothed n-gram, and one failure arc to the state without
 the first token, weighted with what smoothing leaves to shorter histories. The
 empty history has an arc for every token. A text is read once from left to
-right: at each token the state follows failure arcs until it has an arc, and the
-weights of all arcs taken add up to the text's log-probability.
+right: at each token the state follows failure arcs until it has an arc for it,
+takes that arc, and the weights of all arcs taken add up to the text's log-probability.
 
-Smoothing is interpolation (Jelinek and Mercer): with weight ``back`` for the
-shorter history,
+Smoothing shrinks a history's counts towards the shorter history with ``prior``
+observations of the latter (MacKay and Peto's hierarchical model):
 
-    P(w | h) = (1 - back) * c(h w) / c(h) + back * P(w | shorter h),
+    P(w | h) = (c(h w) + prior * P(w | shorter h)) / (c(h) + prior),
 
-and ``P(w) = (c(w) + 1) / (N + V + 1)`` at the empty history.
+so a failure arc weighs ``prior / (c(h) + prior)``, and
+``P(w) = (c(w) + 1) / (N + V + 1)`` at the empty history.
+
+Counts are those of all training texts (``counting``). Each block of texts gets
+the part of the automaton that its own n-grams can reach.
 """
 
 from __future__ import annotations
@@ -23,35 +27,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import bound_batches, documents
-from docweave.llm.counting import Grams, counts_by_place, distinct_words, in_blocks, replies, requests
+from docweave.llm.common import bound_batches, documents, partitions
+from docweave.llm.counting import Grams, blocks_of, distinct_words, hash_bits, in_blocks, known_counts, replies, requests, unpack_rows
 
-#: Length of the n-grams and the share of probability that goes to the shorter history.
-ORDER, BACK = 2, 0.6
+#: Length of the n-grams, and observations of the shorter history that count with those of a history.
+ORDER, PRIOR = 3, 2.0
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def traverse(grams: Grams, counts: list[np.ndarray], outcomes: float, back: float) -> np.ndarray:
-    """For each place the summed weights of the arcs that reading its token takes.
+class Automaton:
+    """The states and arcs that the n-grams of some texts can reach.
 
-    All texts of a block are read at once: place by place each has its own
-    state, the longest history that the training texts hold.
+    State 0 is the empty history; the others are the n-grams of the levels below
+    the longest. ``fail`` and ``fail_weight`` have one entry a state, ``target``
+    and ``weight`` one an arc. ``arcs[k]`` gives each place the arc that a state of
+    ``k`` tokens has for the token there, or -1.
     """
-    weight = np.log10((counts[0] + 1.0) / outcomes)  # arcs of the empty history
-    probability = (counts[0] + 1.0) / outcomes
-    for level in range(1, len(counts)):
-        history = np.zeros(len(weight))
-        history[1:] = counts[level - 1][:-1]
-        state = grams.valid[level] & (history > 0)
-        arc = state & (counts[level] > 0)
-        probability[state] *= back
-        probability[arc] += (1 - back) * counts[level][arc] / history[arc]
-        weight[state] += np.log10(back)  # the failure arc, unless the state has an arc for the token
-        weight[arc] = np.log10(probability[arc])
-    return weight
-
-
-def score_documents(docs: DataFrame, trained: str = "crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2", order: int = ORDER, back: float = BACK) -> DataFrame:
+
+    def __init__(self, grams: Grams, known: list[tuple[np.ndarray, np.ndarray, np.ndarray]], outcomes: float, prior: float):
+        order = len(known)
+        sizes = [len(counts) for counts, _, _ in known]
+        first_state = np.concatenate([[1], 1 + np.cumsum(sizes[:-1])]).tolist()  # of each level
+        first_arc = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        states = 1 + sum(sizes[:-1])
+        self.fail, self.fail_weight = np.zeros(states, np.int64), np.zeros(states)
+        self.depth = np.zeros(states, np.int64)
+        self.arcs, weights, targets = [], [], []
+        probability = (known[0][0] + 1.0) / outcomes
+        for level, (counts, place, at) in enumerate(known):
+            if level:
+                history, shorter = known[level - 1][2][place - 1], known[level - 1][2][place]
+                probability = (counts + prior * probability[shorter]) / (known[level - 1][0][history] + prior)
+            own = first_state[level] + np.arange(sizes[level]) if level < order - 1 else np.zeros(sizes[level], np.int64)
+            suffix = first_state[level - 1] + known[level - 1][2][place] if level else np.zeros(sizes[level], np.int64)
+            if level < order - 1:
+                self.fail[own], self.depth[own] = suffix, level + 1
+                self.fail_weight[own] = np.log10(prior / (counts + prior))
+            # An n-gram that no training text holds is no state; its arc, if it has one, ends where failing would.
+            targets.append(np.where(counts > 0, own, suffix) if level < order - 1 else suffix)
+            weights.append(np.log10(probability))
+            self.arcs.append(np.where((at >= 0) & ((counts[at] > 0) | (level == 0)), first_arc[level] + at, -1) if sizes[level] else np.full(len(at), -1))
+        self.target, self.weight = np.concatenate(targets), np.concatenate(weights)
+        self.grams, self.known, self.first_state = grams, known, first_state
+
+    def read(self) -> np.ndarray:
+        """The log10 probability of each text: one pass over its tokens that carries a state."""
+        fail, fail_weight, depth = self.fail.tolist(), self.fail_weight.tolist(), self.depth.tolist()
+        target, weight = self.target.tolist(), self.weight.tolist()
+        start = int(self.known[0][2][self.grams.starts[0]]) if len(self.grams.sizes) else 0
+        begin = self.first_state[0] + start if len(self.known) > 1 and self.known[0][0][start] else 0
+        scores = []
+        for a, b in zip(self.grams.starts[:-1].tolist(), self.grams.starts[1:].tolist(), strict=True):
+            state, total = begin, 0.0
+            for found in zip(*[arcs[a + 1 : b].tolist() for arcs in self.arcs], strict=True):
+                arc = found[depth[state]]
+                while arc < 0:
+                    total += fail_weight[state]
+                    state = fail[state]
+                    arc = found[depth[state]]
+                total += weight[arc]
+                state = target[arc]
+            scores.append(total)
+        return np.array(scores)
+
+
+def score_documents(docs: DataFrame, trained: str = "crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2", order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``, scored by a model of the rows that ``trained`` selects.
 
     Columns: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
@@ -61,30 +102,33 @@ def score_documents(docs: DataFrame, trained: str = "crc32(cast(cast(doc_id as s
 
     Null texts are empty: one token, the end. A row with a null doc_id has a
     null condition and is held out. Repeated rows train once each and are scored
-    once each. Further columns are ignored; an empty table gives no rows.
+    once each. A very long text is a block by itself, read whole. Further columns are ignored; an empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", ~F.coalesce(F.expr(trained), F.lit(False)))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens, different = distinct_words(rows.where("not held_out"))
-    outcomes = float(tokens + different + 1)
-    dealt, shards = in_blocks(rows)
-    asked = requests(dealt, shards, order, lambda table: ~table.column("held_out").to_numpy())
-
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        if not texts.num_rows:
-            return pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
-        grams = Grams(texts.column("text").combine_chunks(), order)
-        counts = counts_by_place(grams, answers, shards)
+    outcomes, bits, shards = float(tokens + different + 1), hash_bits(size), blocks_of(size, partitions(spark))
+    dealt = in_blocks(rows, shards)
+    asked = requests(dealt, shards, order, bits, lambda table: ~table.column("held_out").to_numpy())
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return _ARROW.empty_table()
+        texts = unpack_rows(block.column("rows")[0].as_py())
+        grams = Grams(texts.column("text").combine_chunks(), order, bits)
+        known = known_counts(grams, answers, shards)
+        counts = known[0][0][known[0][2]]
         token = grams.token()
-        base = np.where(token, np.log10((counts[0] + 1.0) / outcomes), 0.0)
-        weight = np.where(token, traverse(grams, counts, outcomes, back), 0.0)
+        base = np.where(token, np.log10((counts + 1.0) / outcomes), 0.0)
         each = lambda values: np.add.reduceat(values, grams.starts[:-1])
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": grams.sizes + 1, "n_known": each((token & (counts[0] > 0)).astype(np.int64)),
-            "train_tokens": np.full(len(grams.sizes), tokens), "base_score": each(base), "score": each(weight),
-        })
+        columns = [
+            texts.column("doc_id"), texts.column("held_out"), grams.sizes + 1, each((token & (counts > 0)).astype(np.int64)),
+            np.full(len(grams.sizes), tokens), each(base), Automaton(grams, known, outcomes, prior).read(),
+        ]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=_ARROW)
 
     return dealt.groupBy("block").cogroup(replies(asked).groupBy("block")).applyInArrow(score, _SCHEMA)
 
