@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import best_fit, disclosure, edit_fingerprints, exact_topk, line_dedup, lm_scoring, minhash, mixing, quality, token_packing
+from docweave.llm import best_fit, counting, disclosure, edit_fingerprints, exact_topk, line_dedup, lm_scoring, minhash, mixing, quality, token_packing
 from docweave.llm.common import Scratch, iter_words
 from docweave.llm.components import components
 
@@ -532,70 +532,192 @@ def test_base_spans(spark, none):
     assert disclosure.disclosures(none).count() == 0
 
 
-def test_revealing_words_are_found_and_tagged(spark):
-    texts = [f"filler number {k} words here. Kundennummerkontakt user{k}@mail.example.org and more words" for k in range(12)] + [f"plain words and more of number {k}" for k in range(300)]
-    df = spark.createDataFrame(rows_of(texts), SCHEMA)
-    got = {r["doc_id"]: r for r in disclosure.sanitise(df).collect()}
-    assert "[TERM] [EMAIL]" in got[3]["text"] and "words" in got[3]["text"] and got[100]["text"] == texts[100]
-    for k in range(12):
-        spans = got[k]["spans"]
-        assert all(a["end"] <= b["start"] for a, b in itertools.pairwise(spans))
-        assert "Kundennummerkontakt" in [texts[k][s["start"] : s["end"]] for s in spans if s["kind"] == "term"]
+def brute_disclosures(rows, near_words=8):
+    """Spans and sanitised texts of ``(id, text)`` rows, by plain counting."""
+    blank = " \t\n\x0b\x0c\r"
+    counts, together, per_entity, texts_of, held = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set), {}
+    for _, text in rows:
+        text = text or ""
+        counts.update(words(text))
+        spans = brute_spans(text)
+        for _, _, _, kind in spans:
+            held.setdefault(text, set()).add((kind,))
+        for kind, pattern in KINDS.items():
+            found = list(re.finditer(pattern, text))
+            for n, m in enumerate(found):
+                if (m.start(), m.end(), kind) not in {(s, e, k) for s, _, e, k in spans}:
+                    continue
+                held[text].add((kind, m[0]))
+                left = text[found[n - 1].end() if n else 0 : m.start()]
+                right = text[m.end() : found[n + 1].start() if n + 1 < len(found) else len(text)]
+                before, after = WORD.findall(left)[::-1], WORD.findall(right)
+                before = before[1:] if left and left[-1] not in blank else before
+                after = after[1:] if right and right[0] not in blank else after
+                for word in before[:near_words] + after[:near_words]:
+                    if re.search(r"[^\W\d_]{2}", word) and not re.search(r"[0-9@+]", word):
+                        for entity in ((kind,), (kind, m[0])):
+                            key = entity, word.translate(LOWER)
+                            together[key] += 1
+                            texts_of[key].add(text)
+                            per_entity[entity] += 1
+    total = sum(counts.values())
+    reveals = collections.defaultdict(set)
+    for (entity, word), n in together.items():
+        least, texts = (disclosure.SUPPORT, disclosure.SUPPORT_TEXTS) if len(entity) == 1 else (disclosure.VALUE_SUPPORT, disclosure.VALUE_TEXTS)
+        content = -math.log2(per_entity[entity] / total)
+        if n >= least and len(texts_of[entity, word]) >= texts and content:
+            if (math.log2(min(n, counts[word]) / counts[word]) + content) / content >= disclosure.DISCLOSURE:
+                reveals[word].add(entity)
+    tags = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+    for k, text in rows:
+        base = brute_spans(text or "")
+        terms = [(m.start(), 4, m.end(), "term") for m in WORD.finditer(text or "") if reveals[m[0].translate(LOWER)] & held.get(text, set())]
+        spans = sorted(base + [t for t in terms if not any(s <= t[2] and t[0] <= e for s, _, e, _ in base)])
+        out, at = "", 0
+        for start, _, end, kind in spans:
+            if start >= at:
+                out += text[at:start] + tags[kind]
+            at = max(at, end)
+        yield k, spans, text and out + text[at:]
+
+
+def disclosure_rows():
+    rng = np.random.default_rng(17)
+    plain = [f"w{x}ord" if x % 9 == 0 else "word" + "abcdefghij"[x % 10] * (x // 10 + 1) for x in range(60)]
+    some = lambda n: " ".join(rng.choice(plain, n))
+    texts = [f"{some(9)} Kundennummerkontakt {some(2)} user{k}@mail.example.org and {some(12)}" for k in range(12)]
+    texts += [f"{some(30)} {some(10)}" for _ in range(60)]
+    texts += [f"Geheimwort {'x' * 70} ann@home.example {some(40)} Annabella Geheimwort,", f"{some(4)} Annabella ann@home.example {some(5)} Geheimwort", f"Annabella lives here {some(20)}", f"{some(5)} annabella: ann@home.example"]
+    texts += [f"mailto:bob@x.example, 4111 1111 1111 1111 +1 (555) 010-9999 {some(3)}\nhost 10.0.0.{k} and 10.0.0.{k + 1}" for k in range(3)]
+    texts += [None, "", "é" * 9 + " 中 a@b.c", "long " * 30_000 + "tail user3@mail.example.org Kundennummerkontakt " + "y" * 100_000]
+    return [(k, t) for k, t in enumerate(texts)] + [(3, texts[3])] * 3 + [(None, texts[4]), (None, texts[4]), (3, texts[72]), (None, None)]
+
+
+def test_disclosures_equal_plain_counting(spark):
+    rows = disclosure_rows()
+    df = spark.createDataFrame([(k, t, "s", "x") for k, t in rows], "doc_id long, text string, spans string, found string").repartition(3)
+    expected = sorted((repr(k), repr(t), [(s, e, kind) for s, _, e, kind in spans], repr(out)) for (k, spans, out), (_, t) in zip(brute_disclosures(rows), rows, strict=True))
+    got = disclosure.disclosures(df).collect()
+    assert sorted((repr(r["doc_id"]), repr(r["text"]), [(s["start"], s["end"], s["kind"]) for s in r["spans"]]) for r in got) == [x[:3] for x in expected]
+    clean = disclosure.sanitise(df)
+    assert clean.columns == ["doc_id", "text", "found", "spans"]
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in clean.collect()) == sorted((x[0], x[3]) for x in expected)
+    terms = {t[s:e] for (_, spans, _), (_, t) in zip(brute_disclosures(rows), rows, strict=True) for s, _, e, kind in spans if kind == "term"}
+    assert {"Kundennummerkontakt", "Geheimwort"} <= terms  # also beyond a long word, and where it stands alone
+
+
+def test_disclosure_query_digests(spark, tmp_path):
+    rows = disclosure_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = disclosure.op7_disclosure(spark, str(tmp_path)).collect()
+    expected = []
+    for k, spans, out in brute_disclosures(rows):
+        line = [f"{kind}:{s}:{e}" for s, _, e, kind in spans]
+        base = [x for x in line if not x.startswith("term")]
+        expected.append((repr(k), *[sum(x.startswith(kind) for x in line) for kind in KINDS], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(line), len(base), len(line) - len(base), repr(out)))
+    assert sorted((repr(r[0]), *r[1:-1], repr(r["sanitised"])) for r in got) == sorted(expected)
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores_equal_those_of_plain_counts(docs, none, order):
-    got = lm_scoring.score_documents(docs, order=order).collect()
+def brute_automaton(tokens, trained, order, prior):
+    """Each text's score by explicit states, arcs and failure arcs of all n-grams, and its base counts."""
+    counts = collections.Counter(tuple(w[k : k + n]) for w in trained for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    n = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 for g in counts) - (1 if ("<s>",) in counts else 0)
+    states = {()} | {g for g in counts if len(g) < order}
+    fail = {h: (h[1:], math.log10(prior / (counts[h] + prior))) for h in states if h}
+
+    def p(h, w):
+        return (counts[h + (w,)] + prior * p(h[1:], w)) / (counts[h] + prior) if h else (counts[w,] + 1) / (n + v + 1)
+
+    arcs = {(g[:-1], g[-1]): math.log10(p(g[:-1], g[-1])) for g in counts if g[:-1] in states}
+    for w in tokens:
+        state, total, base = ("<s>",) if ("<s>",) in states and order > 1 else (), 0.0, 0.0
+        for x in w[1:]:
+            while state and (state, x) not in arcs:
+                state, weight = fail[state][0], fail[state][1]
+                total += weight
+            total += arcs.get((state, x), math.log10(1 / (n + v + 1)))
+            state = state + (x,)
+            while state not in states:
+                state = state[1:]
+            base += math.log10((counts[x,] + 1) / (n + v + 1))
+        yield len(w) - 1, sum(counts[x,] > 0 for x in w[1:]), n, round(base, 6), round(total, 6)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_those_of_an_automaton_in_dictionaries(docs, none, order, monkeypatch):
+    monkeypatch.setattr(counting, "BLOCK_BYTES", 20_000)
+    got = lm_scoring.score_documents(docs, order=order, prior=1.5).collect()
     rows = docs.collect()
     tokens = [["<s>", *words(r["text"]), "</s>"] for r in rows]
     held = [r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
-    counts = collections.Counter(tuple(w[k : k + n]) for w, h in zip(tokens, held, strict=True) if not h for n in range(1, order + 1) for k in range(len(w) - n + 1))
-    n = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",))
-    v = sum(len(g) == 1 for g in counts) - 1
-    expected = []
-    for r, w, h in zip(rows, tokens, held, strict=True):
-        base = score = 0.0
-        for k in range(1, len(w)):
-            p = (counts[w[k],] + 1) / (n + v + 1)
-            base += math.log10(p)
-            for m in range(2, order + 1):
-                if k - m + 1 >= 0 and counts[tuple(w[k - m + 1 : k])]:
-                    p = 0.6 * p + 0.4 * counts[tuple(w[k - m + 1 : k + 1])] / counts[tuple(w[k - m + 1 : k])]
-            score += math.log10(p)
-        expected.append((repr(r["doc_id"]), h, len(w) - 1, sum(counts[x,] > 0 for x in w[1:]), n, round(base, 6), round(score, 6)))
+    found = brute_automaton(tokens, [w for w, h in zip(tokens, held, strict=True) if not h], order, 1.5)
+    expected = [(repr(r["doc_id"]), h, *x) for r, h, x in zip(rows, held, found, strict=True)]
     assert sorted((repr(r["doc_id"]), *r[1:5], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == sorted(expected)
-    assert lm_scoring.score_documents(none).count() == 0
+    if order == 3:
+        assert lm_scoring.score_documents(none).count() == 0
+        untrained = lm_scoring.score_documents(docs.where("doc_id < 12"), trained="false").collect()
+        assert {r["train_tokens"] for r in untrained} == {0} and all(r["score"] == r["base_score"] == 0 for r in untrained)
+
+
+def test_arcs_of_a_state_and_its_failure_arc_sum_to_one():
+    import pyarrow as pa
+
+    texts = pa.array(["a b a c", "a b b", "c a b a b", ""])
+    grams = counting.Grams(texts, 3)
+    known = []
+    for level in range(3):
+        places = np.flatnonzero(grams.valid[level])
+        keys, first, back = np.unique(grams.keys[level][places], return_index=True, return_inverse=True)
+        at = np.full(len(grams.keys[level]), -1)
+        at[places] = back
+        known.append((np.bincount(back), places[first], at))
+    tokens = int(grams.token().sum())
+    outcomes = tokens + len(known[0][0]) - 1 + 1.0
+    model = lm_scoring.Automaton(grams, known, outcomes, 2.0)
+    p = 10**model.weight
+    first_arc = np.concatenate([[0], np.cumsum([len(k[0]) for k in known])])
+    start = known[0][2][0]
+    assert sum(p[: first_arc[1]]) - p[start] + 1 / outcomes == pytest.approx(1)  # with the unknown word, without the start
+    for level in (1, 2):
+        for state in range(len(known[level - 1][0])):
+            own = [j for j, place in enumerate(known[level][1]) if known[level - 1][2][place - 1] == state]
+            if own:
+                at = model.first_state[level - 1] + state
+                lower = sum(p[first_arc[level - 1] + known[level - 1][2][known[level][1][j]]] for j in own)
+                assert sum(p[first_arc[level] + j] for j in own) + 10 ** model.fail_weight[at] * (1 - lower) == pytest.approx(1)
+
+
+def brute_topk(rows, k, every):
+    usable = [(n, i, [math.floor(256 * x) if abs(x) < 1e300 else 256 * int(x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, q, own in usable:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for m, i, v in usable if m != n)
+            out += [(q, rank + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def test_topk(spark):
     rng = np.random.default_rng(9)
     vectors = [[float(x) for x in rng.choice([0.0, 0.1, -0.2, 0.7], 6)] for _ in range(120)]
     vectors[3], vectors[4], vectors[5], vectors[6] = None, [0.1, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf")] + [0.0] * 5
-    vectors[7], vectors[8], vectors[9] = [], [0.5, 0.5], [1e30] * 6
-    rows = [(k, v, "x") for k, v in enumerate(vectors)] + [(None, [0.1] * 6, "x"), (50, vectors[50], "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    vectors[7], vectors[8], vectors[9], vectors[10], vectors[11], vectors[12] = [], [0.5, 0.5], [1e30] * 6, [-1.7e308] * 6, [1.7e308, 0.0], [1.6e308, 1e9]
+    vectors[100] = [1e20, 1.0, -3e15]
+    rows = list(enumerate(vectors)) + [(None, [0.1] * 6), (50, vectors[50]), (50, vectors[50]), (0, [0.7] * 6), (7, vectors[8]), (-50, [1e200, -1e200])]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, rank string, q string")
     got = exact_topk.exact_topk(df, df.where("vec_id % 50 = 0"), 5).collect()
-    usable = [(k, [math.floor(256 * x) for x in v]) for k, v, _ in rows if k is not None and v is not None and k not in (4, 5, 6, 9)]
-    expected = []
-    for q in (0, 50, 100):
-        own = dict(usable)[q]
-        scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), k) for k, v in usable if k != q)
-        expected += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored[:5])]
-    assert sorted(map(tuple, got)) == sorted(expected)
+    assert sorted(map(tuple, got)) == brute_topk(rows, 5, 50)
     assert exact_topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
-    assert exact_topk.exact_topk(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+    assert exact_topk.exact_topk(df.where("vec_id = 100"), df.where("vec_id = 100")).count() == 0
 
 
 def test_topk_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "CANDIDATE_BLOCK", 40)
     monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "LEAST_BLOCK", 20)
     rng = np.random.default_rng(10)
     rows = [(k, [float(x) for x in rng.integers(-3, 4, 5) / 256]) for k in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, exact_topk.exact_topk(df, df.where("vec_id % 20 = 0"), 5).collect()))
-    whole = {k: [round(256 * x) for x in v] for k, v in rows}
-    expected = []
-    for q in range(0, 200, 20):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), k) for k, v in whole.items() if k != q)
-        expected += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored[:5])]
-    assert got == sorted(expected)
+    assert got == brute_topk(rows, 5, 20)
