@@ -9,11 +9,19 @@ of the walks (Chakraborty, Goldenberg and Koucky, 2016).
 A fingerprint keeps the walk's length and, at shared random places, ``PER_OCTAVE``
 in each power of two, a four-bit hash of the character shown. Hence fingerprints of
 short and very long texts are comparable and grow with the logarithm of the length.
+
+Near copies are found by bands: hashes of the symbols at a few sampled places. How
+many places a band samples grows with the logarithm of the number of fingerprints, and
+the number of bands with it, so that chance buckets stay small and the share of pairs
+missed (``MISS`` at the least likeness) stays the same. Pairs are verified on the
+whole fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +39,10 @@ CLASSES, PERIOD = 64, 1024
 PER_OCTAVE = 32
 #: Share of places at which unrelated texts agree.
 CHANCE = 1 / 8
-#: Bands of a fingerprint and sampled characters in each.
-BANDS, BAND_SIZE = 16, 6
+#: Likeness of near copies, and the share of pairs of just that likeness that share no band.
+LEAST, MISS = 0.8, 0.05
+#: Fingerprints of a leader's group that are compared in one task, on either side.
+BLOCK = 1000
 _OCTAVES = 40
 _CHUNK = 1 << 16
 
@@ -58,12 +68,7 @@ class Walks:
         self.weights = np.concatenate([np.ones(PER_OCTAVE), *[np.full(PER_OCTAVE, 2.0**k / PER_OCTAVE) for k in range(first, _OCTAVES)]])
         self.salts = rng.integers(0, 1 << 63, len(self.places), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.first = first
-        # Bands sample the places of one octave and those below, in proportion to their weights.
-        self.bands = {}
-        for k in range(_OCTAVES - first + 1):
-            n = PER_OCTAVE * (k + 1)
-            share = self.weights[:n] / self.weights[:n].sum()
-            self.bands[k] = rng.choice(n, (BANDS, BAND_SIZE), p=share)
+        self.total = np.concatenate([[0.0], np.cumsum(self.weights)])
 
     def extend(self, state: tuple[int, np.ndarray], points: np.ndarray) -> tuple[int, np.ndarray]:
         """The state (length, symbols) after further characters."""
@@ -93,15 +98,37 @@ class Walks:
         agree = self.weights[:short][a[1][:short] == b[1][:short]].sum() / self.weights[:long].sum()
         return float(min(1.0, max(0.0, (agree - CHANCE) / (1 - CHANCE))))
 
-    def band_keys(self, state: tuple[int, np.ndarray]) -> list[int]:
-        """Hashes of sampled symbols. A walk is banded as of its octave and the one below, so lengths need not agree."""
-        top = len(state[1]) // PER_OCTAVE - 1
-        out = []
-        for k in {top, top - 1}:
-            if k >= 0:
-                for n, at in enumerate(self.bands[k]):
-                    digest = hashlib.blake2b(bytes([k, n]) + state[1][at].tobytes(), digest_size=8).digest()
-                    out.append(int.from_bytes(digest, "little", signed=True))
+    def likeness_to_all(self, one: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``likeness`` of one row of symbols to many, which stand in a matrix filled up with 255."""
+        n = min(len(one), others.shape[1])
+        agree = (others[:, :n] == one[:n]) @ self.weights[:n] / np.maximum(self.total[np.maximum(sizes, len(one))], 1e-300)
+        return np.clip((agree - CHANCE) / (1 - CHANCE), 0.0, 1.0)
+
+
+def band_plan(n: int) -> tuple[int, int]:
+    """How many places a band samples and how many bands there are, for ``n`` fingerprints."""
+    size = max(4, math.ceil(math.log(max(n, 2)) / math.log(1 / CHANCE)) + 1)
+    meets = (LEAST * (1 - CHANCE) + CHANCE) ** size
+    return size, math.ceil(math.log(MISS) / math.log(1 - meets))
+
+
+class Bands:
+    """Sampled places of the first so many symbols, in proportion to their weights."""
+
+    def __init__(self, walks: Walks, size: int, bands: int, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.ends = [1 << k for k in range(walks.first)] + [PER_OCTAVE * (k + 1) for k in range(_OCTAVES - walks.first + 1)]
+        self.places = [rng.choice(n, (bands, size), p=walks.weights[:n] / walks.weights[:n].sum()) for n in self.ends]
+        self.total = walks.total
+
+    def keys(self, symbols: np.ndarray) -> list[int]:
+        """Hashes of a walk's bands: those up to the last end that it reaches, and up to the one before if a near copy may stop short of the last."""
+        out, n = [], len(symbols)
+        top = int(np.searchsorted(self.ends, n, "right")) - 1
+        for k in (top, top - 1):
+            if k >= 0 and (k == top or self.total[self.ends[top]] >= (LEAST * (1 - CHANCE) + CHANCE) * self.total[n]):
+                for b, at in enumerate(self.places[k]):
+                    out.append(int.from_bytes(hashlib.blake2b(bytes([k, b]) + symbols[at].tobytes(), digest_size=8).digest(), "little", signed=True))
         return out
 
 
@@ -122,97 +149,189 @@ def from_string(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(length, 16), np.where(digits >= 97, digits - 87, digits - 48).astype(np.uint8)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, fingerprint, bands`` of every row of ``docs(doc_id, text, ...)``.
+def pack(state: tuple[int, np.ndarray]) -> bytes:
+    """A fingerprint in half the bytes of its symbols."""
+    symbols = np.append(state[1], np.zeros(len(state[1]) % 2, np.uint8))
+    return state[0].to_bytes(8, "little") + len(state[1]).to_bytes(2, "little") + (symbols[::2] << 4 | symbols[1::2]).tobytes()
+
 
-    Null texts count as empty; an empty text has the fingerprint ``0.`` and no
-    bands. Equal texts have equal fingerprints. Further columns are ignored.
+def unpack(raw: bytes) -> tuple[int, np.ndarray]:
+    pairs = np.frombuffer(raw, np.uint8, offset=10)
+    return int.from_bytes(raw[:8], "little"), np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[: int.from_bytes(raw[8:10], "little")]
+
+
+def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
+    """``node, print`` and the columns ``kept`` of every row of ``docs(text, ...)``.
+
+    ``print`` is the packed fingerprint and ``node`` a hash of it. Null texts count as
+    empty; equal texts have equal fingerprints.
     """
+    bound_batches(docs.sparkSession)
+    chosen = docs.select(*kept, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            states = [walks.of(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(map(to_string, states), pa.string()), pa.array([walks.band_keys(s) for s in states], pa.list_(pa.int64()))],
-                names=["doc_id", "n_chars", "fingerprint", "bands"],
-            )
+            prints = [pack(walks.of(t or "")) for t in batch.column("text").to_pylist()]
+            nodes = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in prints]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=[*kept, "node", "print"])
 
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string, bands array<long>")
+    kinds = "".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}, " for c in kept)
+    return chosen.mapInArrow(run, f"{kinds}node long, print binary")
 
 
-def near_copies(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """``fingerprint, class_id`` for ``fingerprints()`` rows: bit-sampled banding, then verification.
+def near_copies(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """``node, class_id`` for rows of ``fingerprints()``: bit-sampled banding, then verification.
 
-    Equal fingerprints are one node. Within each bucket of a band every node is
-    held against the bucket's least one, and is linked with it if their likeness
-    reaches ``least``; ``class_id`` is the least fingerprint hash that links
-    reach. Buckets are never spelt out into pairs.
+    Equal fingerprints are one node. Every node of a bucket is held against the
+    bucket's least one, its leader, and linked if their likeness reaches ``least``. Then
+    nodes of one leader's group that lie in different classes are compared block by
+    block within tasks, so no link between nodes that share a bucket is lost and none is
+    spelt out. ``class_id`` is the least node that links reach. A pair of just the least
+    likeness misses all buckets with a chance of ``MISS``, closer ones far more rarely. Empty
+    texts are one node, in a class of its own.
     """
     scratch = Scratch(prints.sparkSession, "editprints")
-    nodes = scratch.save(prints.select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "bands").dropDuplicates(["fingerprint"]), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    first = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = buckets.join(first, "band").where("node <> leader").select("node", "leader").distinct()
-    left = nodes.select("node", F.col("fingerprint").alias("a"))
-    right = nodes.select(F.col("node").alias("leader"), F.col("fingerprint").alias("b"))
+    nodes = scratch.save(prints.groupBy("node").agg(F.first("print").alias("print")), "nodes")
+    size, bands = band_plan(nodes.count())
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Bands(Walks(), size, bands)
+        for batch in batches:
+            keys = [plan.keys(unpack(p)[1]) for p in batch.column("print").to_pylist()]
+            owners = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), pa.array(owners, pa.int64())], names=["band", "node"])
+
+    buckets = nodes.mapInArrow(banded, "band long, node long")
+    led = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
+    groups = scratch.save(buckets.join(led, "band").select("leader", "node").distinct(), "groups")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
         for batch in batches:
-            keep = [walks.likeness(from_string(x), from_string(y)) >= least for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            keep = [walks.likeness(unpack(x), unpack(y)) >= least for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["node", "leader"]).filter(pa.array(keep, pa.bool_()))
 
-    links = pairs.join(left, "node").join(right, "leader").select("node", "leader", "a", "b").mapInArrow(verify, "node long, leader long")
-    found = scratch.save(components(scratch, links.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "classes").withColumnRenamed("node", "_n")
-    return nodes.join(found, F.col("node") == F.col("_n"), "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
+    pairs = groups.where("node <> leader")
+    left, right = nodes.select("node", F.col("print").alias("a")), nodes.select(F.col("node").alias("leader"), F.col("print").alias("b"))
+    links = pairs.join(right, "leader").join(left, "node").select("node", "leader", "a", "b").mapInArrow(verify, "node long, leader long")
+    labels = scratch.save(components(scratch, links.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "labels")
+    further = scratch.save(_links_between(nodes, groups, labels, least), "further")
+    merged = scratch.save(components(scratch, further, "again"), "merged").select(F.col("node").alias("_label"), F.col("component").alias("_class"))
+    found = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    return found.join(merged, F.col("label") == F.col("_label"), "left").select("node", F.coalesce("_class", "label").alias("class_id"))
+
+
+def _links_between(nodes: DataFrame, groups: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """``u, v``: labels that a likeness between two members of one leader's group joins; groups of one label are done."""
+    members = groups.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("label"))
+    counts = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1 and n > 2")
+    mixed = mixed.select("leader", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("y_blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("x_blocks"))
+    apart = members.join(mixed, "leader")
+    spread = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    columns = ["leader", "x", "y", "asks", "node", "label"]
+    xs = apart.where("label <> main").withColumns({"x": spread("x_blocks"), "y": every("y_blocks"), "asks": F.lit(True)}).select(*columns)
+    ys = apart.withColumns({"y": spread("y_blocks"), "x": every("x_blocks"), "asks": F.lit(False)}).select(*columns)
+    rows = xs.unionByName(ys).join(nodes, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        walks, found = Walks(), set()
+        asks, of = table.column("asks").to_numpy(zero_copy_only=False), table.column("label").to_numpy()
+        symbols = [unpack(p)[1] for p in table.column("print").to_pylist()]
+        others = np.flatnonzero(~asks)
+        if len(others):
+            sizes = np.array([len(symbols[k]) for k in others])
+            matrix = np.full((len(others), int(sizes.max())), 255, np.uint8)
+            for row, k in enumerate(others.tolist()):
+                matrix[row, : len(symbols[k])] = symbols[k]
+            for k in np.flatnonzero(asks).tolist():
+                near = (walks.likeness_to_all(symbols[k], matrix, sizes) >= least) & (of[others] != of[k])
+                found.update((max(int(of[k]), x), min(int(of[k]), x)) for x in of[others[near]].tolist())
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+    return rows.groupBy("leader", "x", "y").applyInArrow(compare, "u long, v long").distinct()
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``place, tie`` (what the order goes by), ``doc_id, text``."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"),
+        F.xxhash64("text").alias("tie"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+
+
+def _ranges(rows: DataFrame, n: int):
+    """A function that adds ``part``, a row's range in the order of place and tie, to a DataFrame with these two.
+
+    Ids are cut at their quantiles; an id that several quantiles fall on is cut again by its ties.
+    """
+    cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 25 * n)).first()[0] or []
+    often = {float(c): times for c, times in Counter(map(float, cuts)).items() if times > 1}
+    splits = [float("-inf"), *sorted({float(c) for c in cuts} | {0.0} | {math.nextafter(c, math.inf) for c in often}), float("inf")]
+    shares = F.create_map(*[F.lit(x) for c, times in often.items() for x in (c, float(times))]) if often else None
 
+    def add(df: DataFrame) -> DataFrame:
+        placed = Bucketizer(splits=splits, inputCol="_x", outputCol="_range").transform(df.withColumn("_x", F.col("place").cast("double")))
+        share = F.coalesce(F.try_element_at(shares, F.col("_x")), F.lit(1.0)) if often else F.lit(1.0)
+        within = F.floor(F.least((F.col("tie") / F.lit(2.0**64) + 0.5) * share, share - 1e-6))
+        return placed.withColumn("part", (F.col("_range") * (n + 1) + within).cast("long")).drop("_x", "_range")
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    return add
+
+
+def edited_fingerprints(docs: DataFrame, least: float | None = LEAST) -> DataFrame:
     """Fingerprints of every text and of its edited form, compared with each other and with the next text's.
 
     Rows stand in descending order of doc_id (null last, ties by a hash of the
     text); after the last comes the first. In the edited text the last
     ``floor(n_chars / 3)`` code points are the first as many (or all) of the next
     row's. Columns: ``doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, bands``. Null texts are empty;
-    a single row is its own next; further columns are ignored; an empty table
-    gives no rows.
-
-    The order never passes through one task: ids are cut at their quantiles into
-    ranges, each range is walked in order, and the last row of a range is also
-    sent to the range after it.
+    edited_fingerprint, near_edited, near_next, class_id``, the last being the class of ``near_copies``
+    (null with ``least=None``). Null texts are empty, and a class of their own;
+    a single row is its own next; rows that repeat doc_id and text stand next to each other. Very long
+    texts are walked whole. Further columns are ignored; an empty table gives no rows.
+
+    The order never passes through one task: it is cut into ranges at quantiles, each range is
+    walked in order, and the last row of a range is also sent to the range after it. Only rows that
+    repeat both doc_id and text stay together.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"),
-        F.xxhash64("text").alias("tie"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("_x", F.col("place").cast("double"))
+    scratch = Scratch(spark, "edited")
+    rows = _placed(docs)
     n = partitions(spark)
-    cuts = rows.agg(F.percentile_approx("place", [k / (4 * n) for k in range(1, 4 * n)], 100 * n)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts} | {0.0}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_range").transform(rows).withColumn("part", F.col("_range").cast("int")).drop("_x", "_range")
+    add_part = _ranges(rows, 4 * n)
+    ranged = add_part(rows)
     # One row a range, some per shuffle partition: the number is set by the session, not by the data.
     last = ranged.groupBy("part").agg(F.max(F.struct("place", "tie")).alias("last")).orderBy("part").collect()
     ends = [(r["last"]["place"], r["last"]["tie"], last[(k + 1) % len(last)]["part"]) for k, r in enumerate(last)]
-    ends = spark.createDataFrame(ends, "place long, tie long, goes int")
+    ends = spark.createDataFrame(ends, "place long, tie long, goes long")
     sent = ranged.join(F.broadcast(ends), ["place", "tie"], "left")
     own, extra = F.struct(F.col("part").alias("part"), F.lit(1).alias("own")), F.struct(F.col("goes").alias("part"), F.lit(0).alias("own"))
     sent = sent.withColumn("to", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, extra))))
-    sent = sent.select("to.part", "to.own", "place", "tie", "doc_id", "text").repartition(n, "part").sortWithinPartitions("part", "own", "place", "tie")
+    columns = ["part", "own", "place", "tie", "kind", "doc_id", "text", "class_id"]
+    sent = sent.select("to.part", "to.own", "place", "tie", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("long").alias("class_id")).select(*columns)
+    if least is not None:
+        # Classes travel to their rows' ranges, each just ahead of its row.
+        prints = scratch.save(fingerprints(rows, "place", "tie"), "prints")
+        classes = prints.select("place", "tie", "node").join(near_copies(prints, least), "node").select("place", "tie", "class_id").distinct()
+        heads = add_part(classes).select("part", F.lit(1).alias("own"), "place", "tie", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "class_id")
+        sent = sent.unionByName(heads)
+    sent = sent.repartition(n, "part").sortWithinPartitions("part", "own", "place", "tie", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
-        part, after, after_state = None, "", (0, np.zeros(0, np.uint8))
+        part, after, after_state, class_id = None, "", (0, np.zeros(0, np.uint8)), None
         empty = (0, np.zeros(0, np.uint8))
         for batch in batches:
             out = []
-            for to, own, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "own", "doc_id", "text")), strict=True):
+            for to, own, kind, doc_id, text, given in zip(*(batch.column(c).to_pylist() for c in ("part", "own", "kind", "doc_id", "text", "class_id")), strict=True):
+                if not kind:
+                    class_id = given
+                    continue
                 points = code_points(text)
                 if to != part:
                     part, after, after_state = to, text, None
@@ -225,15 +344,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                     changed = text[: len(text) - cut] + after[:cut]
                     edited = walks.extend(head, code_points(after[:cut])) if cut else state
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((doc_id, len(text), sha, to_string(state), to_string(edited), walks.likeness(state, edited), walks.likeness(state, after_state), walks.band_keys(state)))
+                    out.append((doc_id, len(text), sha, to_string(state), to_string(edited), walks.likeness(state, edited), walks.likeness(state, after_state), class_id))
                 after, after_state = text, state
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
 
-    return sent.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands array<long>")
+    return sent.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and their edited texts."""
+    """All documents and their edited texts, and the classes of near copies."""
     return edited_fingerprints(documents(spark, sf_dir))
