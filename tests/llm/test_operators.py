@@ -272,7 +272,7 @@ def test_fingerprints_of_odd_rows(docs):
     assert len({r["fingerprint"] for r in got if r["doc_id"] == 9}) == 1
 
 
-def test_likeness_falls_with_edits_and_bands_find_copies(spark):
+def test_likeness_falls_with_edits():
     rng = np.random.default_rng(8)
     letters = np.array(list("abcdefghij "))
     base = "".join(rng.choice(letters, 4000))
@@ -285,11 +285,87 @@ def test_likeness_falls_with_edits_and_bands_find_copies(spark):
         found.append(walks.likeness(walks.of(base), walks.of("".join(changed))))
     assert found[0] > 0.95 and found[0] > found[1] > found[2]
     assert walks.likeness(walks.of(base), walks.of("".join(rng.choice(letters, 4000)))) < 0.15
-    texts = [base, base, base[:2000] + "!" + base[2000:], "".join(rng.choice(letters, 3900))]
-    prints = edit_fingerprints.fingerprints(spark.createDataFrame(rows_of(texts), SCHEMA)).cache()
-    classes = {r["fingerprint"]: r["class_id"] for r in edit_fingerprints.near_copies(prints).collect()}
-    ids = [classes[r["fingerprint"]] for r in prints.orderBy("doc_id").collect()]
-    assert ids[0] == ids[1] == ids[2] != ids[3]
+    for text in ("", "a", "ab" * 40, base):
+        state = walks.of(text)
+        back = edit_fingerprints.unpack(edit_fingerprints.pack(state))
+        assert back[0] == state[0] and np.array_equal(back[1], state[1])
+
+
+def plain_walk(text, walks):
+    """The fingerprint by the definition: one character after the other, one place after the other."""
+    j, symbols, shown = 0, [], []
+    for c in map(ord, text):
+        stays = walks.steps[(c * 2654435761 & 0xFFFFFFFF) >> 26][j % edit_fingerprints.PERIOD]
+        shown += [c] * stays
+        j += stays
+    for place, salt in zip(walks.places.tolist(), walks.salts.tolist(), strict=True):
+        if place < j:
+            symbols.append(((shown[place] + 1) * salt & (1 << 64) - 1) >> 60)
+    return j, symbols
+
+
+def plain_likeness(walks, a, b):
+    if a == b:
+        return 1.0
+    short, long = sorted((len(a[1]), len(b[1])))
+    agree = sum(w for w, x, y in zip(walks.weights.tolist(), a[1], b[1], strict=False) if x == y) / max(sum(walks.weights[:long].tolist()), 1e-300)
+    return min(1.0, max(0.0, (agree - 1 / 8) / (7 / 8))) if short else 0.0
+
+
+def test_classes_of_near_copies_and_their_recall(spark, none, monkeypatch):
+    monkeypatch.setattr(edit_fingerprints, "BLOCK", 5)
+    rng = np.random.default_rng(14)
+    letters = np.array(list("abcdefghij "))
+    texts = [None, "", "a", "ab", "ab", "abcdefgh" * 3, "abcdefgh" * 3 + "x"]
+    for family in range(12):
+        base = "".join(rng.choice(letters, int(rng.integers(20, 3000))))
+        texts.append(base)
+        for _ in range(9):
+            changed = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(1, max(2, len(base) // 60)))):
+                changed[at] = str(rng.choice(["", "zz", "y"]))
+            texts.append("".join(changed))
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, class_id string").repartition(4)
+    got = {r["doc_id"]: r for r in edit_fingerprints.edited_fingerprints(df).collect()}
+    walks = edit_fingerprints.Walks()
+    states = [plain_walk(t or "", walks) for t in texts]
+    for k, text in enumerate(texts):
+        text, after = text or "", texts[k - 1] or ""
+        cut = len(text) // 3
+        edited = plain_walk(text[: len(text) - cut] + after[:cut], walks)
+        assert got[k]["fingerprint"] == f"{states[k][0]:x}." + "".join(f"{x:x}" for x in states[k][1])
+        assert got[k]["near_edited"] == pytest.approx(plain_likeness(walks, states[k], edited))
+        assert got[k]["near_next"] == pytest.approx(plain_likeness(walks, states[k], states[k - 1]))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if plain_likeness(walks, states[a], states[b]) >= edit_fingerprints.LEAST]
+    assert len(pairs) > 150
+    assert sum(got[a]["class_id"] == got[b]["class_id"] for a, b in pairs) >= 0.95 * len(pairs)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(b)] = find(a)
+    joined = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if got[a]["class_id"] == got[b]["class_id"]}
+    assert all(find(a) == find(b) for a, b in joined)  # classes hold nothing that links do not reach
+    assert got[0]["class_id"] == got[1]["class_id"] != got[2]["class_id"]
+    assert edit_fingerprints.near_copies(edit_fingerprints.fingerprints(none)).count() == 0
+
+
+def test_ranges_split_one_id_by_its_texts(spark):
+    rows = [(None if k % 3 else 7, f"text {k} of one id") for k in range(300)] + [(None, "same")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = edit_fingerprints.edited_fingerprints(df, least=None).collect()
+    order = [r["text"] for r in edit_fingerprints._placed(df).orderBy("place", "tie").collect()]
+    walks = edit_fingerprints.Walks()
+    expected = []
+    for k, text in enumerate(order):
+        expected.append((len(text), edit_fingerprints.to_string(walks.of(text)), round(walks.likeness(walks.of(text), walks.of(order[k - 1])), 9)))
+    assert sorted((r["n_chars"], r["fingerprint"], round(r["near_next"], 9)) for r in got) == sorted(expected)
+    parts = edit_fingerprints._ranges(edit_fingerprints._placed(df), 16)(edit_fingerprints._placed(df)).groupBy("part").count().collect()
+    assert len(parts) >= 10 and max(r["count"] for r in parts) <= 80
 
 
 def test_mixing(docs, none):
