@@ -175,6 +175,18 @@ def json_block(text: Column) -> Column:
     return F.nullif(F.regexp_extract(without_fences(text), r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def json_block_with(text: Column, first: str, second: str) -> Column:
+    """Braces that hold arrays of both keys, the first before the second, and no braces outside them; else those of ``json_block``."""
+    array = r"[^{}]*\[[^\]]*\][^{}]*"
+    both = F.regexp_extract(without_fences(text), rf'\{{[^{{}}]*"{first}"{array}"{second}"{array}\}}', 0)
+    return F.coalesce(F.nullif(both, F.lit("")), json_block(text))
+
+
+def parsed(text: Column, schema: str) -> Column:
+    """JSON text by a schema; null and text that is no JSON give a struct without values instead of null."""
+    return F.coalesce(F.from_json(text, schema), F.from_json(F.lit("{}"), schema))
+
+
 def parse_answer(text: Column) -> Column:
     """``struct(answer, answerable, related_context)`` of a reply in three parts; other replies are answers as they are."""
     parts = F.split(text, "========", -1)
@@ -222,8 +234,8 @@ def confidence(answer: Column, context: Column, answerable: Column) -> Column:
 
 
 def make_id(kind: Column, key: Column) -> Column:
-    """An id that the same key always gets."""
-    return F.concat(F.lower(kind), F.lit("_"), F.substring(F.sha2(key, 256), 1, 8))
+    """An id that the same key always gets; 128 bits, so that no two keys share one at any size."""
+    return F.concat(F.lower(kind), F.lit("_"), F.substring(F.sha2(key, 256), 1, 32))
 
 
 def column_list(value: Column) -> Column:
@@ -269,6 +281,26 @@ def cell_address(row: Column, column: Column) -> Column:
     return F.concat(name, row.cast("string"))
 
 
+def row_and_column(address: Column) -> Column:
+    """``struct(row, column)``, one-based, of an address such as B7 or AA3; null for anything else."""
+    letters, digits = F.regexp_extract(address, "^([A-Z]{1,3})([0-9]+)$", 1), F.regexp_extract(address, "^([A-Z]{1,3})([0-9]+)$", 2)
+    number = F.aggregate(F.split(letters, ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64)
+    return F.when(letters != "", F.struct(digits.cast("int").alias("row"), number.alias("column")))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template's ``{name}`` places filled with columns; nulls fill with nothing."""
+    parts, rest = [], template
+    while rest:
+        places = [(rest.index("{" + name + "}"), name) for name in values if "{" + name + "}" in rest]
+        if not places:
+            break
+        at, name = min(places)
+        parts += [F.lit(rest[:at]), F.coalesce(values[name].cast("string"), F.lit(""))]
+        rest = rest[at + len(name) + 2 :]
+    return F.concat(*parts, F.lit(rest))
+
+
 def kilobytes(size: Column) -> Column:
     return F.concat(F.format_string("%.1f", size / 1024.0), F.lit(" KB"))
 
@@ -278,6 +310,30 @@ def preview(text: Column, most: int = 500) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
+def iso_stamp(stamp: Column) -> Column:
+    """A time as ISO text with microseconds."""
+    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def parse_iso(text: Column) -> Column:
+    """A time from ISO text, with or without fractions; null for anything else."""
+    return F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" ")))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: by their byte order mark, else as UTF-8 if they are that, else as UTF-16 if every second byte of the start is 0, else as Latin-1."""
+    start = F.substring(F.hex(content), 1, 64)
+    as_utf8 = content.cast("string")
+    return (
+        F.when(start.startswith("EFBBBF"), F.decode(F.substring(content, F.lit(4), F.length(content)), "UTF-8"))
+        .when(start.startswith("FFFE") | start.startswith("FEFF"), F.decode(content, "UTF-16"))
+        .when(start.rlike("^([0-9A-F]{2}00){2,}$"), F.decode(content, "UTF-16LE"))
+        .when(start.rlike("^(00[0-9A-F]{2}){2,}$"), F.decode(content, "UTF-16BE"))
+        .when(F.is_valid_utf8(as_utf8), as_utf8)
+        .otherwise(F.decode(content, "ISO-8859-1"))
+    )
+
+
 def local_time(stamp: Column, zone: str = "Asia/Ho_Chi_Minh") -> Column:
     return F.date_format(F.from_utc_timestamp(stamp, zone), "yyyy-MM-dd HH:mm:ss")
 

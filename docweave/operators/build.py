@@ -1,93 +1,162 @@
-"""Extractions into a graph: normalisation of nodes and edges, and the builders for text and table documents."""
+"""Extractions into a graph: the builders for text and table documents.
 
-from __future__ import annotations
+Both work on one row a chunk: ids are resolved and edges made inside the row, by
+array functions; the rows are written once, and nodes and edges are read from
+them. Only nodes that several chunks name meet in a shuffle.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import describe, make_id
-from docweave.operators.graph import first_of
+from docweave.operators.store import Store
+
+_NODE = "id string, label string, name string, type string, text string, summary string, embedding array<double>, properties map<string,string>"
+_FIELDS = [field.split(" ", 1) for field in _NODE.split(", ")]
+_EDGE = "src string, dst string, type string"
+
+
+def _node(key: Column, label: str | Column, pos: Column, **values: Column) -> Column:
+    """One node as a struct of all fields and ``pos``, its place in the chunk."""
+    given = {"id": key, "label": F.lit(label) if isinstance(label, str) else label, **values}
+    return F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FIELDS], pos.cast("int").alias("pos"))
+
+
+def _edge(src: Column, dst: Column, kind: str) -> Column:
+    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
 
-_EDGE = ["src", "dst", "type"]
 
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
-def _edge(df: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
-    return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"))
 
+def _member(item: Column, fields: set[str], name: str, kind: str) -> Column:
+    """A field of a struct whose schema may lack it."""
+    return item[name].cast(kind) if name in fields else F.lit(None).cast(kind)
 
-def _node(df: DataFrame, key: str, label: str, name: str | None = None, kind: str | None = None, text: str | None = None) -> DataFrame:
-    column = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    return df.select(F.col(key).alias("id"), F.lit(label).alias("label"), column(name).alias("name"), column(kind).alias("type"), column(text).alias("text"))
+
+def _fields(df: DataFrame, array: str, inner: str | None = None) -> set[str]:
+    kind = df.schema[array].dataType.elementType
+    return set((kind[inner].dataType if inner else kind).fieldNames()) if inner is None or inner in kind.fieldNames() else set()
+
+
+def _heads(df: DataFrame, text: str, summary: str, embedding: str) -> DataFrame:
+    """With ids of document and chunk, and the nodes and the edge of both."""
+    out = df.withColumn("doc", make_id(F.lit("document"), F.col("document"))).withColumn("chunk", make_id(F.lit("chunk"), F.concat_ws("/", "document", "chunk_id")))
+    metadata = _optional(df, "metadata", "map<string,string>")
+    head = F.array(
+        _node(F.col("doc"), "Document", F.lit(-2), name=F.col("document")),
+        _node(F.col("chunk"), "Chunk", F.lit(-1), text=F.col(text), summary=_optional(df, summary, "string"), embedding=_optional(df, embedding, "array<double>"), properties=metadata),
+    )
+    return out.withColumn("head", head)
+
+
+def _collected(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of ``rows(chunk, nodes, edges)``; of nodes with one id the first, by chunk and place, counts."""
+    saved = Store(rows.sparkSession, name).save(rows.select("chunk", F.col("all_nodes"), F.col("all_edges")), "chunks")
+    nodes = saved.select("chunk", F.explode("all_nodes").alias("n"))
+    first = nodes.groupBy("n.id").agg(F.min_by("n", F.struct("chunk", "n.pos")).alias("n"))
+    return first.select(*[f"n.{field}" for field, _ in _FIELDS]), saved.select(F.inline("all_edges")).distinct()
 
 
 def text_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of ``extractions(document, chunk_id, chunk_text, entities, relationships)``.
+    """Nodes and edges of ``extractions(document, chunk_id, chunk_text, entities, relationships[, summary, embedding, metadata])``.
 
     A document contains its chunks, a chunk mentions its entities, a description
     describes an entity or relationship, and both ends are related to the
     relationship's node. Entities are not merged across chunks. Relationships
     name their ends; of entities of one name the last counts, and those with an
-    end that the chunk lacks are left out.
+    end that the chunk lacks are left out. Chunks keep summary, vector and
+    metadata, descriptions their vectors, so that the graph can be searched.
     """
-    chunks = extractions.select("document", "chunk_id", "chunk_text", "entities", "relationships")
-    chunks = chunks.withColumn("doc", make_id(F.lit("document"), F.col("document"))).withColumn("chunk", make_id(F.lit("chunk"), F.concat_ws("/", "document", "chunk_id")))
-    e = chunks.select("doc", "chunk", F.posexplode("entities").alias("pos", "e"))
-    e = e.select("chunk", "pos", "e.*").withColumn("node", make_id(F.lit("entity"), F.concat_ws("/", "chunk", "pos")))
-    r = chunks.select("chunk", F.posexplode("relationships").alias("pos", "r"))
-    r = r.select("chunk", "pos", "r.*").where("source <> '' and target <> ''").withColumn("node", make_id(F.lit("relationship"), F.concat_ws("/", "chunk", "pos")))
-    named = first_of(e.select("chunk", "name", "node", "pos"), ["chunk", "name"], [F.desc("pos")])
-    ends = [named.select("chunk", F.col("name").alias(end), F.col("node").alias(f"{end}_node")) for end in ("source", "target")]
-    r = r.join(ends[0], ["chunk", "source"]).join(ends[1], ["chunk", "target"])
-    described = [x.where("description_node.text <> ''").select("node", F.col("description_node.type").alias("type"), F.col("description_node.text").alias("text")) for x in (e, r)]
-    d = reduce(DataFrame.unionByName, described).withColumn("description", make_id(F.lit("description"), F.col("node")))
-    documents = chunks.select("doc", "document").distinct()
-    nodes = [_node(documents, "doc", "Document", "document"), _node(chunks, "chunk", "Chunk", None, None, "chunk_text"), _node(e, "node", "Entity", "name", "type"), _node(r, "node", "Relationship", None, "type"), _node(d, "description", "Description", None, "type", "text")]
-    edges = [_edge(chunks, "doc", "chunk", "CONTAINS"), _edge(e, "chunk", "node", "MENTIONS"), _edge(d, "node", "description", "DESCRIBES"), _edge(r, "source_node", "node", "RELATED"), _edge(r, "target_node", "node", "RELATED")]
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+    df = _heads(extractions, "chunk_text", "summary", "embedding")
+    about = "struct<type:string,text:string,embedding:array<double>>"
+    entity = lambda e, i: F.struct(make_id(F.lit("entity"), F.concat_ws("/", "chunk", i.cast("string"))).alias("node"), e["name"].alias("name"), e["type"].alias("type"), e["description_node"].cast(about).alias("d"))
+    df = df.withColumn("es", F.transform(F.coalesce("entities", F.expr("cast(array() as " + extractions.schema["entities"].dataType.simpleString() + ")")), entity))
+    end = lambda name: F.get(F.filter(F.reverse("es"), lambda e: e["name"] == name), 0)["node"]
+    relation = lambda r, i: F.struct(make_id(F.lit("relationship"), F.concat_ws("/", "chunk", i.cast("string"))).alias("node"), r["type"].alias("type"), end(r["source"]).alias("a"), end(r["target"]).alias("b"), r["description_node"].cast(about).alias("d"))
+    named = F.filter(F.transform(F.coalesce("relationships", F.expr("cast(array() as " + extractions.schema["relationships"].dataType.simpleString() + ")")), relation), lambda r: r["a"].isNotNull() & r["b"].isNotNull())
+    df = df.withColumn("rs", named)
+    told = lambda xs: F.filter(xs, lambda x: F.coalesce(x["d"]["text"] != "", F.lit(False)))
+    text_of = lambda x: make_id(F.lit("description"), x["node"])
+    description = lambda x, i: _node(text_of(x), "Description", i, type=x["d"]["type"], text=x["d"]["text"], embedding=x["d"]["embedding"])
+    nodes = F.concat(
+        "head", F.transform("es", lambda e, i: _node(e["node"], "Entity", i, name=e["name"], type=e["type"])), F.transform("rs", lambda r, i: _node(r["node"], "Relationship", i, type=r["type"])),
+        F.transform(told("es"), description), F.transform(told("rs"), description),
+    )
+    edges = F.concat(
+        F.array(_edge(F.col("doc"), F.col("chunk"), "CONTAINS")), F.transform("es", lambda e: _edge(F.col("chunk"), e["node"], "MENTIONS")),
+        F.transform(told("es"), lambda x: _edge(x["node"], text_of(x), "DESCRIBES")), F.transform(told("rs"), lambda x: _edge(x["node"], text_of(x), "DESCRIBES")),
+        F.transform("rs", lambda r: _edge(r["a"], r["node"], "RELATED")), F.transform("rs", lambda r: _edge(r["b"], r["node"], "RELATED")),
+    )
+    return _collected(df.withColumns({"all_nodes": nodes, "all_edges": edges}), "text_graph")
 
 
 def table_graph(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of ``graphs(document, chunk_id, text, nodes, edges)``, extracted from tables.
+    """Nodes and edges of ``graphs(document, chunk_id, text, nodes, edges[, chunk_summary, chunk_embedding, metadata])``, extracted from tables.
 
     Table and Item nodes keep their label; all others are entities, merged in the
-    document by name and type. Each gets a description, its own or one made from its
+    document by name and type. Each keeps its properties and gets a description, its own with its vector or one made from its
     properties. CONTAINS leads from tables to items and MENTIONS from items to
     entities, whichever way they were extracted; any other edge becomes a
     relationship node between SOURCE and TARGET. A chunk contains its tables, and
     mentions the entities that no item does. Edges of one source, target and type
     count once; of nodes that share an original id the last counts.
     """
-    chunks = graphs.withColumn("doc", make_id(F.lit("document"), F.col("document"))).withColumn("chunk", make_id(F.lit("chunk"), F.concat_ws("/", "document", "chunk_id")))
-    n = chunks.select("document", "chunk", F.posexplode("nodes").alias("pos", "n")).select("document", "chunk", "pos", F.col("n.id").alias("original"), F.coalesce("n.name", "n.id").alias("name"), F.col("n.type").alias("kind"), F.col("n.properties").alias("properties"))
-    label = F.when(F.col("kind").isin("Table", "Item"), F.col("kind")).otherwise("Entity")
-    own = F.when(label == "Entity", F.concat_ws("/", "document", "name", "kind")).otherwise(F.concat_ws("/", "chunk", "pos"))
-    n = n.withColumn("label", label).withColumn("node", make_id(F.col("label"), own))
-    ids = first_of(n.select("chunk", "original", "node", "label", "pos"), ["chunk", "original"], [F.desc("pos")])
-    x = chunks.select("chunk", F.posexplode("edges").alias("pos", "x")).select("chunk", "pos", F.col("x.source").alias("source"), F.col("x.target").alias("target"), F.col("x.type").alias("kind"))
-    x = first_of(x, ["chunk", "source", "target", "kind"], [F.col("pos")])
-    for end in ("source", "target"):
-        x = x.join(ids.select("chunk", F.col("original").alias(end), F.col("node").alias(f"{end}_node"), F.col("label").alias(f"{end}_label")), ["chunk", end])
-    holds = x.where("kind = 'CONTAINS' and source_label = 'Table' and target_label = 'Item'")
-    forward = x.where("kind = 'MENTIONS' and source_label = 'Item' and target_label = 'Entity'").select("chunk", F.col("source_node").alias("item"), F.col("target_node").alias("entity"))
-    backward = x.where("kind = 'MENTIONS' and source_label = 'Entity' and target_label = 'Item'").select("chunk", F.col("target_node").alias("item"), F.col("source_node").alias("entity"))
-    mentions = forward.unionByName(backward).distinct()
-    plain = "(kind = 'CONTAINS' and source_label = 'Table' and target_label = 'Item') or (kind = 'MENTIONS' and (source_label = 'Item' and target_label = 'Entity' or source_label = 'Entity' and target_label = 'Item'))"
-    rel = x.where(f"not ({plain})").withColumn("node", make_id(F.lit("relationship"), F.concat_ws("/", "chunk", "source", "target", "kind")))
-    empty = F.create_map().cast("map<string,string>")
-    things = n.groupBy("node", "label").agg(F.min_by("name", "pos").alias("name"), F.min_by("kind", "pos").alias("kind"), F.min_by("properties", "pos").alias("properties"))
-    d = things.select("node", describe(F.when(F.col("label") == "Entity", F.col("kind")).otherwise(F.col("label")), F.col("name"), F.coalesce("properties", empty)).alias("text"))
-    about = F.create_map(F.lit("relationship_type"), F.col("kind"), F.lit("source"), F.col("source"), F.lit("target"), F.col("target"))
-    d = d.unionByName(rel.select("node", describe(F.lit("Relationship"), F.col("kind"), about).alias("text"))).withColumn("description", make_id(F.lit("description"), F.col("node")))
-    tables = n.where("label = 'Table'").select("chunk", "node").distinct()
-    free = n.where("label = 'Entity'").select("chunk", "node").distinct().join(mentions.select("chunk", F.col("entity").alias("node")), ["chunk", "node"], "left_anti")
-    parts = [_node(chunks.select("doc", "document").distinct(), "doc", "Document", "document"), _node(chunks, "chunk", "Chunk", None, None, "text"), things.select(F.col("node").alias("id"), "label", "name", F.col("kind").alias("type"), F.lit(None).cast("string").alias("text")), _node(rel, "node", "Relationship", None, "kind"), _node(d, "description", "Description", None, None, "text")]
-    links = [_edge(chunks, "doc", "chunk", "CONTAINS"), _edge(tables, "chunk", "node", "CONTAINS"), _edge(holds, "source_node", "target_node", "CONTAINS"), _edge(mentions, "item", "entity", "MENTIONS"), _edge(free, "chunk", "node", "MENTIONS"), _edge(d, "node", "description", "DESCRIBE"), _edge(rel, "source_node", "node", "SOURCE"), _edge(rel, "node", "target_node", "TARGET")]
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, links).distinct()
+    have = _fields(graphs, "nodes")
+    none = F.create_map().cast("map<string,string>")
+    df = _heads(graphs, "text", "chunk_summary", "chunk_embedding")
+
+    def thing(n: Column, i: Column) -> Column:
+        label = F.when(n["type"].isin("Table", "Item"), n["type"]).otherwise("Entity")
+        name = F.coalesce(_member(n, have, "name", "string"), n["id"])
+        key = F.when(label == "Entity", F.concat_ws("/", "document", name, n["type"])).otherwise(F.concat_ws("/", "chunk", i.cast("string")))
+        properties = F.coalesce(_member(n, have, "properties", "map<string,string>"), none)
+        made = describe(F.when(label == "Entity", n["type"]).otherwise(label), name, properties)
+        text = F.coalesce(F.nullif(_member(n, have, "text", "string"), F.lit("")), made)
+        return F.struct(n["id"].alias("original"), name.alias("name"), n["type"].alias("type"), label.alias("label"), make_id(label, key).alias("node"), properties.alias("properties"), text.alias("text"), _member(n, have, "embedding", "array<double>").alias("embedding"))
+
+    df = df.withColumn("ns", F.transform("nodes", thing))
+    at = lambda original: F.get(F.filter(F.reverse("ns"), lambda n: n["original"] == original), 0)
+    ends = F.transform(F.array_distinct(F.transform("edges", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type")))), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type"), at(x["source"]).alias("a"), at(x["target"]).alias("b")))
+    df = df.withColumn("xs", F.filter(ends, lambda x: x["a"].isNotNull() & x["b"].isNotNull()))
+    labels = lambda x, kind, a, b: (x["type"] == kind) & (x["a"]["label"] == a) & (x["b"]["label"] == b)
+    holds = F.filter("xs", lambda x: labels(x, "CONTAINS", "Table", "Item"))
+    forth, back = F.filter("xs", lambda x: labels(x, "MENTIONS", "Item", "Entity")), F.filter("xs", lambda x: labels(x, "MENTIONS", "Entity", "Item"))
+    df = df.withColumn("ms", F.array_distinct(F.concat(F.transform(forth, lambda x: _edge(x["a"]["node"], x["b"]["node"], "MENTIONS")), F.transform(back, lambda x: _edge(x["b"]["node"], x["a"]["node"], "MENTIONS")))))
+    others = F.filter("xs", lambda x: ~(labels(x, "CONTAINS", "Table", "Item") | labels(x, "MENTIONS", "Item", "Entity") | labels(x, "MENTIONS", "Entity", "Item")))
+
+    def relation(x: Column) -> Column:
+        about = F.create_map(F.lit("relationship_type"), x["type"], F.lit("source"), x["source"], F.lit("target"), x["target"])
+        key = F.concat_ws("/", "chunk", x["source"], x["target"], x["type"])
+        return F.struct(make_id(F.lit("relationship"), key).alias("node"), x["type"].alias("type"), x["a"]["node"].alias("a"), x["b"]["node"].alias("b"), describe(F.lit("Relationship"), x["type"], about).alias("text"), F.lit(None).cast("array<double>").alias("embedding"))
+
+    df = df.withColumn("rs", F.transform(others, relation))
+    text_of = lambda x: make_id(F.lit("description"), x["node"])
+    description = lambda x, i: _node(text_of(x), "Description", i, text=x["text"], embedding=x["embedding"])
+    nodes = F.concat(
+        "head", F.transform("ns", lambda n, i: _node(n["node"], n["label"], i, name=n["name"], type=n["type"], properties=n["properties"])),
+        F.transform("rs", lambda r, i: _node(r["node"], "Relationship", i, type=r["type"])), F.transform("ns", description), F.transform("rs", description),
+    )
+    free = F.array_except(F.transform(F.filter("ns", lambda n: n["label"] == "Entity"), lambda n: n["node"]), F.transform("ms", lambda m: m["dst"]))
+    edges = F.concat(
+        F.array(_edge(F.col("doc"), F.col("chunk"), "CONTAINS")), F.transform(F.filter("ns", lambda n: n["label"] == "Table"), lambda n: _edge(F.col("chunk"), n["node"], "CONTAINS")),
+        F.transform(holds, lambda x: _edge(x["a"]["node"], x["b"]["node"], "CONTAINS")), "ms", F.transform(free, lambda n: _edge(F.col("chunk"), n, "MENTIONS")),
+        F.transform("ns", lambda n: _edge(n["node"], text_of(n), "DESCRIBE")), F.transform("rs", lambda r: _edge(r["node"], text_of(r), "DESCRIBE")),
+        F.transform("rs", lambda r: _edge(r["a"], r["node"], "SOURCE")), F.transform("rs", lambda r: _edge(r["node"], r["b"], "TARGET")),
+    )
+    return _collected(df.withColumns({"all_nodes": nodes, "all_edges": edges}), "table_graph")
 
 
 def build_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``kind, name, n`` of the nodes of each label and the edges of each type."""
     a = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"))
     return a.unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n")))
+
+
+def chunk_results(extractions: DataFrame) -> DataFrame:
+    """One row over ``extractions(chunk_id, error)``: chunks, those without an error, and whether all are."""
+    good = F.col("error").isNull()
+    return extractions.agg(F.count("*").alias("chunks"), F.count_if(good).alias("successful"), F.coalesce(F.bool_and(good), F.lit(True)).alias("all_succeeded"))

@@ -141,3 +141,8 @@ def type_counts(nodes: DataFrame, label: str = "Entity") -> DataFrame:
 def find_by_name(nodes: DataFrame, name: str, exact: bool = True) -> DataFrame:
     """Nodes of that name, or whose name contains it whatever the case."""
     return nodes.where(F.col("name") == name if exact else F.contains(F.lower("name"), F.lit(name.lower())))
+
+
+def find_by_name_and_type(nodes: DataFrame, name: str, kind: str) -> DataFrame:
+    """Nodes of that name and type."""
+    return nodes.where((F.col("name") == name) & (F.col("type") == kind))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.text import cell
+
 #: A table's box is that much larger when texts inside it are looked for.
 MARGIN = 10
 
@@ -32,11 +34,21 @@ def fonts_of(texts: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def page_texts(elements: DataFrame) -> DataFrame:
-    """``page, text`` of elements ``page, y, seq, kind, content`` from top to bottom; images become numbered places."""
-    numbered = elements.withColumn("_image", F.when(F.col("kind") == "image", F.row_number().over(Window.partitionBy("kind").orderBy("page", "y", "seq")) - 1))
-    shown = F.when(F.col("kind") == "image", F.concat(F.lit("[image placeholder "), F.col("_image").cast("string"), F.lit("]"))).when(F.col("kind") == "table", F.concat(F.lit("[TABLE_DATA]\n"), "content")).otherwise(F.col("content"))
+    """``page, text`` of elements ``page, y, seq, kind, content`` from top to bottom; images become numbered places.
+
+    Images are numbered through all pages, of each document if there is a ``doc_id``. Only counts
+    of images, one row a page, are summed in order; elements meet those of their own page.
+    """
+    keys = ["doc_id", "page"] if "doc_id" in elements.columns else ["page"]
+    counts = elements.groupBy(*keys).agg(F.count_if(F.col("kind") == "image").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys[:-1]).orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("y", "seq")) - 1
+    numbered = elements.withColumn("_image", within).join(counts, keys)
+    place = F.concat(F.lit("[image placeholder "), (F.col("_image") + F.col("_before")).cast("string"), F.lit("]"))
+    shown = F.when(F.col("kind") == "image", place).when(F.col("kind") == "table", F.concat(F.lit("[TABLE_DATA]\n"), "content")).otherwise(F.col("content"))
     parts = F.array_sort(F.collect_list(F.struct("y", "seq", shown.alias("t"))))
-    return numbered.groupBy("page").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
+    return numbered.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
 
 
 def insert_captions(lines: DataFrame, captions: DataFrame) -> DataFrame:
@@ -52,3 +64,60 @@ def caption_place(text: Column, phrase: Column) -> Column:
     words = F.filter(F.split(F.lower(phrase), r"\s+"), lambda w: w != "")
     tries = F.transform(F.sequence(F.lit(5), F.lit(1), F.lit(-1)), lambda k: F.when(F.size(words) >= k, F.instr(F.lower(text), F.array_join(F.slice(words, 1, k), " "))))
     return F.coalesce(F.try_element_at(F.filter(tries, lambda p: p > 0), F.lit(1)), F.lit(0))
+
+
+def missing_captions(docs: DataFrame, captions: DataFrame) -> DataFrame:
+    """The rows of ``captions(doc_id, description, ...)`` whose description their text of ``docs(doc_id, text)`` lacks."""
+    lost = captions.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id")
+    return lost.where(~F.contains("_text", F.col("description"))).drop("_text")
+
+
+def restore_captions(docs: DataFrame, captions: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with the captions ``doc_id, image, description, context_before, context_after`` that they lack.
+
+    A caption goes in front of the text that came after its image, or else behind the text that came
+    before it; both are looked for by fewer and fewer of their first five words. Failing
+    that it goes behind the first heading, or to the start. Captions of one place are in the order of their images.
+    """
+    lost = missing_captions(docs, captions).join(docs, "doc_id")
+    after, before = caption_place(F.col("text"), F.col("context_after")), caption_place(F.col("text"), F.col("context_before"))
+    heading = F.length(F.regexp_extract("text", r"(?s)^(.*?(?m:^#{1,6}\s[^\n]*))", 1))
+    place = F.when(after > 0, after - 1).when(before > 0, F.expr("coalesce(nullif(locate('\n', text, _b), 0), length(text) + 1) - 1")).otherwise(heading)
+    placed = lost.withColumn("_b", before).withColumn("at", place).withColumn("line", F.concat(F.lit("[IMAGE_DESCRIPTION]: "), "description"))
+    each = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "image", "line"))).alias("_put"))
+    out = docs.join(each, "doc_id", "left")
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_put", i - 1)["at"])
+    pieces = F.transform("_put", lambda p, i: F.concat(F.substring(F.col("text"), start(i) + 1, p["at"] - start(i)), F.lit("\n"), p["line"], F.lit("\n")))
+    last = F.try_element_at("_put", F.lit(-1))["at"]
+    restored = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last + 1, F.length("text")))
+    return out.select("doc_id", F.when(F.col("_put").isNull(), F.col("text")).otherwise(restored).alias("text"))
+
+
+def captioned_blocks(blocks: DataFrame, captions: DataFrame) -> DataFrame:
+    """Blocks ``path, position, kind, text, image`` of documents and sheets with the captions ``path, image, description`` in place.
+
+    An image in a document becomes its caption; a cell that an image is anchored to
+    has it appended. Images without a caption stay as they are.
+    """
+    found = blocks.join(captions.select("path", "image", "description"), ["path", "image"], "left")
+    shown = F.when(F.col("kind") == "cell", F.concat(F.coalesce("text", F.lit("")), F.lit("\n[IMAGE] "), "description")).otherwise(F.concat(F.lit("[IMAGE_DESCRIPTION]:"), "description"))
+    return found.select("path", "position", "kind", F.when(F.col("description").isNull(), F.col("text")).otherwise(shown).alias("text"))
+
+
+def layout_order(elements: DataFrame, tables: DataFrame) -> DataFrame:
+    """The elements ``page, x0, y0, x1, y1, seq, kind, content`` of scanned pages in reading order: ``page, place, kind, content``.
+
+    Texts that lie in a table of their page are left out, as the table has them;
+    ``tables(page, x0, y0, x1, y1, rows array<array<string>>)`` come in as Markdown at the middle of their height.
+    """
+    texts = outside_tables(elements.where("kind = 'text'"), tables)
+    others = elements.where("kind <> 'text'")
+    own = texts.unionByName(others).select("page", F.col("y0").cast("double").alias("y"), F.col("seq").cast("long").alias("seq"), "kind", "content")
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
+    filled = F.filter("rows", lambda r: F.exists(r, lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+    head = F.get(filled, 0)
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(head, lambda _: F.lit("---")), " | "), F.lit(" |"))
+    body = F.concat(F.array(line(head), rule), F.transform(F.slice(filled, 2, F.greatest(F.size(filled), F.lit(1))), line))
+    tabled = tables.where(F.size(filled) > 0).select("page", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.lit(-1).cast("long").alias("seq"), F.lit("table").alias("kind"), F.array_join(body, "\n").alias("content"))
+    order = Window.partitionBy("page").orderBy("y", "seq", "content")
+    return own.unionByName(tabled).select("page", (F.row_number().over(order) - 1).alias("place"), "kind", "content")

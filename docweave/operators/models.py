@@ -57,9 +57,19 @@ def completion(provider: Provider, prompt: Column, tries: int = 3, pause: float
     return run(prompt)
 
 
+def word_places(text: Column, dimension: int = DIMENSION) -> Column:
+    """The component that each word of a text counts in."""
+    return F.transform(words(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dimension)
+
+
+def embed_one(text: Column, dimension: int = DIMENSION) -> Column:
+    """The embedding of a single text: an empty array for a text without words."""
+    return F.when(F.size(words(F.coalesce(text, F.lit("")))) > 0, embed(text, dimension)).otherwise(F.array().cast("array<double>"))
+
+
 def embed(text: Column, dimension: int = DIMENSION) -> Column:
     """A hashed bag of words, one unit for each word, of length one; texts without words give zeros."""
-    places = F.transform(words(F.lower(text)), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dimension)))
+    places = word_places(text, dimension)
     counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, F.nullif(norm, F.lit(0.0))), F.lit(0.0)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import any_keyword
+from docweave.operators.graph import paths
 
 #: Questions and vectors that meet in one task.
 QUESTION_BLOCK, VECTOR_BLOCK = 1024, 8192
@@ -56,6 +57,16 @@ def hybrid_scores(nodes: DataFrame, query: list[float], keywords: list[str] | No
     return out.withColumn("combined_score", total)
 
 
+def scoped(nodes: DataFrame, edges: DataFrame, document: str, most: int = 3) -> DataFrame:
+    """The nodes one to ``most`` CONTAINS edges below a document; an unknown document is an error."""
+    known = nodes.where((F.col("id") == document) & (F.col("label") == "Document"))
+    if known.isEmpty():
+        raise ValueError(f"no document {document}")
+    seed = known.select(F.col("id").alias("seed")).distinct()
+    below = paths(edges.where("type = 'CONTAINS'"), seed, 1, most).select(F.col("node").alias("id")).distinct()
+    return nodes.join(below, "id", "left_semi")
+
+
 def hybrid_topk(nodes: DataFrame, query: list[float], keywords: list[str] | None = None, k: int = 10, least: float = 0.1, key: str = "id") -> DataFrame:
     return hybrid_scores(nodes, query, keywords).orderBy(F.desc("combined_score"), key).limit(k).where(F.col("combined_score") >= least)
 
@@ -68,16 +79,18 @@ def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float = -1.0, key: str = "id") -> DataFrame:
+def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float = -1.0, key: str = "id", weight: float = 1.0, bonus: str | None = None) -> DataFrame:
     """``question, <key>, similarity, rank``: each question's ``k`` nearest vectors; ties by key.
 
+    With ``weight`` and ``bonus``, a column of the vectors, ``similarity`` is the cosine times the one plus the other.
+
     Both sides are dealt into blocks, ``QUESTION_BLOCK`` questions and
     ``VECTOR_BLOCK`` vectors on average. Each two blocks meet in one task, which
     multiplies them and passes on each question's best k, ties of the last among
     them. The driver sees two counts.
     """
     asked = questions.select("question", vector("embedding").alias("v")).where("v is not null")
-    rows = vectors.select(F.col(key).alias("k"), vector("embedding").alias("v")).where("v is not null")
+    rows = vectors.select(F.col(key).alias("k"), vector("embedding").alias("v"), (F.col(bonus).cast("double") if bonus else F.lit(0.0)).alias("b")).where("v is not null")
     sets, blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((asked, QUESTION_BLOCK), (rows, VECTOR_BLOCK)))
     deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -86,6 +99,7 @@ def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float =
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         (q_sizes, q_flat, q_starts), (sizes, flat, starts) = map(_flat, (left, right))
+        extra = right.column("b").to_numpy()
         found = []
         for size in np.unique(q_sizes):
             members, at = np.flatnonzero(q_sizes == size), np.flatnonzero(sizes == size)
@@ -93,7 +107,7 @@ def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float =
                 continue
             q, m = q_flat[q_starts[members][:, None] + np.arange(size)], flat[starts[at][:, None] + np.arange(size)]
             with np.errstate(divide="ignore", invalid="ignore"):
-                scores = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1))
+                scores = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)) * weight + extra[at]
             for n, row in zip(members, scores, strict=True):
                 good = np.flatnonzero(row >= least)
                 if len(good) > k:

@@ -10,7 +10,7 @@ from docweave.operators import models as m
 from docweave.operators import retrieval as r
 from docweave.operators import vectors as v
 from docweave.operators.graph import first_of
-from docweave.plans.tables import SEARCHABLE_SQL, read, searchable, tree
+from docweave.plans.tables import SEARCHABLE_SQL, read, searchable
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -211,7 +211,7 @@ def nearest_context(spark, sf_dir):
 @query("SELECT conv_id, turn, coalesce(right(string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 200), '') AS context_before FROM conversations WHERE length(text) > 0")
 def char_budget_context(spark, sf_dir):
     """The 200 characters before each turn."""
-    return r.budget_context(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 200)
+    return r.budget_context(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 200).drop("context_after")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
@@ -242,12 +242,16 @@ def consume_until(spark, sf_dir):
     return r.consume_until(hits, 5, [F.desc("score")]).select("question", "hit", "chunk")
 
 
-@query(r"""WITH words AS (SELECT doc_id, crc32_ AS place, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS w, length(w) % 64 AS crc32_ FROM documents) GROUP BY 1, 2)
-SELECT d.doc_id, 64 AS dimension, CAST(CASE WHEN count(w.place) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM documents d LEFT JOIN words w USING (doc_id) GROUP BY 1""")
+_DIGIT = "(instr('0123456789abcdef', substr(h, {}, 1)) - 1)"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[^\t\n\x0B\f\r ]+'))) AS h FROM documents),
+p AS (SELECT doc_id, ({_DIGIT.format(1)} * 4096 + {_DIGIT.format(2)} * 256 + {_DIGIT.format(3)} * 16 + {_DIGIT.format(4)}) % 64 AS place, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, CAST(place AS INT) AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS value FROM p""")
 def embed_documents(spark, sf_dir):
-    """The default embedding of every document: its size and norm."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", m.embed(F.col("text")).alias("e"))
-    return rows.select("doc_id", F.size("e").alias("dimension"), F.round(F.sqrt(v.dot(F.col("e"), F.col("e"))), 9).alias("norm"))
+    """The default embedding of every document, component by component."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(m.embed(F.col("text"))).alias("place", "value"))
+    return rows.where("value <> 0").select("doc_id", "place", F.round("value", 9).alias("value"))
 
 
 @query()
@@ -256,14 +260,3 @@ def extractive_answers(spark, sf_dir):
     asked = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     rows = asked.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("context")), "item_id", "left")
     return rows.select("item_id", F.inline(F.array(m.extractive_answer(F.col("question"), F.col("context")))))
-
-
-@query()
-def profile_retrieval(spark, sf_dir):
-    """The chunks that two profile questions find below a region."""
-    nodes, edges = tree(spark, sf_dir)
-    e = read(spark, sf_dir, "embeddings")
-    embedded = e.select(F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("id"), "embedding").unionByName(e.select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id"), "embedding"))
-    rich = nodes.withColumn("label", F.when(F.col("label") == "Entity", "Description").otherwise(F.col("label"))).join(embedded, "id", "left").withColumn("embeddings", F.lit(None).cast("array<float>"))
-    asked = e.where("vec_id < 2").select(F.col("vec_id").alias("question"), "embedding")
-    return r.profile_hits(rich, edges, "r1", asked, 5, 3, 1).select("question", "hit", "chunk", F.round("score", 9).alias("score"))

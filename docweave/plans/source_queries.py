@@ -32,12 +32,16 @@ UNION ALL SELECT 'node', 'Relationship', count(*) FROM documents WHERE lang <> '
 UNION ALL SELECT 'edge', 'CONTAINS', count(*) FROM documents UNION ALL SELECT 'edge', 'MENTIONS', 2 * count(*) FROM documents UNION ALL SELECT 'edge', 'DESCRIBES', count(*) FROM documents UNION ALL SELECT 'edge', 'RELATED', 2 * count(*) FROM documents WHERE lang <> 'es'""")
 def text_graph_build(spark, sf_dir):
     """A graph of all documents with two entities each, and relationships, some of which name an entity that is not there."""
+    return build.build_counts(*build.text_graph(written_in(spark, sf_dir)))
+
+
+def written_in(spark, sf_dir):
+    """All documents as extractions: two entities each, and a relationship, which for some names an entity that is not there."""
     relation = F.struct(F.lit("r").alias("id"), F.col("lang").alias("source"), F.expr("if(lang = 'es', 'nobody', source)").alias("target"), F.lit("WRITTEN_IN").alias("type"), F.lit(None).cast("struct<type:string,text:string,embedding:array<double>>").alias("description_node"))
-    rows = read(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents").select(
         F.col("source").alias("document"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("chunk_text"),
         F.array(_entity("lang", "Language", "concat('written in ', lang)"), _entity("source", "Source", "''")).alias("entities"), F.array(relation).alias("relationships"),
     )
-    return build.build_counts(*build.text_graph(rows))
 
 
 @query("""WITH o AS (SELECT * FROM orders), c AS (SELECT DISTINCT o_orderpriority, o_custkey FROM orders)
@@ -48,6 +52,11 @@ UNION ALL SELECT 'edge', 'CONTAINS', 3 * count(*) FROM o UNION ALL SELECT 'edge'
 UNION ALL SELECT 'edge', 'DESCRIBE', 3 * count(*) + (SELECT count(*) FROM c) + count(DISTINCT o_orderpriority || o_orderstatus) FROM o UNION ALL SELECT 'edge', 'SOURCE', count(*) FROM o UNION ALL SELECT 'edge', 'TARGET', count(*) FROM o""")
 def table_graph_build(spark, sf_dir):
     """A graph of all orders as table records: a table, its item, its customer and a state in each chunk."""
+    return build.build_counts(*build.table_graph(orders_as_tables(spark, sf_dir)))
+
+
+def orders_as_tables(spark, sf_dir):
+    """All orders as table records, one a chunk."""
     orders = read(spark, sf_dir, "orders")
     empty = F.create_map().cast("map<string,string>")
 
@@ -57,12 +66,11 @@ def table_graph_build(spark, sf_dir):
     def edge(source: str, target: str, kind: str):
         return F.struct(F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(kind).alias("type"))
 
-    rows = orders.select(
+    return orders.select(
         F.col("o_orderpriority").alias("document"), F.col("o_orderkey").cast("string").alias("chunk_id"), F.lit("").alias("text"),
         F.array(node("t", "'orders'", "Table"), node("i", "o_orderkey", "Item"), node("c", "o_custkey", "Customer"), node("s", "o_orderstatus", "State")).alias("nodes"),
         F.array(edge("t", "i", "CONTAINS"), edge("c", "i", "MENTIONS"), edge("c", "i", "MENTIONS"), edge("c", "s", "HAS_STATE")).alias("edges"),
     )
-    return build.build_counts(*build.table_graph(rows))
 
 
 _BOX = "SELECT user_id AS page, event_id AS seq, event_type, value AS y FROM events"

@@ -248,7 +248,7 @@ def json_fields(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("again"))
 
 
-@query("SELECT event_id, 'event_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS id, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS at, printf('%.1f', value / 1024.0) || ' KB' AS size FROM events")
+@query("SELECT event_id, 'event_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 32) AS id, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS at, printf('%.1f', value / 1024.0) || ' KB' AS size FROM events")
 def make_ids(spark, sf_dir):
     """Deterministic ids, local times and sizes."""
     return read(spark, sf_dir, "events").select("event_id", t.make_id(F.lit("Event"), F.col("event_id").cast("string")).alias("id"), t.local_time(F.col("ts").cast("timestamp")).alias("at"), t.kilobytes(F.col("value")).alias("size"))

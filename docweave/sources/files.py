@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.text import decoded
 from docweave.operators.store import bound_batches
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -37,11 +38,15 @@ EXTRACTION = (
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text`` of whole text files; bytes that are no UTF-8 are dropped."""
-    files = spark.read.format("binaryFile").load(path)
-    strict = F.try_validate_utf8(F.col("content").cast("string"))
-    loose = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return files.select("path", F.coalesce(strict, loose).alias("text"))
+    """``path, text`` of whole text files in UTF-8, UTF-16 or, if they are neither, Latin-1."""
+    return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
+
+
+def folder_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``folder, files, bytes`` of all folders below a path that hold files; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def read_graph_documents(spark: SparkSession, path: str, schema: str = GRAPH_DOCUMENT) -> DataFrame:
@@ -211,6 +216,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_answers(answers: DataFrame, metadata: DataFrame, path: str) -> None:
+    """Answers, one JSON object a line in ``answers``, and their one row of metadata in ``metadata``."""
+    answers.write.mode("overwrite").json(f"{path}/answers")
+    metadata.write.mode("overwrite").json(f"{path}/metadata")
+
+
+def write_questions(questions: DataFrame, path: str) -> None:
+    """``question_index, question, embeddings, language``: rewrites the partitions of the languages in it, and no others."""
+    questions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language").parquet(path)
+
+
 def write_markdown(texts: DataFrame, path: str) -> None:
     """``path, text`` rows, a folder for each document."""
     texts.write.mode("overwrite").partitionBy("path").text(path)
