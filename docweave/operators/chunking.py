@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import has_pipe_table, is_empty_heading, is_table, markdown_heading, sentences, strip, token_count, words
+from docweave.functions.text import has_pipe_table, is_empty_heading, is_table, make_id, markdown_heading, sentences, strip, token_count, words
 from docweave.operators.store import Store
 
 #: Tokens that a chunk may hold.
@@ -57,20 +58,116 @@ def text_chunks(text: Column, limit: int = LIMIT, separator: str = "\n\n") -> Co
     return F.when(token_count(text) <= limit, F.array(text)).otherwise(split)
 
 
+def _cells(row: Column) -> Column:
+    """The stripped cells of a pipe row."""
+    parts = F.split(row, r"\|", -1)
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), strip)
+
+
+def _row(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
+def small_table(heads: Column, cells: Column) -> Column:
+    """A table of one row."""
+    return F.concat(_row(heads), F.lit("\n"), _row(F.transform(heads, lambda _: F.lit("---"))), F.lit("\n"), _row(cells))
+
+
+def cell_chunks(head: Column, cell: Column, limit: int) -> Column:
+    """The paragraphs of a cell that fits no table, each under its column's name; long ones by sentences."""
+    said = F.transform(F.filter(F.transform(F.split(cell, "\n\n", -1), strip), lambda p: p != ""), lambda p: F.concat(F.lit("Column: "), head, F.lit("\n\n"), p))
+    return F.flatten(F.transform(said, lambda p: F.when(token_count(p) <= limit, F.array(p)).otherwise(F.flatten(F.transform(pack(sentences(p), limit, " "), lambda x: F.when(token_count(x) <= limit, F.array(x)).otherwise(pack(words(x), limit, " ")))))))
+
+
+def row_chunks(header: Column, row: Column, limit: int) -> Column:
+    """A row that does not fit: small tables of as many neighbouring columns as do; a column that does not is cut by ``cell_chunks``."""
+    pairs = F.filter(F.arrays_zip(_cells(header).alias("head"), _cells(row).alias("cell")), lambda p: p["head"].isNotNull() & p["cell"].isNotNull())
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("heads"), none.alias("cells"))
+
+    def done(state: Column) -> Column:
+        return F.when(F.size(state["heads"]) > 0, F.array_append(state["out"], small_table(state["heads"], state["cells"]))).otherwise(state["out"])
+
+    def step(state: Column, pair: Column) -> Column:
+        heads, cells = F.array_append(state["heads"], pair["head"]), F.array_append(state["cells"], pair["cell"])
+        fits = token_count(small_table(heads, cells)) <= limit
+        alone = token_count(small_table(F.array(pair["head"]), F.array(pair["cell"]))) <= limit
+        return F.struct(
+            F.when(fits, state["out"]).when(alone, done(state)).otherwise(F.concat(done(state), cell_chunks(pair["head"], pair["cell"], limit))).alias("out"),
+            F.when(fits, heads).when(alone, F.array(pair["head"])).otherwise(none).alias("heads"),
+            F.when(fits, cells).when(alone, F.array(pair["cell"])).otherwise(none).alias("cells"),
+        )
+
+    return F.aggregate(pairs, start, step, done)
+
+
 def table_chunks(table: Column, limit: int = LIMIT) -> Column:
-    """Rows of a pipe table in parts, each with the heading row and the separator again."""
+    """Rows of a pipe table in parts, each with the heading row and the separator again; rows beyond the limit by columns and cells."""
     rows = F.filter(F.split(table, "\n", -1), lambda r: strip(r) != "")
     head = F.array_join(F.slice(rows, 1, 2), "\n")
     body = F.when(F.size(rows) > 2, F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    measure = lambda part: token_count(F.concat(head, F.lit("\n"), part))
-    parts = F.transform(pack(body, limit, "\n", measure), lambda part: F.concat(head, F.lit("\n"), part))
-    return F.when(token_count(table) <= limit, F.array(table)).when(F.size(body) > 0, parts).otherwise(F.array(table))
+    whole = lambda part: F.concat(head, F.lit("\n"), part)
+    measure = lambda part: token_count(whole(part))
+    parts = F.transform(pack(body, limit, "\n", measure), lambda part: F.when(measure(part) <= limit, F.array(whole(part))).otherwise(row_chunks(F.get(rows, 0), part, limit)))
+    return F.when(token_count(table) <= limit, F.array(table)).when(F.size(body) > 0, F.flatten(parts)).otherwise(F.array(table))
+
+
+#: A line of a pipe table.
+_PIPED = r"^\|.*\|$"
+
+
+def table_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, run, is_table, first_line, last_line, content``: runs of table lines and of other lines, in order."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    marked = lines(docs).withColumn("is_table", F.col("line").rlike(_PIPED))
+    fresh = F.coalesce((F.col("is_table") != F.lag("is_table").over(order)).cast("int"), F.lit(0))
+    runs = marked.withColumn("_new", fresh).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    return runs.groupBy("doc_id", "run").agg(F.bool_or("is_table").alias("is_table"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.array_join(body, "\n").alias("content"))
+
+
+def mixed_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``doc_id, chunk_id, content, token_count`` of texts with tables between prose.
+
+    Prose is cut by ``text_chunks`` and tables by ``table_chunks``. The last piece of
+    prose before a table and the table's first part become one chunk if they fit, and
+    so do the last part of a table and the first piece of the prose that ends the text.
+    """
+    pieces = F.when(F.col("is_table"), table_chunks(F.col("content"), limit)).when(strip(F.col("content")) == "", F.array().cast("array<string>")).otherwise(text_chunks(strip(F.col("content")), limit))
+    runs = table_runs(docs).withColumn("pieces", pieces)
+    listed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", "is_table", "pieces"))).alias("runs"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("prose"))
+    all_but_last = lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))
+    all_but_first = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+    joint = lambda x, y: F.concat(F.try_element_at(x, F.lit(-1)), F.lit("\n"), F.try_element_at(y, F.lit(1)))
+
+    def joined(x: Column, y: Column, when: Column) -> Column:
+        both = joint(x, y)
+        return F.when(when & both.isNotNull() & (token_count(both) <= limit), F.concat(all_but_last(x), F.array(both), all_but_first(y))).otherwise(F.concat(x, y))
+
+    def step(state: Column, run: Column) -> Column:
+        return F.struct(
+            F.when(run["is_table"], F.concat(state["out"], joined(state["prose"], run["pieces"], F.lit(True)))).otherwise(state["out"]).alias("out"),
+            F.when(run["is_table"], none).otherwise(run["pieces"]).alias("prose"),
+        )
+
+    def end(state: Column) -> Column:
+        last = F.substring_index(F.try_element_at(state["out"], F.lit(-1)), "\n", 1)
+        return joined(state["out"], state["prose"], F.coalesce(last.rlike(_PIPED), F.lit(False)))
+
+    out = listed.select("doc_id", F.posexplode(F.aggregate("runs", start, step, end)).alias("chunk_id", "content"))
+    return out.withColumn("token_count", token_count(F.col("content")))
 
 
 def chunks(docs: DataFrame, limit: int = LIMIT, separator: str = "\n\n") -> DataFrame:
-    """``doc_id, chunk_id, content, token_count`` of each document, numbered from 0."""
-    routed = F.when(has_pipe_table(F.col("text")) & is_table(F.col("text")), table_chunks(F.col("text"), limit)).otherwise(text_chunks(F.col("text"), limit, separator))
-    return docs.select("doc_id", F.posexplode(routed).alias("chunk_id", "content")).withColumn("token_count", token_count(F.col("content")))
+    """``doc_id, chunk_id, content, token_count`` of each document, numbered from 0.
+
+    Texts within the limit stay whole; longer ones that hold a table line go by ``mixed_chunks``, others by ``text_chunks``.
+    """
+    mixed = F.coalesce(has_pipe_table(F.col("text")) & (token_count(F.col("text")) > limit), F.lit(False))
+    plain = docs.where(~mixed).select("doc_id", F.posexplode(text_chunks(F.col("text"), limit, separator)).alias("chunk_id", "content")).withColumn("token_count", token_count(F.col("content")))
+    return plain.unionByName(mixed_chunks(docs.where(mixed), limit))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -153,28 +250,44 @@ def merge_empty_headings(parts: DataFrame) -> DataFrame:
 
 
 def split_points(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, position, kind, priority`` of the places at which a text may be split, outside tables of contents."""
-    whole = Window.partitionBy("doc_id")
-    order = whole.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    t = strip(F.col("line"))
-    rows = lines(docs).withColumns({"_t": t, "_after": F.sum(F.length("line") + 1).over(order), "_last": F.max("line_no").over(whole)})
-    starts = F.contains(F.lower("_t"), F.lit("contents"))
-    toc = F.when(starts, True).when(F.col("_t").startswith("#"), False)
-    rows = rows.withColumn("_toc", F.coalesce(F.last(toc, ignorenulls=True).over(order), F.lit(False)))
+    """``doc_id, line_no, position, kind, priority`` of the places at which a text may be split.
+
+    A table of contents begins at a line with "contents" and ends at the next heading, or
+    at a blank line that some other line than an entry follows. In it a text may only be split
+    after whole entries, which may run over several lines, and where it ends.
+    """
+    whole = Window.partitionBy("doc_id").orderBy("line_no")
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    last_so_far = lambda event: F.coalesce(F.last(event, ignorenulls=True).over(upto), F.lit(False))
+    rows = lines(docs).withColumns({"_t": strip(F.col("line")), "_after": F.sum(F.length("line") + 1).over(upto), "_last": F.max("line_no").over(Window.partitionBy("doc_id"))})
+    t = F.col("_t")
+    filled = F.nullif(t, F.lit(""))
+    soon = lambda n: F.coalesce(F.first(filled, ignorenulls=True).over(whole.rowsBetween(1, n)), F.lit("["))
+    rows = rows.withColumns({"_soon2": soon(2), "_soon3": soon(3)})
+    named, heads = F.contains(F.lower("_t"), F.lit("contents")), t.startswith("#")
+    leaves = (t == "") & ~F.col("_soon2").startswith("[")
+    rows = rows.withColumn("_toc", last_so_far(F.when(named, True).when(heads | leaves, False)))
+    begins = t.rlike(r"^\[[^\[\]]*$")
+    closes = t.rlike(r"^\[[^\]]+\]\s*\[[^\]]+\]\([^)]+\)") | t.endswith(")") | F.contains(t, F.lit("]("))
+    entry = F.when(named | heads | leaves, False).when(F.col("_toc") & begins, True).when(F.col("_toc") & closes, False)
+    rows = rows.withColumn("_open", last_so_far(entry))
     before = F.col("_after") - F.length("line") - 1
 
     def point(kind: str, priority: int, position: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), position.alias("position"))
 
+    toc, whole_entry = F.col("_toc"), ~F.col("_open")
     kind = (
-        F.when((F.col("line_no") < F.col("_last")) & (F.col("_t") == ""), point("paragraph_break", 100, F.col("_after")))
-        .when(F.col("_t").startswith("#"), point("header", 90, before))
-        .when(F.col("_t").rlike(r"^([-*+]|[0-9]+\.)\s"), point("list_item", 80, before))
-        .when(F.col("_t").rlike(r"[.!?]$"), point("sentence_end", 70, F.col("_after")))
-        .when(F.col("_t").endswith(":"), point("colon_end", 60, F.col("_after")))
-        .otherwise(point("line_break", 30, F.col("_after")))
+        F.when(~toc & (F.col("line_no") < F.col("_last")) & (t == ""), point("paragraph_break", 100, F.col("_after")))
+        .when(~toc & heads, point("header", 90, before))
+        .when(toc & (t == "") & whole_entry, F.when(~F.col("_soon3").startswith("["), point("toc_end", 95, F.col("_after"))))
+        .when(~toc & t.rlike(r"^([-*+]|[0-9]+\.)\s"), point("list_item", 80, before))
+        .when(~toc & whole_entry & t.rlike(r"[.!?]$"), point("sentence_end", 70, F.col("_after")))
+        .when(~toc & whole_entry & t.endswith(":"), point("colon_end", 60, F.col("_after")))
+        .when(~toc & whole_entry, point("line_break", 30, F.col("_after")))
+        .when(toc & whole_entry, point("toc_safe_break", 15, F.col("_after")))
     )
-    return rows.where("not _toc").withColumn("_p", kind).select("doc_id", "line_no", F.col("_p.position").alias("position"), F.col("_p.kind").alias("kind"), F.col("_p.priority").alias("priority"))
+    return rows.withColumn("_p", kind).where("_p is not null").select("doc_id", "line_no", F.col("_p.position").alias("position"), F.col("_p.kind").alias("kind"), F.col("_p.priority").alias("priority"))
 
 
 def best_splits(docs: DataFrame, limit: int = LIMIT, share: float = 0.75) -> DataFrame:
@@ -192,20 +305,148 @@ def split_long(docs: DataFrame, limit: int = LIMIT, rounds: int = 20) -> DataFra
     """``doc_id, part, content`` of texts split again and again where that is best, until the rest is within the limit.
 
     Each round cuts one part off the front of every text that is still too long, at
-    three quarters of the limit or, where that part would be too long, at 60 %. What
-    has no place to split, or is left after the last round, stays whole.
+    three quarters of the limit or, where that part would be too long, at 60 %. Without
+    a place to split it cuts at the last line break before that length, or there. A part that is
+    still too long gives way to half the limit, and that to a third of the text. What
+    is left after the last round stays whole.
     """
     store, parts = Store(docs.sparkSession, "split"), []
     rest = docs.select("doc_id", "text")
+    head = lambda at: F.substring("text", F.lit(1), at.cast("int"))
+    fits = lambda at: token_count(strip(head(at))) <= limit
+
+    def at_line(at: Column) -> Column:
+        """The end of the last line before a place, or the place if there is no such line."""
+        back = F.locate("\n", F.reverse(head(at)))
+        return F.when((back > 0) & (at - back > 0), at - back + 1).otherwise(at).cast("long")
+
     for part in range(rounds):
         first, second = (best_splits(rest, limit, share).select("doc_id", F.col("position").alias(f"at_{k}")) for k, share in enumerate((0.75, 0.6)))
         cut = rest.join(first, "doc_id", "left").join(second, "doc_id", "left")
-        fits = token_count(F.substring("text", F.lit(1), F.col("at_0").cast("int"))) <= limit
-        at = F.when(token_count(F.col("text")) > limit, F.when(fits, F.col("at_0")).otherwise(F.coalesce("at_1", "at_0")))
-        at = F.when((at > 0) & (at < F.length("text")), at)
+        size = token_count(F.col("text"))
+        place = lambda k, share: F.coalesce(F.when(F.col(f"at_{k}") > 0, F.col(f"at_{k}")), F.greatest(at_line(F.floor(F.length("text") * int(limit * share) / size)), F.lit(1)))
+        cut = cut.withColumn("_long", size > limit).withColumn("_a", F.when(F.col("_long"), place(0, 0.75))).withColumn("_b", F.when(F.col("_long"), place(1, 0.6)))
+        half = at_line(F.floor(F.length("text") * limit / (2 * size)))
+        at = F.when(fits(F.col("_a")), F.col("_a")).when(fits(F.col("_b")), F.col("_b")).when((half > 0) & fits(half), half).otherwise(F.greatest(F.floor(F.length("text") / 3), F.lit(1)))
+        at = F.when(F.col("_long") & (at < F.length("text")), at)
         cut = store.save(cut.withColumn("at", at).select("doc_id", "text", "at"), f"round{part}")
         parts.append(cut.select("doc_id", F.lit(part).alias("part"), F.when(F.col("at").isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("at").cast("int"))).alias("content")))
         rest = cut.where("at is not null").select("doc_id", F.substring("text", F.col("at").cast("int") + 1, F.length("text")).alias("text"))
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, parts)
     return reduce(DataFrame.unionByName, [*parts, rest.select("doc_id", F.lit(rounds).alias("part"), F.col("text").alias("content"))])
+
+
+def headed_sections(docs: DataFrame) -> DataFrame:
+    """``doc_id, position, level, path, content, length, is_table``: sections with their heading lines, in order.
+
+    A heading without text of its own goes with the deeper one that follows it. ``path`` holds the
+    headings in force, level by level; blank sections are left out.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    placed = heading_paths(markdown_lines(docs)).withColumn("_section", F.sum(F.col("level").isNotNull().cast("int")).over(upto))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    path = F.array(*[F.max_by(f"h{k}", "line_no") for k in range(1, 7)])
+    text = F.coalesce(F.bool_or(F.col("level").isNull() & (strip(F.col("line")) != "")), F.lit(False))
+    parts = placed.groupBy("doc_id", "_section").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), path.alias("path"), strip(F.array_join(body, "\n")).alias("content"), text.alias("_text")).where("content <> ''")
+    by = Window.partitionBy("doc_id").orderBy("_section")
+    follows = ~F.lag("_text").over(by) & (F.lag("level").over(by) < F.col("level"))
+    parts = parts.withColumn("_run", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    contents = F.transform(F.array_sort(F.collect_list(F.struct("_section", "content"))), lambda x: x["content"])
+    out = parts.groupBy("doc_id", "_run").agg(F.max_by("level", "_section").alias("level"), F.max_by("path", "_section").alias("path"), F.array_join(contents, "\n").alias("content"))
+    position = (F.row_number().over(Window.partitionBy("doc_id").orderBy("_run")) - 1).cast("int")
+    return out.select("doc_id", position.alias("position"), "level", F.slice("path", 1, F.greatest(F.col("level"), F.lit(0))).alias("path"), "content", token_count(F.col("content")).alias("length"), is_table(F.col("content")).alias("is_table"))
+
+
+def effective_level(content: Column, level: Column) -> Column:
+    """The level of the parent for a section that opens with its parent's heading, with nothing but rules between the two; else its own."""
+    kept = F.filter(F.transform(F.split(content, "\n", -1), strip), lambda x: (x != "") & ~x.startswith("---") & ~x.startswith("==="))
+    marks = F.transform(kept, lambda x: F.length(F.regexp_extract(x, "^(#*)", 1)))
+    pairs = F.zip_with(F.slice(marks, 1, F.greatest(F.size(marks) - 1, F.lit(0))), F.slice(marks, 2, F.greatest(F.size(marks) - 1, F.lit(0))), lambda a, b: (a > 0) & (b > a) & (a == level - 1))
+    return F.when((level > 1) & F.exists(pairs, lambda x: x), level - 1).otherwise(level)
+
+
+_MERGED = "doc_id {kind}, position int, level int, path array<string>, content string, length int, is_table boolean, merged_from array<int>, merge_count int"
+
+
+def merge_sections(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``headed_sections`` rows merged bottom-up under the limit, with ``merged_from`` (positions) and ``merge_count``.
+
+    Sections form a tree: a section's parent is the nearest one before it of a lower level whose
+    headings its own begin with. From the leaves up, neighbouring children without children of their own become one
+    section while their lengths add up to no more than the limit; a parent takes in its child if it
+    has a single one, without children. Merged lengths are sums. One task holds the sections of one document.
+    """
+    leveled = parts.withColumn("_level", effective_level(F.col("content"), F.col("level")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("position").reset_index(drop=True)
+        levels, paths = rows["_level"].tolist(), [tuple(p) for p in rows["path"]]
+        children: dict[int, list[int]] = {k: [] for k in range(-1, len(rows))}
+        open_nodes: list[int] = []
+        for k, (level, path) in enumerate(zip(levels, paths, strict=True)):
+            while open_nodes and not (levels[open_nodes[-1]] < level and path[: levels[open_nodes[-1]]] == paths[open_nodes[-1]][: levels[open_nodes[-1]]]):
+                open_nodes.pop()
+            children[open_nodes[-1] if open_nodes else -1].append(k)
+            open_nodes.append(k)
+        groups = {k: [k] for k in range(len(rows))}  # the sections that now are one with k
+        size = rows["length"].tolist()
+        for k in range(len(rows) - 1, -2, -1):  # a parent comes before its children, so these are done
+            kept: list[int] = []
+            for child in children[k]:
+                last = kept[-1] if kept else None
+                same = last is not None and not children[child] and not children[last] and levels[last] == levels[child] and paths[last][: levels[last] - 1] == paths[child][: levels[child] - 1]
+                if same and size[last] + size[child] <= limit:
+                    groups[last] += groups.pop(child)
+                    size[last] += size[child]
+                else:
+                    kept.append(child)
+            children[k] = kept
+            if k >= 0 and len(kept) == 1 and not children[kept[0]] and size[k] + size[kept[0]] <= limit:
+                groups[k] += groups.pop(kept[0])
+                size[k] += size[kept[0]]
+                children[k] = []
+        out = []
+        for place, (k, members) in enumerate(sorted(groups.items())):
+            some = rows.iloc[members]
+            out.append((rows["doc_id"][0], place, rows["level"][k], rows["path"][k], "\n\n".join(some["content"]), size[k], bool(some["is_table"].any()), some["position"].tolist(), len(members)))
+        return pd.DataFrame(out, columns=["doc_id", "position", "level", "path", "content", "length", "is_table", "merged_from", "merge_count"])
+
+    return leveled.groupBy("doc_id").applyInPandas(run, _MERGED.format(kind=parts.schema["doc_id"].dataType.simpleString()))
+
+
+def split_oversized(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Sections beyond the limit split by ``split_long``, but for tables, which stay whole.
+
+    Further columns: ``split_from`` (the section's position), ``part`` ("2/3") and ``original_length`` of split ones.
+    """
+    long = F.col("length").cast("int") > limit
+    whole = parts.where(~long | F.col("is_table")).withColumns({"split_from": F.lit(None).cast("int"), "part": F.lit(None).cast("string"), "original_length": F.lit(None).cast("int"), "_part": F.lit(0)})
+    cut = parts.where(long & ~F.col("is_table"))
+    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("position").cast("string"))
+    texts = split_long(cut.select(key.alias("doc_id"), F.col("content").alias("text")), limit).withColumn("content", strip(F.col("content"))).where("content <> ''")
+    texts = texts.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("part")))
+    pieces = texts.select(F.col("doc_id").alias("_key"), F.col("content").alias("_content"), F.col("_k"), F.col("_n"))
+    out = cut.withColumn("_key", key).join(pieces, "_key").withColumns({"split_from": F.col("position"), "part": F.concat_ws("/", F.col("_k").cast("string"), F.col("_n").cast("string")), "original_length": F.col("length"), "_part": F.col("_k")})
+    out = out.withColumn("content", F.col("_content")).withColumn("length", token_count(F.col("content")))
+    out = whole.unionByName(out.select(*whole.columns))
+    place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "_part")) - 1).cast("int")
+    return out.withColumn("position", place).drop("_part")
+
+
+def formatted(parts: DataFrame, file_name: Column) -> DataFrame:
+    """Chunks as they are handed on: ``chunk_id, embedding, lenght, metadata(H1 .. H6, file_name, position), chunk_text``.
+
+    The name ``lenght`` and the text "None" for a vector to come are those of the format; positions count from 1.
+    """
+    heads = [F.try_element_at("path", F.lit(k)).alias(f"H{k}") for k in range(1, 7)]
+    metadata = F.struct(*heads, file_name.alias("file_name"), (F.col("position") + 1).alias("position"))
+    chunk = make_id(F.lit("chunk"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col("position").cast("string")))
+    return parts.select(chunk.alias("chunk_id"), F.lit("None").alias("embedding"), F.col("length").cast("string").alias("lenght"), metadata.alias("metadata"), F.col("content").alias("chunk_text"))
+
+
+def document_chunks(docs: DataFrame, limit: int = LIMIT, file_name: Column | None = None) -> DataFrame:
+    """Markdown documents as formatted chunks: sections, merged under the limit, split beyond it."""
+    parts = split_oversized(merge_sections(headed_sections(docs), limit), limit)
+    return formatted(parts, F.concat(F.col("doc_id").cast("string"), F.lit(".md")) if file_name is None else file_name)

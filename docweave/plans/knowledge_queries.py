@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as t
 from docweave.operators import build, create
+from docweave.operators import chunking as c
+from docweave.operators import extraction as x
 from docweave.operators import graph as g
 from docweave.operators import layout as y
 from docweave.operators import models as m
@@ -13,6 +15,7 @@ from docweave.operators import retrieval as r
 from docweave.operators import vectors as v
 from docweave.plans.source_queries import orders_as_tables, written_in
 from docweave.plans.tables import SUPPLY_SQL, TREE_SQL, read, supply, tree
+from docweave.plans.text_queries import _markdown
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -408,3 +411,32 @@ def entity_rel_incoming(spark, sf_dir):
     nodes, edges = supply(spark, sf_dir)
     found = g.neighbours(edges, spark.createDataFrame([("p5",)], "seed string"), "in")
     return found.join(nodes.select(F.col("id").alias("node"), "name"), "node").groupBy("seed", "node", "name", "type").agg(F.count("*").alias("n_edges"))
+
+
+@query()
+def extracted_entities(spark, sf_dir):
+    """The entities that the rules find in every document."""
+    found = read(spark, sf_dir, "documents").select("doc_id", F.inline(x.text_extraction(F.col("text"))["entities"]))
+    return found.select("doc_id", "name", "type")
+
+
+@query()
+def extracted_graph(spark, sf_dir):
+    """The graph of all conversations, from chunks to nodes."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document"), F.col("turn").alias("chunk_id"), F.col("text").alias("content"))
+    return build.build_counts(*x.graph_of(rows))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """All pages as Markdown, cut at headings, merged under the limit and split beyond it."""
+    return c.document_chunks(_markdown(spark, sf_dir), 120).select("chunk_id", "lenght", "metadata.H1", "metadata.H2", "metadata.position", "chunk_text")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), m AS (SELECT doc_id, n, CASE WHEN n % 5 < 2 THEN '| ' || n || ' |' ELSE line END AS line FROM l),
+f AS (SELECT *, regexp_matches(line, '^\\|.*\\|$') AS t FROM m), r AS (SELECT *, sum(CASE WHEN t <> p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY n) AS p FROM f))
+SELECT doc_id, CAST(coalesce(run, 0) AS BIGINT) AS run, bool_or(t) AS is_table, CAST(min(n) AS INT) AS first_line, CAST(max(n) AS INT) AS last_line FROM r GROUP BY 1, 2""".replace("\\\\", "\\"))
+def table_runs(spark, sf_dir):
+    """Where tables begin and end: of each five lines the first two are made table rows."""
+    text = F.array_join(F.transform(F.split("text", "\n", -1), lambda line, n: F.when(n % 5 < 2, F.concat(F.lit("| "), n.cast("string"), F.lit(" |"))).otherwise(line)), "\n")
+    return c.table_runs(read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).drop("content")

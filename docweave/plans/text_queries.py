@@ -207,12 +207,17 @@ def page_chunks(spark, sf_dir):
     return c.section_chunks(_markdown(spark, sf_dir), 120)
 
 
-_POINTS = rf"""points AS (SELECT doc_id, line_no, CASE WHEN line_no < last AND t = '' THEN 'paragraph_break' WHEN starts_with(t, '#') THEN 'header' WHEN regexp_matches(t, '^([-*+]|[0-9]+\.)\s') THEN 'list_item'
-   WHEN regexp_matches(t, '[.!?]$') THEN 'sentence_end' WHEN ends_with(t, ':') THEN 'colon_end' ELSE 'line_break' END AS kind, after, after - length(line) - 1 AS before, coalesce(toc, false) AS toc
-  FROM (SELECT *, last_value(CASE WHEN contains(lower(t), 'contents') THEN true WHEN starts_with(t, '#') THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS toc
-    FROM (SELECT doc_id, line_no, line, {_STRIP.format('line')} AS t, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS after, max(line_no) OVER (PARTITION BY doc_id) AS last FROM lines))),
-scored AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'paragraph_break' THEN 100 WHEN 'header' THEN 90 WHEN 'list_item' THEN 80 WHEN 'sentence_end' THEN 70 WHEN 'colon_end' THEN 60 ELSE 30 END AS priority,
-   CAST(CASE WHEN kind IN ('header', 'list_item') THEN before ELSE after END AS BIGINT) AS position FROM points WHERE NOT toc)"""
+_UPTO = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_POINTS = rf"""stripped AS (SELECT doc_id, line_no, line, {_STRIP.format('line')} AS t, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS after, max(line_no) OVER (PARTITION BY doc_id) AS last FROM lines),
+ahead AS (SELECT *, coalesce(first_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '[') AS soon2, coalesce(first_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '[') AS soon3 FROM stripped),
+marked AS (SELECT *, contains(lower(t), 'contents') AS named, starts_with(t, '#') AS heads, t = '' AND NOT starts_with(soon2, '[') AS leaves FROM ahead),
+tocs AS (SELECT *, coalesce(last_value(CASE WHEN named THEN true WHEN heads OR leaves THEN false END IGNORE NULLS) {_UPTO}, false) AS toc FROM marked),
+opens AS (SELECT *, coalesce(last_value(CASE WHEN named OR heads OR leaves THEN false WHEN toc AND regexp_matches(t, '^\[[^\[\]]*$') THEN true WHEN toc AND (ends_with(t, ')') OR contains(t, '](')) THEN false END IGNORE NULLS) {_UPTO}, false) AS open FROM tocs),
+points AS (SELECT *, after - length(line) - 1 AS before, CASE WHEN NOT toc AND line_no < last AND t = '' THEN 'paragraph_break' WHEN NOT toc AND heads THEN 'header' WHEN toc AND t = '' AND NOT open THEN CASE WHEN NOT starts_with(soon3, '[') THEN 'toc_end' END
+   WHEN NOT toc AND regexp_matches(t, '^([-*+]|[0-9]+\.)\s') THEN 'list_item' WHEN NOT toc AND NOT open AND regexp_matches(t, '[.!?]$') THEN 'sentence_end' WHEN NOT toc AND NOT open AND ends_with(t, ':') THEN 'colon_end'
+   WHEN NOT toc AND NOT open THEN 'line_break' WHEN toc AND NOT open THEN 'toc_safe_break' END AS kind FROM opens),
+scored AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'paragraph_break' THEN 100 WHEN 'toc_end' THEN 95 WHEN 'header' THEN 90 WHEN 'list_item' THEN 80 WHEN 'sentence_end' THEN 70 WHEN 'colon_end' THEN 60 WHEN 'line_break' THEN 30 ELSE 15 END AS priority,
+   CAST(CASE WHEN kind IN ('header', 'list_item') THEN before ELSE after END AS BIGINT) AS position FROM points WHERE kind IS NOT NULL)"""
 
 
 @query(f"WITH {_LINES}, {_POINTS} SELECT doc_id, line_no, position, kind, priority FROM scored")

@@ -42,6 +42,6 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["chunk_contents", "page_sections", "page_chunks", "extractive_answers"])
+@pytest.mark.parametrize("name", ["chunk_contents", "page_sections", "page_chunks", "extractive_answers", "extracted_entities", "extracted_graph", "document_chunks"])
 def test_queries_without_sql_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0

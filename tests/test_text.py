@@ -99,10 +99,10 @@ def test_empty_headings_move_forward(spark):
     assert [r["content"] for r in got] == ["# x\n\nbody one is long enough to stay", "##\n\n###\n\nbody two is long enough to stay"]
 
 
-def test_tables_of_contents_are_not_split(spark):
+def test_tables_of_contents_are_split_last(spark):
     text = "Contents\n[a][b](c)\n[d][e](f)\n# Start\nOne.\n\nTwo:\nthree\n- four"
     kinds = [r["kind"] for r in c.split_points(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("line_no").collect()]
-    assert kinds == ["header", "sentence_end", "paragraph_break", "colon_end", "line_break", "list_item"]
+    assert kinds == [*["toc_safe_break"] * 3, "header", "sentence_end", "paragraph_break", "colon_end", "line_break", "list_item"]
 
 
 def test_split_long_loses_nothing(spark):
