@@ -99,6 +99,7 @@ def file_name_safe(name: Column) -> Column:
 def heading_level(text: Column, font_size: Column, bold: Column) -> Column:
     """1 to 4 for text that looks like a heading, else 0."""
     t = strip(text)
+    # The patterns, limits and levels, in their order.
     return (
         F.when(F.length(t) > 150, 0)
         .when(t.rlike(r"(?i)^RFP:\s*Banking\s*Services\s*$"), 0)
@@ -210,14 +211,15 @@ def is_cjk(word: Column) -> Column:
 
 def keywords(text: Column, most: int = 10) -> Column:
     """Up to ``most`` different keywords, in alphabetical order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     letters = lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", ""))
 
     def wanted(w: Column) -> Column:
+        # Cheap tests first: most words are decided before a pattern is tried.
         share = letters(w) / F.length(w)
-        return (F.length(w) >= F.when(is_cjk(w), 1).otherwise(2)) & (F.length(w) <= 20) & ~w.rlike(r"^\p{N}+$") & ~w.isin(STOP_WORDS) & (share >= F.when(F.length(w) <= 5, 0.6).otherwise(0.4))
+        return (F.length(w) <= 20) & ~w.isin(STOP_WORDS) & ((F.length(w) >= 2) | is_cjk(w)) & ~w.rlike(r"^\p{N}+$") & (share >= F.when(F.length(w) <= 5, 0.6).otherwise(0.4))
 
-    return F.slice(F.array_sort(F.array_distinct(F.filter(found, wanted))), 1, most)
+    return F.slice(F.array_sort(F.filter(found, wanted)), 1, most)
 
 
 def token_count(text: Column) -> Column:
@@ -250,6 +252,7 @@ def describe(kind: Column, name: Column, properties: Column) -> Column:
     listed = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
     table = F.coalesce(get("table_name"), get("name"), name)
     relation = F.coalesce(get("relationship_type"), F.lit("relationship"))
+    # The sentences' wording, the misspelling of the last but one included.
     return (
         F.when(kind == "Table", F.when(filled(get("columns")), F.format_string("Table '%s' containing columns: %s", table, get("columns"))).otherwise(F.format_string("Table entity named '%s'", table)))
         .when(kind == "Item", F.format_string("An %s record named '%s'", F.coalesce(get("item_type"), F.lit("item")), name))
