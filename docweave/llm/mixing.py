@@ -139,7 +139,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
         return df.join(more.withColumnRenamed("source", "_of"), same, how).drop("_of", "_octave")
 
     known = joined(rows, plan.select("source", "octave", "chance"), by_length=True)
-    drawn = ranked(known).where("_rank is not null")
+    drawn = scratch.save(ranked(known).where("_rank is not null").select("_row", "size", "_bucket", "_order"), "drawn")
     kind = drawn.select("_order").schema[0].dataType.simpleString()
     wanted = plan.groupBy("source").agg((F.max("target") - F.sum(F.col("certain") * F.col("words"))).alias("wanted"), F.max("chance").alias("chance"))
     ends = wanted.where("chance > 0").select("source", F.col("wanted").alias("gap"), F.lit(None).cast(kind).alias("past"), F.array().cast(f"array<struct<past:{kind},stop:{kind},gap:double>>").alias("runs"), F.lit(True).alias("open"))
