@@ -208,9 +208,9 @@ def known_counts(grams: Grams, answers: pa.Table, shards: int) -> list[tuple[np.
         for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if b > a:
                 total[a:b] = unpack_counts(got[level, s], b - a)
-        found = np.full(len(row), -1)
+        found = np.full(len(row), -1, np.int32)
         found[places] = back
-        out.append((total, places[first], found))
+        out.append((total, places[first].astype(np.int32), found))
     return out
 
 

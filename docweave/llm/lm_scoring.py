@@ -51,8 +51,8 @@ class Automaton:
         first_state = np.concatenate([[1], 1 + np.cumsum(sizes[:-1])]).tolist()  # of each level
         first_arc = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         states = 1 + sum(sizes[:-1])
-        self.fail, self.fail_weight = np.zeros(states, np.int64), np.zeros(states)
-        self.depth = np.zeros(states, np.int64)
+        self.fail, self.fail_weight = np.zeros(states, np.int32), np.zeros(states)
+        self.depth = np.zeros(states, np.int8)
         self.arcs, weights, targets = [], [], []
         probability = (known[0][0] + 1.0) / outcomes
         for level, (counts, place, at) in enumerate(known):
@@ -67,14 +67,15 @@ class Automaton:
             # An n-gram that no training text holds is no state; its arc, if it has one, ends where failing would.
             targets.append(np.where(counts > 0, own, suffix) if level < order - 1 else suffix)
             weights.append(np.log10(probability))
-            self.arcs.append(np.where((at >= 0) & ((counts[at] > 0) | (level == 0)), first_arc[level] + at, -1) if sizes[level] else np.full(len(at), -1))
-        self.target, self.weight = np.concatenate(targets), np.concatenate(weights)
+            usable = (at >= 0) & ((counts[at] > 0) | (level == 0)) if sizes[level] else np.zeros(len(at), bool)
+            self.arcs.append(np.where(usable, first_arc[level] + at, -1).astype(np.int32))
+        self.target, self.weight = np.concatenate(targets).astype(np.int32), np.concatenate(weights)
         self.grams, self.known, self.first_state = grams, known, first_state
 
     def read(self) -> np.ndarray:
         """The log10 probability of each text: one pass over its tokens that carries a state."""
-        fail, fail_weight, depth = self.fail.tolist(), self.fail_weight.tolist(), self.depth.tolist()
-        target, weight = self.target.tolist(), self.weight.tolist()
+        # Views give plain numbers without a copy of the automaton as Python objects.
+        fail, fail_weight, depth, target, weight = map(memoryview, (self.fail, self.fail_weight, self.depth, self.target, self.weight))
         start = int(self.known[0][2][self.grams.starts[0]]) if len(self.grams.sizes) else 0
         begin = self.first_state[0] + start if len(self.known) > 1 and self.known[0][0][start] else 0
         scores = []
