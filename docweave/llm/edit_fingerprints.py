@@ -236,22 +236,37 @@ def _links_between(nodes: DataFrame, groups: DataFrame, labels: DataFrame, least
     ys = apart.withColumns({"y": spread("y_blocks"), "x": every("x_blocks"), "asks": F.lit(False)}).select(*columns)
     rows = xs.unionByName(ys).join(nodes, "node")
 
-    def compare(table: pa.Table) -> pa.Table:
-        walks, found = Walks(), set()
-        asks, of = table.column("asks").to_numpy(zero_copy_only=False), table.column("label").to_numpy()
-        symbols = [unpack(p)[1] for p in table.column("print").to_pylist()]
-        others = np.flatnonzero(~asks)
-        if len(others):
-            sizes = np.array([len(symbols[k]) for k in others])
+    def links(walks: Walks, group: list[tuple]) -> set[tuple[int, int]]:
+        """``(greater label, lesser label)`` of the pairs of one block that are alike; members are ``(asks, label, print)``."""
+        asking = [(of, unpack(raw)[1]) for asks, of, raw in group if asks]
+        others = [(of, unpack(raw)[1]) for asks, of, raw in group if not asks]
+        found: set[tuple[int, int]] = set()
+        if asking and others:
+            labels_of, sizes = np.array([of for of, _ in others]), np.array([len(x) for _, x in others])
             matrix = np.full((len(others), int(sizes.max())), 255, np.uint8)
-            for row, k in enumerate(others.tolist()):
-                matrix[row, : len(symbols[k])] = symbols[k]
-            for k in np.flatnonzero(asks).tolist():
-                near = (walks.likeness_to_all(symbols[k], matrix, sizes) >= least) & (of[others] != of[k])
-                found.update((max(int(of[k]), x), min(int(of[k]), x)) for x in of[others[near]].tolist())
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
-
-    return rows.groupBy("leader", "x", "y").applyInArrow(compare, "u long, v long").distinct()
+            for row, (_, symbols) in enumerate(others):
+                matrix[row, : len(symbols)] = symbols
+            for of, symbols in asking:
+                near = (walks.likeness_to_all(symbols, matrix, sizes) >= least) & (labels_of != of)
+                found.update((max(of, x), min(of, x)) for x in labels_of[near].tolist())
+        return found
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Most groups are small: they come one after the other, sorted, rather than each by itself.
+        walks, key, group = Walks(), None, []
+        table = lambda found: pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for leader, x, y, *member in zip(*(batch.column(c).to_pylist() for c in ("leader", "x", "y", "asks", "label", "print")), strict=True):
+                if (leader, x, y) != key:
+                    found |= links(walks, group)
+                    key, group = (leader, x, y), []
+                group.append(tuple(member))
+            yield table(found)
+        yield table(links(walks, group))
+
+    dealt = rows.select("leader", "x", "y", "asks", "label", "print").repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y")
+    return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
 def _placed(docs: DataFrame) -> DataFrame:
