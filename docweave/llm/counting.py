@@ -110,8 +110,8 @@ def blocks_of(total_bytes: int, fewest: int) -> int:
     return max(fewest, math.ceil(total_bytes / BLOCK_BYTES))
 
 
-def in_blocks(docs: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block, rows``: the rows of ``docs(text, ...)`` packed in the order of their partition, dealt over partitions by block.
+def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``block, rows``: the rows of ``docs(text, ...)`` packed in the order of their partition.
 
     Rows that repeat lie wherever they are read, so none makes a block larger; a text
     beyond ``block_bytes`` is a block by itself. ``docs`` has to give the same rows in the same order when a task is run again, as files do.
@@ -144,7 +144,12 @@ def in_blocks(docs: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> D
         if held and sum(b.num_rows for b in held):
             yield emit()
 
-    return docs.mapInArrow(pack, "block long, rows binary").repartition(max(1, math.ceil(blocks / PER_PARTITION)), "block")
+    return docs.mapInArrow(pack, "block long, rows binary")
+
+
+def in_blocks(docs: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``pack_blocks`` gives, dealt over partitions by block."""
+    return pack_blocks(docs, block_bytes).repartition(max(1, math.ceil(blocks / PER_PARTITION)), "block")
 
 
 def unpack_rows(raw: bytes) -> pa.Table:
