@@ -122,7 +122,7 @@ def _cut(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """``(shard, from, to)`` of the shards that hold any of the keys; a shard is what agrees in the first ``bits`` bits."""
     shards = (sorted_keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sorted_keys), np.int64)
     first = np.flatnonzero(np.diff(shards, prepend=-1))
-    return list(zip(shards[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shards)], strict=True))
+    return list(zip(shards[first].tolist(), first.tolist(), np.append(first, len(shards))[1:].tolist(), strict=True))
 
 
 def repeats(body: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> list[np.ndarray]:
