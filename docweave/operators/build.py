@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import describe, make_id
+from docweave.functions.text import describe, let, make_id
 from docweave.operators.store import Store
 
 _NODE = "id string, label string, name string, type string, text string, summary string, embedding array<double>, properties map<string,string>"
@@ -75,9 +75,14 @@ def text_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = "struct<type:string,text:string,embedding:array<double>>"
     entity = lambda e, i: F.struct(make_id(F.lit("entity"), F.concat_ws("/", "chunk", i.cast("string"))).alias("node"), e["name"].alias("name"), e["type"].alias("type"), e["description_node"].cast(about).alias("d"))
     df = df.withColumn("es", F.transform(F.coalesce("entities", F.expr("cast(array() as " + extractions.schema["entities"].dataType.simpleString() + ")")), entity))
-    end = lambda name: F.get(F.filter(F.reverse("es"), lambda e: e["name"] == name), 0)["node"]
-    relation = lambda r, i: F.struct(make_id(F.lit("relationship"), F.concat_ws("/", "chunk", i.cast("string"))).alias("node"), r["type"].alias("type"), end(r["source"]).alias("a"), end(r["target"]).alias("b"), r["description_node"].cast(about).alias("d"))
-    named = F.filter(F.transform(F.coalesce("relationships", F.expr("cast(array() as " + extractions.schema["relationships"].dataType.simpleString() + ")")), relation), lambda r: r["a"].isNotNull() & r["b"].isNotNull())
+    told_relations = F.coalesce("relationships", F.expr("cast(array() as " + extractions.schema["relationships"].dataType.simpleString() + ")"))
+
+    def relations(nodes: Column, names: Column) -> Column:
+        end = lambda name: F.when(F.array_contains(names, name), F.get(nodes, F.array_position(names, name).cast("int") - 1))
+        return F.transform(told_relations, lambda r, i: F.struct(make_id(F.lit("relationship"), F.concat_ws("/", "chunk", i.cast("string"))).alias("node"), r["type"].alias("type"), end(r["source"]).alias("a"), end(r["target"]).alias("b"), r["description_node"].cast(about).alias("d")))
+
+    ends = let(F.reverse("es"), lambda es: let(F.transform(es, lambda e: e["node"]), lambda nodes: let(F.transform(es, lambda e: e["name"]), lambda names: relations(nodes, names))))
+    named = F.filter(ends, lambda r: r["a"].isNotNull() & r["b"].isNotNull())
     df = df.withColumn("rs", named)
     told = lambda xs: F.filter(xs, lambda x: F.coalesce(x["d"]["text"] != "", F.lit(False)))
     text_of = lambda x: make_id(F.lit("description"), x["node"])
@@ -119,8 +124,16 @@ def table_graph(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.struct(n["id"].alias("original"), name.alias("name"), n["type"].alias("type"), label.alias("label"), make_id(label, key).alias("node"), properties.alias("properties"), text.alias("text"), _member(n, have, "embedding", "array<double>").alias("embedding"))
 
     df = df.withColumn("ns", F.transform("nodes", thing))
-    at = lambda original: F.get(F.filter(F.reverse("ns"), lambda n: n["original"] == original), 0)
-    ends = F.transform(F.array_distinct(F.transform("edges", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type")))), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type"), at(x["source"]).alias("a"), at(x["target"]).alias("b")))
+    ids = F.transform(F.reverse("ns"), lambda n: F.struct(n["original"].alias("original"), n["node"].alias("node"), n["label"].alias("label")))
+    once = F.array_distinct(F.transform("edges", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type"))))
+
+    def met(nodes: Column, originals: Column) -> Column:
+        """Each edge with id and label of its ends, null where the chunk lacks one; of nodes that share an original id the first here counts."""
+        at = lambda original: F.get(nodes, F.coalesce(F.array_position(originals, original), F.lit(0)).cast("int") - 1)
+        end = lambda x, c, name: F.when(F.array_contains(originals, x[c]), F.struct(at(x[c])["node"].alias("node"), at(x[c])["label"].alias("label"))).alias(name)
+        return F.transform(once, lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type"), end(x, "source", "a"), end(x, "target", "b")))
+
+    ends = let(ids, lambda nodes: let(F.transform(nodes, lambda n: n["original"]), lambda originals: met(nodes, originals)))
     df = df.withColumn("xs", F.filter(ends, lambda x: x["a"].isNotNull() & x["b"].isNotNull()))
     labels = lambda x, kind, a, b: (x["type"] == kind) & (x["a"]["label"] == a) & (x["b"]["label"] == b)
     holds = F.filter("xs", lambda x: labels(x, "CONTAINS", "Table", "Item"))

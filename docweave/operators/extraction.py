@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import has_pipe_table, json_block_with, parsed, sentences, strip, words
+from docweave.functions.text import has_pipe_table, json_block_with, let, parsed, sentences, strip, words
 from docweave.operators.build import table_graph, text_graph
 from docweave.operators.models import embed_one, summarise
 
@@ -36,20 +36,25 @@ def text_extraction(text: Column) -> Column:
     them, else as RELATED_TO.
     """
     found = F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.struct(s.alias("s"), F.regexp_extract_all(s, F.lit(NAME), F.lit(0)).alias("names"), F.split(s, NAME, -1).alias("gaps")))
-    pairs = F.flatten(F.transform(found, lambda f: F.transform(f["names"], lambda n: F.struct(n.alias("name"), f["s"].alias("s")))))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    first = lambda n: F.get(F.filter(pairs, lambda p: p["name"] == n), 0)["s"]
-    entities = F.transform(names, lambda n, i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("id"), n.alias("name"), name_type(n).alias("type"), _about(first(n)).alias("description_node")))
+
+    def entities(fs: Column) -> Column:
+        """The names in the order of their first sentences, which sorting by name and place finds."""
+        pairs = F.flatten(F.transform(fs, lambda f, i: F.transform(f["names"], lambda n, j: F.struct(n.alias("name"), i.alias("i"), j.alias("j"), f["s"].alias("s")))))
+        first = let(F.array_sort(pairs), lambda ps: F.filter(ps, lambda p, k: (k == 0) | (F.get(ps, k - 1)["name"] != p["name"])))
+        told = F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), p["name"].alias("name"), p["s"].alias("s"))))
+        return F.transform(told, lambda p, i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("id"), p["name"].alias("name"), name_type(p["name"]).alias("type"), _about(p["s"]).alias("description_node")))
 
     def relations(f: Column) -> Column:
         between = lambda i: words(F.regexp_replace(F.get(f["gaps"], i + 1), r"[^\p{L}\s]", " "))
-        kind = lambda i: F.when(F.size(between(i)).between(1, 3), F.upper(F.array_join(between(i), "_"))).otherwise("RELATED_TO")
+        kind = lambda i: let(between(i), lambda w: F.when(F.size(w).between(1, 3), F.upper(F.array_join(w, "_"))).otherwise("RELATED_TO"))
         ends = F.slice(f["names"], 1, F.greatest(F.size(f["names"]) - 1, F.lit(0)))
         return F.transform(ends, lambda n, i: F.struct(n.alias("source"), F.get(f["names"], i + 1).alias("target"), kind(i).alias("type"), f["s"].alias("s")))
 
-    linked = F.flatten(F.transform(found, relations))
-    relationships = F.transform(linked, lambda r, i: F.struct(F.concat(F.lit("r"), i.cast("string")).alias("id"), r["source"].alias("source"), r["target"].alias("target"), r["type"].alias("type"), _about(r["s"]).alias("description_node")))
-    return F.struct(entities.alias("entities"), relationships.alias("relationships"))
+    def relationships(fs: Column) -> Column:
+        linked = F.flatten(F.transform(fs, relations))
+        return F.transform(linked, lambda r, i: F.struct(F.concat(F.lit("r"), i.cast("string")).alias("id"), r["source"].alias("source"), r["target"].alias("target"), r["type"].alias("type"), _about(r["s"]).alias("description_node")))
+
+    return let(found, lambda fs: F.struct(entities(fs).alias("entities"), relationships(fs).alias("relationships")))
 
 
 def table_extraction(text: Column, name: Column) -> Column:
@@ -60,8 +65,11 @@ def table_extraction(text: Column, name: Column) -> Column:
     """
     rows = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), strip), lambda x: x.rlike(r"^\|.*\|$"))
     cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|", -1), strip))
-    heads = F.coalesce(F.get(cells, 0), F.array().cast("array<string>"))
-    body = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(1))), lambda c: ~F.forall(c, lambda x: x.rlike("^[-: ]*$")))
+    return let(cells, lambda cs: let(F.coalesce(F.get(cs, 0), F.array().cast("array<string>")), lambda heads: _table(heads, F.filter(F.slice(cs, 2, F.greatest(F.size(cs) - 1, F.lit(1))), lambda c: ~F.forall(c, lambda x: x.rlike("^[-: ]*$"))), name)))
+
+
+def _table(heads: Column, lines: Column, name: Column) -> Column:
+    """The nodes and edges of a table's heads and the cells of its lines."""
     none = F.lit(None).cast("array<double>")
 
     def node(key: Column, label: Column, kind: Column, properties: Column) -> Column:
@@ -70,15 +78,19 @@ def table_extraction(text: Column, name: Column) -> Column:
     item = lambda i: F.concat(F.lit("r"), i.cast("string"))
     field = lambda i, j: F.concat(item(i), F.lit("c"), j.cast("string"))
     filled = lambda c: F.filter(F.transform(heads, lambda h, j: F.struct(h.alias("h"), j.alias("j"), F.coalesce(F.get(c, j), F.lit("")).alias("v"))), lambda x: x["v"] != "")
-    table = F.array(node(F.lit("t"), name, F.lit("Table"), F.create_map(F.lit("table_name"), name, F.lit("columns"), F.array_join(heads, ", "))))
-    items = F.transform(body, lambda c, i: node(item(i), F.get(c, 0), F.lit("Item"), F.map_from_entries(F.transform(F.filter(filled(c), lambda x: F.array_position(heads, x["h"]) == x["j"] + 1), lambda x: F.struct(x["h"], x["v"])))))
-    others = F.flatten(F.transform(body, lambda c, i: F.transform(F.filter(filled(c), lambda x: x["j"] > 0), lambda x: node(field(i, x["j"]), x["v"], x["h"], F.create_map()))))
     edge = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"))
-    holds = F.transform(body, lambda c, i: edge(F.lit("t"), item(i), "CONTAINS"))
-    mentions = F.flatten(F.transform(body, lambda c, i: F.transform(F.filter(filled(c), lambda x: x["j"] > 0), lambda x: edge(item(i), field(i, x["j"]), "MENTIONS"))))
-    some = F.size(body) > 0
-    empty = lambda x: F.slice(x, 1, 0)
-    return F.struct(F.when(some, F.concat(table, items, others)).otherwise(empty(table)).alias("nodes"), F.when(some, F.concat(holds, mentions)).otherwise(empty(holds)).alias("edges"))
+    table = F.array(node(F.lit("t"), name, F.lit("Table"), F.create_map(F.lit("table_name"), name, F.lit("columns"), F.array_join(heads, ", "))))
+
+    def parts(body: Column) -> Column:
+        items = F.transform(body, lambda b, i: node(item(i), F.get(b["cells"], 0), F.lit("Item"), F.map_from_entries(F.transform(F.filter(b["filled"], lambda x: F.array_position(heads, x["h"]) == x["j"] + 1), lambda x: F.struct(x["h"], x["v"])))))
+        others = F.flatten(F.transform(body, lambda b, i: F.transform(F.filter(b["filled"], lambda x: x["j"] > 0), lambda x: node(field(i, x["j"]), x["v"], x["h"], F.create_map()))))
+        holds = F.transform(body, lambda b, i: edge(F.lit("t"), item(i), "CONTAINS"))
+        mentions = F.flatten(F.transform(body, lambda b, i: F.transform(F.filter(b["filled"], lambda x: x["j"] > 0), lambda x: edge(item(i), field(i, x["j"]), "MENTIONS"))))
+        some = F.size(body) > 0
+        empty = lambda x: F.slice(x, 1, 0)
+        return F.struct(F.when(some, F.concat(table, items, others)).otherwise(empty(table)).alias("nodes"), F.when(some, F.concat(holds, mentions)).otherwise(empty(holds)).alias("edges"))
+
+    return let(F.transform(lines, lambda c: F.struct(c.alias("cells"), filled(c).alias("filled"))), parts)
 
 
 def text_reply(reply: Column) -> Column:
@@ -98,10 +110,11 @@ def extract_texts(chunks: DataFrame, reply: str | None = None) -> DataFrame:
     """
     found = text_reply(F.col(reply)) if reply else text_extraction(F.col("content"))
     vectored = lambda xs: F.transform(xs, lambda x: x.withField("description_node", x["description_node"].withField("embedding", embed_one(x["description_node"]["text"]))))
-    out = chunks.withColumn("_x", found)
+    error = lambda x: F.when(x["entities"].isNull(), "nothing extracted").alias("error")
+    out = chunks.withColumn("_x", let(found, lambda x: F.struct(vectored(x["entities"]).alias("entities"), vectored(x["relationships"]).alias("relationships"), error(x))))
     return out.select(
         "document", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("content").alias("chunk_text"), summarise(F.col("content")).alias("summary"), embed_one(F.col("content")).alias("embedding"),
-        vectored(F.col("_x.entities")).alias("entities"), vectored(F.col("_x.relationships")).alias("relationships"), F.when(F.col("_x.entities").isNull(), "nothing extracted").alias("error"),
+        F.col("_x.entities").alias("entities"), F.col("_x.relationships").alias("relationships"), F.col("_x.error").alias("error"),
     )
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import time
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.functions.text import confidence, is_cjk, parse_answer, preview, sentences, words
+from docweave.functions.text import confidence, is_cjk, let, parse_answer, preview, sentences, words
 
 #: Families of providers by the start of a model's name.
 FAMILIES = {"gpt": "openai", "claude": "anthropic", "embedding": "embedding", "gemini": "genai"}
@@ -62,17 +62,22 @@ def word_places(text: Column, dimension: int = DIMENSION) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dimension)
 
 
+def _counted(text: Column, dimension: int, finish: Callable[[Column, Column], Column]) -> Column:
+    """What ``finish`` makes of a text's count of words in each component, taken in one pass, and of the counts' length."""
+    none = F.array_repeat(F.lit(0.0), dimension)
+    add = lambda counts, p: F.transform(counts, lambda x, i: F.when(i == p, x + 1.0).otherwise(x))
+    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.aggregate(word_places(text, dimension), none, add, lambda counts: let(length(counts), lambda n: finish(counts, n)))
+
+
 def embed_one(text: Column, dimension: int = DIMENSION) -> Column:
-    """The embedding of a single text: an empty array for a text without words."""
-    return F.when(F.size(words(F.coalesce(text, F.lit("")))) > 0, embed(text, dimension)).otherwise(F.array().cast("array<double>"))
+    """The embedding of a single text: an empty array for a text without words, null among them."""
+    return _counted(F.coalesce(text, F.lit("")), dimension, lambda counts, n: F.when(n > 0, F.transform(counts, lambda x: x / n)).otherwise(F.array().cast("array<double>")))
 
 
 def embed(text: Column, dimension: int = DIMENSION) -> Column:
     """A hashed bag of words, one unit for each word, of length one; texts without words give zeros."""
-    places = word_places(text, dimension)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, F.nullif(norm, F.lit(0.0))), F.lit(0.0)))
+    return _counted(F.coalesce(text, F.lit("")), dimension, lambda counts, n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def summarise(text: Column, most: int = 500) -> Column:

@@ -66,12 +66,10 @@ def consume_until(hits: DataFrame, k: int, order: list[Column], group: str = "qu
     Whole hits are read, so the last one may lead beyond ``k``. Each chunk comes once, at its first hit.
     """
     place = F.dense_rank().over(Window.partitionBy(group).orderBy(*order, hit))
-    ranked = hits.withColumn("_hit", place)
-    first = first_of(ranked, [group, chunk], [F.col("_hit")])
-    sums = first.groupBy(group, "_hit").agg(F.count("*").alias("_new"))
-    before = F.coalesce(F.sum("_new").over(Window.partitionBy(group).orderBy("_hit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    read = sums.withColumn("_before", before).where(F.col("_before") < k).select(group, "_hit")
-    return first.join(read, [group, "_hit"]).drop("_hit")
+    seen = F.row_number().over(Window.partitionBy(group, chunk).orderBy("_hit"))
+    before = F.count("*").over(Window.partitionBy(group).orderBy("_hit").rangeBetween(Window.unboundedPreceding, -1))
+    first = hits.withColumn("_hit", place).withColumn("_seen", seen).where("_seen = 1")
+    return first.withColumn("_before", before).where(F.col("_before") < k).drop("_hit", "_seen", "_before")
 
 
 #: Edge types that relate chunks.
