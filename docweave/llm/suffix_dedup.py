@@ -82,24 +82,25 @@ def _least(keys: np.ndarray, window: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of strings with one anchor in a piece of bytes: from ``low`` to ``high``, around ``anchor``."""
+    """Runs of strings with one anchor in a piece of bytes: from ``low`` to ``high``, around ``anchor``; ``content`` stands for all of a run's bytes."""
 
     def __init__(self, data: np.ndarray, valid: np.ndarray, width: int, gram: int):
         """``valid``: whether a string of ``width`` bytes that begins at each place lies in one document."""
-        self.data, self.sums = data, Sums(data, _CODES[0])
+        self.data = data
         at = np.flatnonzero(valid)
         if not len(at):
             self.low = self.high = self.anchor = np.zeros(0, np.int64)
-            self.keys = np.zeros(0, np.uint64)
+            self.keys = self.content = np.zeros(0, np.uint64)
             return
-        begins = np.arange(len(data) - gram + 1)
-        grams = self.sums.of(begins, begins + gram)
+        sums, begins = Sums(data, _CODES[0]), np.arange(len(data) - gram + 1)
+        grams = sums.of(begins, begins + gram)
         bits = np.uint64(max(1, len(data)).bit_length())
         # Cut hashes with the place in the low bits: of equal ones the first is the least.
         anchor = (_least(grams >> bits << bits | begins.astype(np.uint64), width - gram + 1)[at] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(anchor) != 0)]))
         self.low, self.high, self.anchor = at[first], at[np.append(first[1:], len(at)) - 1], anchor[first]
-        self.keys = grams[self.anchor]
+        # Least hashes are small; mixed again they fall into all shards alike.
+        self.keys, self.content = mix(~grams[self.anchor]), sums.of(self.low, self.high + width)
 
 
 def pieces(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -237,12 +238,11 @@ def _ask_strings(width: int, gram: int, bits: int, most: int):
             times = total[np.searchsorted(keys, runs.keys)]
             some = np.flatnonzero((times > 1) & (times <= most))
             low, high = runs.low[some], runs.high[some]
-            content = runs.sums.of(low, high + width)
-            rows.append(np.stack([runs.keys[some], content, (low - runs.anchor[some]).view(np.uint64), (high - low).view(np.uint64), (low + base).view(np.uint64), np.full(len(some), piece, np.uint64), low.view(np.uint64)]))
+            rows.append(np.stack([runs.keys[some], runs.content[some], (low - runs.anchor[some]).view(np.uint64), (high - low).view(np.uint64), (low + base).view(np.uint64), np.full(len(some), piece, np.uint64), low.view(np.uint64)]))
             hot = np.flatnonzero(times > most)
             if len(hot):
                 at = np.concatenate([np.arange(a, b + 1) for a, b in zip(runs.low[hot].tolist(), runs.high[hot].tolist(), strict=True)])
-                strings.append(np.stack([runs.sums.of(at, at + width), Sums(runs.data, _CODES[1]).of(at, at + width), (at + base).view(np.uint64)]))
+                strings.append(np.stack([*[Sums(runs.data, codes).of(at, at + width) for codes in _CODES], (at + base).view(np.uint64)]))
             held.append(runs.data)
         if rows:
             _documents(packed, np.concatenate(rows, axis=1), held, width, bits)
