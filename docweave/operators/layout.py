@@ -5,32 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import cell
+from docweave.functions.text import cell, let
 
 #: A table's box is that much larger when texts inside it are looked for.
 MARGIN = 10
 
 
+#: Columns that tell pages apart; a table of pages has some of them.
+PAGE_KEYS = ("path", "doc_id", "page")
+#: Side of the cells by which boxes of a page meet, in points.
+CELL = 200.0
+
+
+def page_keys(*frames: DataFrame) -> list[str]:
+    """The columns of ``PAGE_KEYS`` that all frames have: pages of two documents never mix where the document is known."""
+    return [c for c in PAGE_KEYS if all(c in df.columns for df in frames)]
+
+
+def _cells(low: Column, high: Column, size: float) -> Column:
+    """The numbers of all cells of one axis that an interval meets; an interval of no length or none at all meets one."""
+    first = F.floor(low / size)
+    return F.sequence(first, F.greatest(first, F.floor(high / size)))
+
+
 def outside_tables(texts: DataFrame, tables: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """Text blocks ``page, x0, y0, x1, y1`` that lie in no table of their page."""
-    t = tables.select(F.col("page").alias("_page"), *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = (F.col("page") == F.col("_page")) & (F.col("x0") >= F.col("tx0") - margin) & (F.col("x1") <= F.col("tx1") + margin) & (F.col("y0") >= F.col("ty0") - margin) & (F.col("y1") <= F.col("ty1") + margin)
-    return texts.join(t, inside, "left_anti")
+    """Text blocks ``x0, y0, x1, y1`` that lie in no table of their page.
+
+    Pages are told apart by ``PAGE_KEYS``. A table is sent to each cell of the page that it meets, and a
+    text to that of its upper left corner, so only near ones are compared.
+    """
+    keys = page_keys(texts, tables)
+    t = tables.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("x0") - margin).alias("tx0"), (F.col("y0") - margin).alias("ty0"), (F.col("x1") + margin).alias("tx1"), (F.col("y1") + margin).alias("ty1"))
+    t = t.withColumn("_i", F.explode(_cells(F.col("tx0"), F.col("tx1"), CELL))).withColumn("_j", F.explode(_cells(F.col("ty0"), F.col("ty1"), CELL)))
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.floor(F.col("x0") / CELL) == F.col("_i"), F.floor(F.col("y0") / CELL) == F.col("_j")]
+    inside = (F.col("x0") >= F.col("tx0")) & (F.col("x1") <= F.col("tx1")) & (F.col("y0") >= F.col("ty0")) & (F.col("y1") <= F.col("ty1"))
+    return texts.join(t, [*met, inside], "left_anti")
 
 
 def distinct_images(images: DataFrame) -> DataFrame:
-    """Images ``page, seq, width, height, y`` without those that an earlier one of nearly the same size and place repeats."""
-    other = images.select(F.col("page").alias("_page"), F.col("seq").alias("_seq"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("y").alias("_y"))
-    same = (F.col("page") == F.col("_page")) & (F.col("_seq") < F.col("seq")) & (F.abs(F.col("width") - F.col("_w")) < 10) & (F.abs(F.col("height") - F.col("_h")) < 10) & (F.abs(F.col("y") - F.col("_y")) < 20)
-    return images.join(other, same, "left_anti")
+    """Images ``seq, width, height, y`` without those that an earlier one of their page, of nearly the same size and place, repeats.
+
+    They meet in bands of 20 points: an image is compared with those of its own band and the two beside it.
+    """
+    keys = page_keys(images)
+    other = images.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("seq").alias("_seq"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("y").alias("_y"))
+    other = other.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_y") / 20) - 1, F.floor(F.col("_y") / 20) + 1)))
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.floor(F.col("y") / 20) == F.col("_band")]
+    same = (F.col("_seq") < F.col("seq")) & (F.abs(F.col("width") - F.col("_w")) < 10) & (F.abs(F.col("height") - F.col("_h")) < 10) & (F.abs(F.col("y") - F.col("_y")) < 20)
+    return images.join(other, [*met, same], "left_anti")
 
 
 def fonts_of(texts: DataFrame, details: DataFrame) -> DataFrame:
-    """Text blocks ``page, seq, y`` with ``font_size`` of the first detail block within 5 units of height."""
-    d = details.select(F.col("page").alias("_page"), F.col("seq").alias("_seq"), F.col("y").alias("_y"), "font_size")
-    near = texts.join(d, (F.col("page") == F.col("_page")) & (F.abs(F.col("y") - F.col("_y")) < 5), "left")
-    place = F.row_number().over(Window.partitionBy("page", "seq").orderBy("_seq"))
-    return near.withColumn("_n", place).where("_n = 1").drop("_n", "_page", "_seq", "_y")
+    """Text blocks ``seq, y`` with ``font_size`` of the first detail block of their page within 5 units of height, met in bands of 5."""
+    keys = page_keys(texts, details)
+    d = details.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("seq").alias("_seq"), F.col("y").alias("_y"), "font_size")
+    d = d.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_y") / 5) - 1, F.floor(F.col("_y") / 5) + 1)))
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.floor(F.col("y") / 5) == F.col("_band"), F.abs(F.col("y") - F.col("_y")) < 5]
+    near = texts.join(d, met, "left")
+    place = F.row_number().over(Window.partitionBy(*keys, "seq").orderBy("_seq"))
+    return near.withColumn("_n", place).where("_n = 1").drop("_n", "_seq", "_y", "_band", *[f"_{k}" for k in keys])
 
 
 def page_texts(elements: DataFrame) -> DataFrame:
@@ -52,10 +85,14 @@ def page_texts(elements: DataFrame) -> DataFrame:
 
 
 def insert_captions(lines: DataFrame, captions: DataFrame) -> DataFrame:
-    """Lines ``doc_id, line_no, line`` whose image places are replaced by ``captions(image, description)``; others stay."""
+    """Lines ``doc_id, line_no, line`` whose image places are replaced by ``captions([doc_id, ]image, description)``; others stay.
+
+    Captions with a ``doc_id`` belong to that document; without one they are for the images of all documents.
+    """
     number = F.nullif(F.regexp_extract("line", r"\[image placeholder ([0-9]+)\]", 1), F.lit("")).cast("int")
-    c = captions.select(F.col("image").alias("_image"), F.col("description").alias("_d"))
-    marked = lines.withColumn("_n", number).join(c, F.col("_n") == F.col("_image"), "left")
+    own = [F.col("doc_id").alias("_doc")] if "doc_id" in captions.columns else []
+    c = captions.select(*own, F.col("image").alias("_image"), F.col("description").alias("_d"))
+    marked = lines.withColumn("_n", number).join(c, [F.col("_n") == F.col("_image"), *[F.col("doc_id") == F.col("_doc") for _ in own]], "left")
     return marked.select("doc_id", "line_no", F.when(F.col("_d").isNotNull(), F.concat(F.lit("[IMAGE_DESCRIPTION]: "), "_d")).otherwise(F.col("line")).alias("line"))
 
 
@@ -104,20 +141,24 @@ def captioned_blocks(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     return found.select("path", "position", "kind", F.when(F.col("description").isNull(), F.col("text")).otherwise(shown).alias("text"))
 
 
+def table_markdown(rows: Column) -> Column:
+    """Rows of cells as a Markdown table, the first one its head; blank rows are left out, and null if none is left."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
+    rule = lambda head: F.concat(F.lit("| "), F.array_join(F.transform(head, lambda _: F.lit("---")), " | "), F.lit(" |"))
+    full = F.filter(rows, lambda r: F.exists(r, lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+    return let(full, lambda rs: F.when(F.size(rs) > 0, F.array_join(F.concat(F.array(line(F.get(rs, 0)), rule(F.get(rs, 0))), F.transform(F.slice(rs, 2, F.greatest(F.size(rs), F.lit(1))), line)), "\n")))
+
+
 def layout_order(elements: DataFrame, tables: DataFrame) -> DataFrame:
-    """The elements ``page, x0, y0, x1, y1, seq, kind, content`` of scanned pages in reading order: ``page, place, kind, content``.
+    """The elements ``x0, y0, x1, y1, seq, kind, content`` of scanned pages in reading order: page, ``place, kind, content``.
 
-    Texts that lie in a table of their page are left out, as the table has them;
-    ``tables(page, x0, y0, x1, y1, rows array<array<string>>)`` come in as Markdown at the middle of their height.
+    Pages are told apart by ``PAGE_KEYS``. Texts that lie in a table of their page are left out, as the table has them;
+    ``tables(x0, y0, x1, y1, rows array<array<string>>)`` come in as Markdown at the middle of their height.
     """
+    keys = page_keys(elements, tables)
     texts = outside_tables(elements.where("kind = 'text'"), tables)
     others = elements.where("kind <> 'text'")
-    own = texts.unionByName(others).select("page", F.col("y0").cast("double").alias("y"), F.col("seq").cast("long").alias("seq"), "kind", "content")
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
-    filled = F.filter("rows", lambda r: F.exists(r, lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
-    head = F.get(filled, 0)
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(head, lambda _: F.lit("---")), " | "), F.lit(" |"))
-    body = F.concat(F.array(line(head), rule), F.transform(F.slice(filled, 2, F.greatest(F.size(filled), F.lit(1))), line))
-    tabled = tables.where(F.size(filled) > 0).select("page", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.lit(-1).cast("long").alias("seq"), F.lit("table").alias("kind"), F.array_join(body, "\n").alias("content"))
-    order = Window.partitionBy("page").orderBy("y", "seq", "content")
-    return own.unionByName(tabled).select("page", (F.row_number().over(order) - 1).alias("place"), "kind", "content")
+    own = texts.unionByName(others).select(*keys, F.col("y0").cast("double").alias("y"), F.col("seq").cast("long").alias("seq"), "kind", "content")
+    tabled = tables.select(*keys, ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.lit(-1).cast("long").alias("seq"), F.lit("table").alias("kind"), table_markdown(F.col("rows")).alias("content")).where("content is not null")
+    order = Window.partitionBy(*keys).orderBy("y", "seq", "content")
+    return own.unionByName(tabled).select(*keys, (F.row_number().over(order) - 1).alias("place"), "kind", "content")
