@@ -329,20 +329,6 @@ def parse_iso(text: Column) -> Column:
     return F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" ")))
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as text: by their byte order mark, else as UTF-8 if they are that, else as UTF-16 if every second byte of the start is 0, else as Latin-1."""
-    start = F.substring(F.hex(content), 1, 64)
-    as_utf8 = content.cast("string")
-    return (
-        F.when(start.startswith("EFBBBF"), F.decode(F.substring(content, F.lit(4), F.length(content)), "UTF-8"))
-        .when(start.startswith("FFFE") | start.startswith("FEFF"), F.decode(content, "UTF-16"))
-        .when(start.rlike("^([0-9A-F]{2}00){2,}$"), F.decode(content, "UTF-16LE"))
-        .when(start.rlike("^(00[0-9A-F]{2}){2,}$"), F.decode(content, "UTF-16BE"))
-        .when(F.is_valid_utf8(as_utf8), as_utf8)
-        .otherwise(F.decode(content, "ISO-8859-1"))
-    )
-
-
 def local_time(stamp: Column, zone: str = "Asia/Ho_Chi_Minh") -> Column:
     return F.date_format(F.from_utc_timestamp(stamp, zone), "yyyy-MM-dd HH:mm:ss")
 

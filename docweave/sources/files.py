@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.text import decoded
 from docweave.operators.store import bound_batches
+from docweave.sources.charsets import decoded
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -38,7 +38,8 @@ EXTRACTION = (
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text`` of whole text files in UTF-8, UTF-16 or, if they are neither, Latin-1."""
+    """``path, text`` of whole text files, in the encoding that their bytes speak for; what it cannot read is left out."""
+    bound_batches(spark)
     return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
 
 

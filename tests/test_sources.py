@@ -3,9 +3,10 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from docweave.sources import files
+from docweave.sources import charsets, files
 from docweave.streaming import events
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -94,3 +95,22 @@ def test_ingest_takes_files_once(spark, sf_dir, tmp_path):
     nodes, edges = files.read_graph(spark, str(tmp_path / "g"))
     assert nodes.where("label = 'Document'").count() == 20
     assert edges.count() == nodes.where(F.col("label") == "Chunk").count() >= 20
+
+
+@pytest.mark.parametrize(("name", "text"), [
+    ("utf-8", "Пример, приклад 例文 naïve"), ("utf-16", "Any text: Ünïcode 中文"), ("utf-16-le", "plain words"), ("utf-16-be", "plain words"),
+    ("windows-1252", "Übergrößen für Mädchen – déjà vu, garçon, Ärger, €5"), ("iso-8859-1", "Un café très cher à Málaga, señor"), ("windows-1251", "Съешь же ещё этих мягких французских булок, да выпей чаю."),
+    ("shift_jis", "これは日本語の文章です。文字コードを調べます。"), ("gb18030", "这是一个中文句子，用来检测字符编码。我们在北京工作。"),
+])
+def test_charsets_are_found(name, text):
+    found = charsets.detect(text.encode(name))
+    assert text.encode(name).decode(found) == text
+    assert found == name or {found, name} == {"windows-1252", "iso-8859-1"}
+
+
+def test_charset_columns(spark):
+    raw = ["Съешь ещё булок".encode("windows-1251"), b"caf\xc3\xa9 \xff end", b"caf\xe9 noir", b"", None, b"\xef\xbb\xbfmarked", bytes(range(128, 256)) * 50]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, content binary")
+    got = {r["k"]: (r["charset"], r["text"]) for r in rows.select("k", charsets.charset("content").alias("charset"), charsets.decoded(F.col("content")).alias("text")).collect()}
+    assert [got[k][1] for k in range(6)] == ["Съешь ещё булок", "café  end", "café noir", "", None, "marked"]
+    assert got[0][0] == "windows-1251" and got[4][0] is None and got[6][1] is not None
