@@ -239,6 +239,60 @@ def section_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.select("doc_id", place.alias("chunk_id"), "parent", "content", token_count(F.col("content")).alias("token_count"))
 
 
+def header_sections(docs: DataFrame) -> DataFrame:
+    """``doc_id, section, level, path, prefix, body, chars, n_lines, end, whole_chars, whole_lines, leaf, parent, parent_chars, parent_lines``: a document's sections as nested intervals.
+
+    Section 0 is what comes before the first heading. ``prefix`` holds the headings in force, its own last, and ``body`` the other
+    lines. A section's descendants are those up to ``end``, the next section of its level or above, so what they
+    amount to, each with its prefix, is a difference of running sums.
+    """
+    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = heading_paths(markdown_lines(docs)).withColumn("section", F.sum(F.col("level").isNotNull().cast("int")).over(upto))
+    titles = F.array(*[F.max_by(f"h{k}", "line_no") for k in range(1, 7)])
+    body = F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line_no", "line"))))
+    parts = numbered.groupBy("doc_id", "section").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), titles.alias("_titles"), F.transform(body, lambda x: x["line"]).alias("body"))
+    marked = F.transform("_titles", lambda t, i: F.when(F.coalesce(t != "", F.lit(False)), F.concat(F.repeat(F.lit("#"), i + 1), F.lit(" "), t)))
+    parts = parts.withColumns({"path": F.array_compact("_titles"), "prefix": F.array_compact(marked)})
+    parts = parts.withColumn("chars", F.aggregate(F.concat("prefix", "body"), F.lit(0), lambda n, x: n + F.length(x))).withColumn("n_lines", F.size("prefix") + F.size("body"))
+    order = Window.partitionBy("doc_id").orderBy("section")
+    before, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    everything = Window.partitionBy("doc_id")
+    parts = parts.withColumns({"_chars": F.coalesce(F.sum("chars").over(before), F.lit(0)), "_lines": F.coalesce(F.sum("n_lines").over(before), F.lit(0)), "_last": F.struct((F.max("section").over(everything) + 1).alias("section"), F.sum("chars").over(everything).alias("_chars"), F.sum("n_lines").over(everything).alias("_lines"))})
+    place = F.struct("section", "_chars", "_lines")
+    following = [F.when(F.lit(k) <= F.col("level"), F.min(F.when(F.col("level") == k, place)).over(later)) for k in range(1, 7)]
+    parts = parts.withColumn("_end", F.coalesce(F.least(*following), F.col("_last"))).withColumn("leaf", F.coalesce(F.lead("level").over(order) <= F.col("level"), F.lit(True)))
+    parts = parts.withColumns({"end": F.col("_end.section"), "whole_chars": F.col("_end._chars") - F.col("_chars"), "whole_lines": F.col("_end._lines") - F.col("_lines")})
+    above = [F.when(F.lit(k) < F.col("level"), F.max(F.when(F.col("level") == k, F.struct("section", "whole_chars", "whole_lines"))).over(before)) for k in range(1, 6)]
+    return parts.withColumn("_parent", F.greatest(*above)).select(
+        "doc_id", "section", "level", "path", "prefix", "body", "chars", "n_lines", "end", "whole_chars", "whole_lines", "leaf", F.col("_parent.section").alias("parent"), F.col("_parent.whole_chars").alias("parent_chars"), F.col("_parent.whole_lines").alias("parent_lines"),
+    )
+
+
+def header_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``doc_id, chunk_id, path, content, token_count``: documents cut at headings, no deeper than the limit asks for.
+
+    A document within the limit is one chunk. Of others, a section is a chunk with all its descendants if they fit together and
+    its parent's do not; else its own text is one and its descendants are looked at in turn. A section
+    without descendants stays whole, however long it is. Each section in a chunk comes under the full line of its headings.
+    As a section never holds more than its parent does, this needs no recursion: its own sums and its parent's decide. Blank chunks are left out; null texts give none.
+    """
+    whole = token_count(F.col("text")) <= limit
+    short = docs.where(whole).select("doc_id", F.lit(0).alias("section"), F.array().cast("array<string>").alias("path"), F.col("text").alias("content"))
+    found = header_sections(docs.where(~whole))
+    fits = lambda chars, lines, level: F.coalesce((level > 0) & (F.floor((F.col(chars) + F.greatest(F.col(lines) - 1, F.lit(0))) / 4) <= limit), F.lit(False))
+    found = found.withColumn("_fits", fits("whole_chars", "whole_lines", F.col("level"))).withColumn("_within", fits("parent_chars", "parent_lines", F.lit(1)))
+    upto = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.last(F.when(~F.col("_within") & (F.col("_fits") | F.col("leaf")), F.struct("section", "end", "path")), ignorenulls=True).over(upto)
+    found = found.withColumn("_in", taken).withColumn("_in", F.when(F.col("section") < F.col("_in.end"), F.col("_in")))
+    lines_of = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", F.concat("prefix", "body").alias("l")))), lambda x: x["l"]))
+    together = found.where("_in is not null").groupBy("doc_id", F.col("_in.section").alias("section")).agg(F.first("_in.path").alias("path"), strip(F.array_join(lines_of, "\n")).alias("content"))
+    own = strip(F.array_join("body", "\n"))
+    alone = found.where(F.col("_in").isNull() & (own != "")).select("doc_id", "section", "path", F.concat(F.array_join("prefix", "\n\n"), F.lit("\n\n"), own).alias("content"))
+    every = short.unionByName(together).unionByName(alone).where(strip(F.col("content")) != "")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1
+    return every.select("doc_id", place.alias("chunk_id"), "path", "content", token_count(F.col("content")).alias("token_count"))
+
+
 def merge_empty_headings(parts: DataFrame) -> DataFrame:
     """Rows ``doc_id, position, content``: runs of chunks that hold only a heading go in front of the next chunk; trailing ones go."""
     order = Window.partitionBy("doc_id").orderBy("position")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as t
-from docweave.operators import build, create
+from docweave.operators import build, carry, create
 from docweave.operators import chunking as c
 from docweave.operators import extraction as x
 from docweave.operators import graph as g
@@ -440,3 +440,17 @@ def table_runs(spark, sf_dir):
     """Where tables begin and end: of each five lines the first two are made table rows."""
     text = F.array_join(F.transform(F.split("text", "\n", -1), lambda line, n: F.when(n % 5 < 2, F.concat(F.lit("| "), n.cast("string"), F.lit(" |"))).otherwise(line)), "\n")
     return c.table_runs(read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).drop("content")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn % 3 < 2 AS t, role || ' | ' || turn AS r, CASE WHEN turn % 3 < 2 THEN '| ' || role || ' | ' || turn || ' |' ELSE text END AS content FROM conversations),
+f AS (SELECT *, lag(t) OVER w AS after_table, CASE WHEN t AND NOT coalesce(lag(t) OVER w, false) THEN 1 ELSE 0 END AS opens FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f),
+h AS (SELECT *, first_value(r) OVER (PARTITION BY conv_id, run ORDER BY turn) AS heads, list(r) FILTER (WHERE t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g),
+l AS (SELECT *, lag(heads) OVER (PARTITION BY conv_id ORDER BY turn) AS told, coalesce(seen[-3:], []) AS last FROM h)
+SELECT CAST(conv_id AS VARCHAR) AS sheet, turn AS n, content, 'Currently processing: ' || CASE WHEN after_table THEN 'TABLE' || chr(10) || 'Table headers: ' || told ELSE 'NON-TABLE content' END
+|| CASE WHEN len(last) > 0 THEN chr(10) || 'Last 3 rows:' || chr(10) || array_to_string(['  Row ' || i || ': ' || last[i] FOR i IN range(1, len(last) + 1)], chr(10)) ELSE '' END AS context FROM l""")
+def carried_contexts(spark, sf_dir):
+    """What each turn of a conversation is told of the turns before it, two of three turns being rows of tables."""
+    line = F.concat(F.lit("| "), "role", F.lit(" | "), F.col("turn").cast("string"), F.lit(" |"))
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sheet"), F.col("turn").alias("n"), F.when(F.col("turn") % 3 < 2, line).otherwise(F.col("text")).alias("chunk"))
+    return carry.folded(rows)

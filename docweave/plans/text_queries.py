@@ -292,3 +292,32 @@ def cell_address(spark, sf_dir):
 def summaries(spark, sf_dir):
     """Fallback summaries, and text starts in base64."""
     return docs(spark, sf_dir).select("doc_id", t.preview(F.col("text")).alias("summary"), F.base64(F.substring("text", 1, 30).cast("binary")).alias("head"))
+
+
+_MARKDOWN = "regexp_replace(regexp_replace({}, '</h[1-6]>|</p>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_HEADS = "html"
+for _k in range(1, 7):
+    _HEADS = f"regexp_replace({_HEADS}, '<h{_k}[^>]*>', chr(10) || '{'#' * _k} ', 'g')"
+_LEVELS = ", ".join(f"last_value(CASE WHEN level = {k} THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id, s{k} ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h{k}" for k in range(1, 7))
+_ABOVE = ", ".join(f"sum(CASE WHEN level < {k} AND section > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY section) AS s{k}" for k in range(1, 7))
+_PREFIX = "[" + ", ".join(f"CASE WHEN h{k} <> '' THEN '{'#' * k} ' || h{k} END" for k in range(1, 7)) + "]"
+
+
+@query(rf"""WITH p AS MATERIALIZED (SELECT page_id AS doc_id, {_MARKDOWN.format(_HEADS)} AS text FROM pages),
+l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM p WHERE length(text) // 4 > 120)),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s+') THEN length(regexp_extract(line, '^#+')) END AS level, trim(regexp_extract(line, '^#{{1,6}}\s+(.*)', 1)) AS title FROM l),
+n AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM m),
+s AS (SELECT doc_id, section, coalesce(max(level), 0) AS level, max(CASE WHEN level IS NOT NULL THEN title END) AS title, coalesce(list(line ORDER BY n) FILTER (WHERE level IS NULL), []) AS body FROM n GROUP BY ALL),
+h AS (SELECT *, {_LEVELS} FROM (SELECT *, {_ABOVE} FROM s)),
+x AS MATERIALIZED (SELECT doc_id, section, level, body, list_filter([h1, h2, h3, h4, h5, h6], lambda t: t IS NOT NULL) AS path, list_filter({_PREFIX}, lambda t: t IS NOT NULL) AS prefix FROM h),
+r AS MATERIALIZED (SELECT *, array_to_string(list_concat(prefix, body), chr(10)) AS shown, len(prefix) + len(body) AS n_lines FROM x),
+e AS MATERIALIZED (SELECT a.*, (SELECT coalesce(min(b.section), 1000000) FROM r b WHERE b.doc_id = a.doc_id AND b.section > a.section AND b.level <= a.level) AS until, (SELECT max(b.section) FROM r b WHERE b.doc_id = a.doc_id AND b.section < a.section AND b.level < a.level) AS parent FROM r a),
+t AS MATERIALIZED (SELECT a.doc_id, a.section, string_agg(CASE WHEN b.n_lines > 0 THEN b.shown END, chr(10) ORDER BY b.section) AS text, count(*) = 1 AS leaf FROM e a JOIN r b ON b.doc_id = a.doc_id AND b.section >= a.section AND b.section < a.until GROUP BY ALL),
+f AS MATERIALIZED (SELECT e.*, t.text, t.leaf, e.level > 0 AND length(t.text) // 4 <= 120 AS fits, coalesce(e.parent > 0 AND length(u.text) // 4 <= 120, false) AS within FROM e JOIN t USING (doc_id, section) LEFT JOIN t u ON u.doc_id = e.doc_id AND u.section = e.parent),
+o AS (SELECT doc_id, section, path, CASE WHEN fits OR leaf THEN {_STRIP.format('text')} WHEN {_STRIP.format('array_to_string(body, chr(10))')} <> '' THEN array_to_string(prefix, chr(10) || chr(10)) || chr(10) || chr(10) || {_STRIP.format('array_to_string(body, chr(10))')} END AS content FROM f WHERE NOT within
+  UNION ALL SELECT doc_id, 0, CAST([] AS VARCHAR[]), text FROM p WHERE length(text) // 4 <= 120)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INT) AS chunk_id, array_to_string(path, ' > ') AS path, content, CAST(length(content) // 4 AS INT) AS token_count FROM o WHERE {_STRIP.format('content')} <> ''""")
+def header_chunks(spark, sf_dir):
+    """All pages as Markdown, cut at headings as deep as the limit asks for, each section under its headings."""
+    found = c.header_chunks(_markdown(spark, sf_dir), 120)
+    return found.select("doc_id", "chunk_id", F.array_join("path", " > ").alias("path"), "content", "token_count")
