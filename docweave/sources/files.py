@@ -86,25 +86,30 @@ def _scan(spark: SparkSession, path: str, parse, schema: str, names: list[str],
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
+DOCX = "path string, position int, kind string, text string, error string"
+XLSX = "path string, sheet string, row_no int, cells array<string>, error string"
+
+
+def parse_docx(archive: zipfile.ZipFile) -> Iterator[tuple[int, str, str]]:
+    """``position, kind, text`` of the blocks of a Word file."""
+    body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+    plain = lambda e: "".join(x.text or "" for x in e.iter(f"{_W}t")).strip()
+    position = 0
+    for block in body:
+        if block.tag == f"{_W}p":
+            text, kind = plain(block), "paragraph"
+        elif block.tag == f"{_W}tbl":
+            text, kind = "\n".join(" | ".join(plain(c) for c in row.iter(f"{_W}tc")) for row in block.iter(f"{_W}tr")), "table"
+        else:
+            continue
+        if text:
+            yield position, kind, text
+            position += 1
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """``path, position, kind, text, error`` of the blocks of Word files, in order: paragraphs and tables with text."""
-
-    def parse(archive: zipfile.ZipFile):
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-        plain = lambda e: "".join(x.text or "" for x in e.iter(f"{_W}t")).strip()
-        position = 0
-        for block in body:
-            if block.tag == f"{_W}p":
-                text, kind = plain(block), "paragraph"
-            elif block.tag == f"{_W}tbl":
-                text, kind = "\n".join(" | ".join(plain(c) for c in row.iter(f"{_W}tc")) for row in block.iter(f"{_W}tr")), "table"
-            else:
-                continue
-            if text:
-                yield position, kind, text
-                position += 1
-
-    return _scan(spark, path, parse, "path string, position int, kind string, text string, error string", ["path", "position", "kind", "text", "error"], [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()])
+    return _scan(spark, path, parse_docx, DOCX, ["path", "position", "kind", "text", "error"], [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()])
 
 
 def docx_texts(blocks: DataFrame) -> DataFrame:
@@ -113,27 +118,28 @@ def docx_texts(blocks: DataFrame) -> DataFrame:
     return blocks.where("error is null").groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sheet, row_no, cells, error`` of every row of every sheet; cells are text."""
+def parse_xlsx(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, list[str]]]:
+    """``sheet, row_no, cells`` of the rows of a spreadsheet file."""
+    shared = []
+    if "xl/sharedStrings.xml" in archive.namelist():
+        shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
+    targets = _relations(archive, "xl/_rels/workbook.xml.rels")
+    for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+        root = ElementTree.fromstring(archive.read("xl/" + targets[sheet.get(f"{_R}id")].removeprefix("/xl/")))
+        for n, row in enumerate(root.iter(f"{_S}row")):
+            cells: list[str] = []
+            for c in row.iter(f"{_S}c"):
+                at = _column(c.get("r")) if c.get("r") else len(cells)
+                cells += [""] * (at - len(cells))
+                value = c.find(f"{_S}v")
+                text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
+                cells.append(shared[int(text)] if c.get("t") == "s" and text else text)
+            yield sheet.get("name"), n, cells
 
-    def parse(archive: zipfile.ZipFile):
-        shared = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
-        targets = _relations(archive, "xl/_rels/workbook.xml.rels")
-        for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-            root = ElementTree.fromstring(archive.read("xl/" + targets[sheet.get(f"{_R}id")].removeprefix("/xl/")))
-            for n, row in enumerate(root.iter(f"{_S}row")):
-                cells: list[str] = []
-                for c in row.iter(f"{_S}c"):
-                    at = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [""] * (at - len(cells))
-                    value = c.find(f"{_S}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-                    cells.append(shared[int(text)] if c.get("t") == "s" and text else text)
-                yield sheet.get("name"), n, cells
 
-    return _scan(spark, path, parse, "path string, sheet string, row_no int, cells array<string>, error string", ["path", "sheet", "row_no", "cells", "error"], [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()])
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sheet, row_no, cells, error`` of every row of every sheet; cells are text."""
+    return _scan(spark, path, parse_xlsx, XLSX, ["path", "sheet", "row_no", "cells", "error"], [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()])
 
 
 def sheet_markdown(rows: DataFrame) -> DataFrame:
@@ -208,8 +214,33 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "appe
     edges.write.mode(mode).partitionBy("type").parquet(f"{path}/edges")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def write_graph_batch(nodes: DataFrame, edges: DataFrame, path: str, batch: int) -> None:
+    """One numbered batch of a graph, whole or not at all.
+
+    Nodes, edges and then a marker go into folders of the batch's number. Readers look at
+    batches with a marker only, and a batch that is written again takes the place of what a failure
+    left of it; one that has its marker stays as it is.
+    """
+    spark = nodes.sparkSession
+    if _exists(spark, f"{path}/commits/batch={batch}/_SUCCESS"):
+        return
+    nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes/batch={batch}")
+    edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges/batch={batch}")
+    spark.range(1).select(F.current_timestamp().alias("committed")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={batch}")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    """Nodes and edges; of a graph that was written in batches those of whole batches."""
+    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    if not _exists(spark, f"{path}/commits"):
+        return nodes, edges
+    whole = spark.read.parquet(f"{path}/commits").select("batch")
+    return nodes.join(whole, "batch", "left_semi").drop("batch"), edges.join(whole, "batch", "left_semi").drop("batch")
 
 
 def write_json(df: DataFrame, path: str) -> None:

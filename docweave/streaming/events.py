@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.chunking import chunks
-from docweave.sources.files import write_graph
+from docweave.operators.extraction import graph_of
+from docweave.operators.store import temporary_tables
+from docweave.sources.files import write_graph_batch
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
@@ -34,20 +36,26 @@ def first_arrivals(events: DataFrame, keys: list[str], late: str = "1 hour") ->
     return timed.dropDuplicatesWithinWatermark(keys) if events.isStreaming else timed.dropDuplicates(keys)
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, limit: int = 650) -> StreamingQuery:
-    """New Parquet files of documents as Document and Chunk nodes with CONTAINS edges, appended to a graph.
+def ingest(spark: SparkSession, source: str, schema: str, target: str, limit: int = 650, entities: bool = False) -> StreamingQuery:
+    """New Parquet files of documents as Document and Chunk nodes with CONTAINS edges, added to a graph; with ``entities``, as all that ``graph_of`` finds in their chunks.
 
-    Takes what is there and ends; a checkpoint beside the graph remembers which files were taken.
+    Takes what is there and ends; a checkpoint beside the graph remembers which files were taken. Each batch of
+    files is one numbered batch of the graph, so a run that fails and starts again adds nothing twice.
     """
     arriving = spark.readStream.schema(schema).parquet(source)
 
-    def append(docs: DataFrame, _: int) -> None:
-        parts = chunks(docs.select("doc_id", "text"), limit)
+    def plain(docs: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         key = F.concat(F.lit("document_"), F.col("doc_id").cast("string"))
         chunk = F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("chunk_id").cast("string"))
         nothing = F.lit(None).cast("string")
         nodes = docs.select(key.alias("id"), F.lit("Document").alias("label"), F.col("source").alias("name"), nothing.alias("text"))
         nodes = nodes.unionByName(parts.select(chunk.alias("id"), F.lit("Chunk").alias("label"), nothing.alias("name"), F.col("content").alias("text")))
-        write_graph(nodes, parts.select(key.alias("src"), chunk.alias("dst"), F.lit("CONTAINS").alias("type")), target)
+        return nodes, parts.select(key.alias("src"), chunk.alias("dst"), F.lit("CONTAINS").alias("type"))
 
-    return arriving.writeStream.foreachBatch(append).option("checkpointLocation", f"{target}/_arrivals").trigger(availableNow=True).start()
+    def add(docs: DataFrame, batch: int) -> None:
+        with temporary_tables():
+            parts = chunks(docs.select("doc_id", "text"), limit)
+            found = graph_of(parts.select(F.col("doc_id").cast("string").alias("document"), "chunk_id", "content")) if entities else plain(docs, parts)
+            write_graph_batch(*found, target, batch)
+
+    return arriving.writeStream.foreachBatch(add).option("checkpointLocation", f"{target}/_arrivals").trigger(availableNow=True).start()
