@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import Scratch, documents, word_count
+from docweave.llm.common import WORD, Scratch, documents, word_count
 
 #: Words that a bin holds.
 CAPACITY = 2048
+_BLANKS = r"[\x20\x09-\x0D]*"
 #: Documents that are packed together.
 SHARD_ROWS = 4096
 _SCHEMA = "doc_id long, source string, cluster long, piece int, n_pieces int, start_word long, words long, shard long, bin int, bin_offset long, bin_words long"
@@ -90,7 +91,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: str | Non
     with equal texts form a cluster.
 
     A null source is a source of its own; null clusters conflict with nothing.
-    Null and empty texts take no room, yet get a bin. Repeated rows are placed
+    Very long texts are counted in words only and split into as many pieces as they need; of bins with
+    equally little room the one opened first is taken. Null and empty texts take no room, yet get a bin. Repeated rows are placed
     one by one. Further columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "packing")
@@ -107,6 +109,21 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: str | Non
     return dealt.groupBy("shard").applyInArrow(_pack(capacity), _SCHEMA)
 
 
+def with_texts(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``pack_documents(docs)`` with ``text``, what of its document's text a piece holds.
+
+    A piece goes from its first word to the next piece's, blanks included, and the first one from the start of
+    the text, so the pieces of a document joined are its text. Rows that repeat doc_id and text are
+    the same here. Texts meet their pieces by doc_id and hash. ``docs`` were packed without a ``cluster`` column.
+    """
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), "text").groupBy("_id", "_key").agg(F.first("text").alias("_text"))
+    met = packed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("cluster") == F.col("_key")), "left")
+    words = F.regexp_extract_all("_text", F.lit(f"{WORD}{_BLANKS}"), F.lit(0))
+    lead = F.when(F.col("piece") == 0, F.regexp_extract("_text", f"^{_BLANKS}", 0)).otherwise("")
+    part = F.concat(lead, F.array_join(F.slice(words, (F.col("start_word") + 1).cast("int"), F.col("words").cast("int")), ""))
+    return met.withColumn("text", F.when(F.col("n_pieces") == 1, F.col("_text")).otherwise(part)).drop("_id", "_key", "_text")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in bins of 2048 words."""
     return pack_documents(documents(spark, sf_dir))

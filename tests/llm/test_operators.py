@@ -185,6 +185,20 @@ def test_packing_is_lossless_and_free_of_conflicts(docs, none):
     assert best_fit.pack_documents(none).count() == 0
 
 
+def test_packed_texts_are_whole(docs, none):
+    packed = best_fit.with_texts(best_fit.pack_documents(docs, capacity=50, shard_rows=20), docs)
+    got = packed.toPandas()
+    texts = collections.Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    whole = collections.Counter()
+    for (_, _), rows in got.assign(k=got.doc_id.fillna(-1)).groupby(["k", got.cluster.fillna(0)]):
+        copies = len(rows) // rows.n_pieces.iloc[0]
+        one = "".join(t or "" for _, t in sorted({(r.piece, r.text) for r in rows.itertuples()}, key=lambda x: x[0]))
+        whole[None if rows.k.iloc[0] == -1 else int(rows.k.iloc[0]), one] += copies
+    assert whole == texts
+    assert all(len(words(r.text)) == r.words for r in got.itertuples())
+    assert best_fit.with_texts(best_fit.pack_documents(none), none).count() == 0
+
+
 def test_segment_tree_finds_the_least_free_space():
     rng = np.random.default_rng(2)
     tree, held = token_packing.FreeSpace(50), []

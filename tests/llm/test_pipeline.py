@@ -100,6 +100,11 @@ def test_mixing(stages):
 def test_packing(stages):
     bins, docs = stages["best_fit_packing"], stages["mixing"]
     assert bins.words.sum() == sum(len(words(t)) for t in docs.text)
+    # The corpus can be rebuilt from the result: as many rows of each document, with its whole text.
+    rebuilt = collections.Counter()
+    for doc_id, rows in bins.groupby("doc_id"):
+        rebuilt[doc_id, "".join(t for _, t in sorted({(r.piece, r.text) for r in rows.itertuples()}))] += len(rows) // rows.n_pieces.iloc[0]
+    assert rebuilt == collections.Counter((r.doc_id, r.text) for r in docs.itertuples())
     for _, members in bins.groupby(["shard", "bin"]):
         assert members.words.sum() <= 2048 and not members.source.duplicated().any() and not members.doc_id.duplicated().any()
 
