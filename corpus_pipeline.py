@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.best_fit import pack_documents
+from docweave.llm.best_fit import pack_documents, with_texts
 from docweave.llm.common import Scratch, documents
 from docweave.llm.line_dedup import dedup_lines
 from docweave.llm.minhash import without_near_duplicates
@@ -28,13 +28,21 @@ def _held(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps, as they are.
+
+    Rows are judged one by one, by text and language, so null and repeated doc_ids do not matter and repeated rows
+    stay or go together; null and empty texts go. Very long texts are scored whole.
+    """
     judged = classify(_held(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later occurrences of repeated three-line windows; those with nothing left go."""
+    """Texts without the later occurrences of repeated three-line windows; those with nothing left go.
+
+    Null texts and those of fewer than three lines stay as they are. Rows that repeat doc_id and text lose the
+    same lines; a null doc_id is an id that comes last.
+    """
     cleaned = dedup_lines(_held(docs)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     fresh = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))}
     return cleaned.select(*[fresh.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
@@ -51,14 +59,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes copies."""
+    """As many rows of each document as the mix takes copies, three at most.
+
+    Null and empty texts have no words and are taken or left by chance; a null source is a source of its own. Repeated
+    rows, and rows of one doc_id, are drawn one by one.
+    """
     mixed = mix_sources(_held(docs)).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins that hold the documents."""
-    return pack_documents(docs)
+    """The bins that hold the documents, with the text of each piece, so the corpus is in the result.
+
+    The pieces of a document joined in order are its text. Null texts stay null and, as empty ones, take no room;
+    very long ones are split. Repeated rows are placed one by one, each in another bin.
+    """
+    return with_texts(pack_documents(docs), docs)
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("near_dedup", near_dedup), ("mixing", mixing), ("best_fit_packing", packing)]
@@ -67,13 +83,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; a stage's own tables and its input go when its rows are written."""
+    """All stages over the documents; a stage's own tables and its input go when its rows are written, all of them if one fails."""
     scratch = Scratch(spark, "pipeline")
     docs, before = documents(spark, sf_dir), None
-    for name, stage in STAGES:
-        with temporary_tables():
-            docs = scratch.save(stage(spark, docs, sf_dir), name)
-        if before:
-            scratch.drop(before)
-        before = name
+    try:
+        for name, stage in STAGES:
+            with temporary_tables():
+                docs = scratch.save(stage(spark, docs, sf_dir), name)
+            if before:
+                scratch.drop(before)
+            before = name
+    except BaseException:
+        scratch.clean()
+        raise
     return docs
