@@ -105,6 +105,17 @@ class Walks:
         return np.clip((agree - CHANCE) / (1 - CHANCE), 0.0, 1.0)
 
 
+    def likeness_of_pairs(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        """``likeness`` of two different rows of symbols, for many pairs at once."""
+        sizes = np.maximum([len(x) for x in left], [len(x) for x in right])
+        a, b = (np.full((len(rows), int(sizes.max(initial=0))), fill, np.uint8) for rows, fill in ((left, 255), (right, 254)))
+        for matrix, rows in ((a, left), (b, right)):
+            for k, symbols in enumerate(rows):
+                matrix[k, : len(symbols)] = symbols
+        agree = (a == b) @ self.weights[: a.shape[1]] / np.maximum(self.total[sizes], 1e-300)
+        return np.clip((agree - CHANCE) / (1 - CHANCE), 0.0, 1.0)
+
+
 def band_plan(n: int) -> tuple[int, int]:
     """How many places a band samples and how many bands there are, for ``n`` fingerprints."""
     size = max(4, math.ceil(math.log(max(n, 2)) / math.log(1 / CHANCE)) + 1)
@@ -160,10 +171,11 @@ def unpack(raw: bytes) -> tuple[int, np.ndarray]:
     return int.from_bytes(raw[:8], "little"), np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[: int.from_bytes(raw[8:10], "little")]
 
 
-def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *kept: str, heads: bool = False) -> DataFrame:
     """``node, print`` and the columns ``kept`` of every row of ``docs(text, ...)``.
 
-    ``print`` is the packed fingerprint and ``node`` a hash of it. Null texts count as
+    ``print`` is the packed fingerprint and ``node`` a hash of it; with ``heads``, ``head`` is the
+    state of the walk before the last third of the characters, from which edited texts go on. Null texts count as
     empty; equal texts have equal fingerprints.
     """
     bound_batches(docs.sparkSession)
@@ -171,13 +183,21 @@ def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
+        empty = (0, np.zeros(0, np.uint8))
         for batch in batches:
-            prints = [pack(walks.of(t or "")) for t in batch.column("text").to_pylist()]
+            prints, before = [], []
+            for text in batch.column("text").to_pylist():
+                points = code_points(text or "")
+                cut = len(points) - len(points) // 3
+                head = walks.extend(empty, points[:cut])
+                before.append(pack(head) if heads else None)
+                prints.append(pack(walks.extend(head, points[cut:])))
             nodes = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in prints]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=[*kept, "node", "print"])
+            columns = {c: batch.column(c) for c in kept} | {"node": pa.array(nodes, pa.int64()), "print": pa.array(prints, pa.binary())} | ({"head": pa.array(before, pa.binary())} if heads else {})
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kinds = "".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}, " for c in kept)
-    return chosen.mapInArrow(run, f"{kinds}node long, print binary")
+    return chosen.mapInArrow(run, f"{kinds}node long, print binary{', head binary' if heads else ''}")
 
 
 def near_copies(prints: DataFrame, least: float = LEAST) -> DataFrame:
@@ -209,8 +229,9 @@ def near_copies(prints: DataFrame, least: float = LEAST) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
         for batch in batches:
-            keep = [walks.likeness(unpack(x), unpack(y)) >= least for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield batch.select(["node", "leader"]).filter(pa.array(keep, pa.bool_()))
+            known: dict[bytes, np.ndarray] = {}  # a leader stands in many pairs
+            a, b = ([known[x] if x in known else known.setdefault(x, unpack(x)[1]) for x in batch.column(c).to_pylist()] for c in "ab")
+            yield batch.select(["node", "leader"]).filter(pa.array(walks.likeness_of_pairs(a, b) >= least, pa.bool_()))
 
     pairs = groups.where("node <> leader")
     left, right = nodes.select("node", F.col("print").alias("a")), nodes.select(F.col("node").alias("leader"), F.col("print").alias("b"))
@@ -327,32 +348,37 @@ def edited_fingerprints(docs: DataFrame, least: float | None = LEAST) -> DataFra
     sent = ranged.join(F.broadcast(ends), ["place", "tie"], "left")
     own, extra = F.struct(F.col("part").alias("part"), F.lit(1).alias("own")), F.struct(F.col("goes").alias("part"), F.lit(0).alias("own"))
     sent = sent.withColumn("to", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, extra))))
-    columns = ["part", "own", "place", "tie", "kind", "doc_id", "text", "class_id"]
-    sent = sent.select("to.part", "to.own", "place", "tie", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("long").alias("class_id")).select(*columns)
+    absent = {"doc_id": "long", "text": "string", "class_id": "long", "print": "binary", "head": "binary"}
+    columns = ["part", "own", "place", "tie", "kind", *absent]
+    row = lambda kind, *given: [F.lit(kind).alias("kind"), *[F.col(c) if c in given else F.lit(None).cast(absent[c]).alias(c) for c in absent]]
+    sent = sent.select("to.part", "to.own", "place", "tie", *row(1, "doc_id", "text")).select(*columns)
     if least is not None:
-        # Classes travel to their rows' ranges, each just ahead of its row.
-        prints = scratch.save(fingerprints(rows, "place", "tie"), "prints")
-        classes = prints.select("place", "tie", "node").join(near_copies(prints, least), "node").select("place", "tie", "class_id").distinct()
-        heads = add_part(classes).select("part", F.lit(1).alias("own"), "place", "tie", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "class_id")
-        sent = sent.unionByName(heads)
+        # Classes and fingerprints travel to their rows' ranges, each just ahead of its row, so each text is walked once.
+        prints = scratch.save(fingerprints(rows, "place", "tie", heads=True), "prints")
+        classes = prints.join(near_copies(prints, least), "node").dropDuplicates(["place", "tie"])
+        sent = sent.unionByName(add_part(classes).withColumn("own", F.lit(1)).select("part", "own", "place", "tie", *row(0, "class_id", "print", "head")))
     sent = sent.repartition(n, "part").sortWithinPartitions("part", "own", "place", "tie", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
-        part, after, after_state, class_id = None, "", (0, np.zeros(0, np.uint8)), None
+        part, after, after_state, known = None, "", (0, np.zeros(0, np.uint8)), None
         empty = (0, np.zeros(0, np.uint8))
+        fields = ("part", "own", "place", "tie", "kind", "doc_id", "text", "class_id", "print", "head")
         for batch in batches:
             out = []
-            for to, own, kind, doc_id, text, given in zip(*(batch.column(c).to_pylist() for c in ("part", "own", "kind", "doc_id", "text", "class_id")), strict=True):
+            for to, own, place, tie, kind, doc_id, text, class_id, whole, before in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
                 if not kind:
-                    class_id = given
+                    known = (place, tie), class_id, unpack(whole), unpack(before)
                     continue
-                points = code_points(text)
                 if to != part:
                     part, after, after_state = to, text, None
                 cut = len(text) // 3
-                head = walks.extend(empty, points[: len(text) - cut])
-                state = walks.extend(head, points[len(text) - cut :])
+                if known and known[0] == (place, tie) and own:
+                    _, class_id, state, head = known
+                else:
+                    points = code_points(text)
+                    head = walks.extend(empty, points[: len(text) - cut])
+                    state = walks.extend(head, points[len(text) - cut :])
                 if own:
                     if after_state is None:
                         after_state = walks.of(after)
