@@ -26,7 +26,7 @@ WITH l AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INT) AS place, unnest(x)
 w AS (SELECT doc_id, place, trim(line) || chr(10) || lead(trim(line)) OVER o || chr(10) || lead(trim(line), 2) OVER o AS passage FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
 r AS (SELECT *, row_number() OVER p AS nth, count(*) OVER (PARTITION BY passage) AS n FROM w WHERE passage IS NOT NULL AND length(replace(passage, chr(10), '')) > 0 WINDOW p AS (PARTITION BY passage ORDER BY doc_id, place)),
 c AS (SELECT doc_id, nth > 1 AS later, unnest([place, place + 1, place + 2]) AS place FROM r WHERE n > 1),
-g AS (SELECT doc_id, place FROM c GROUP BY ALL HAVING bool_and(later))
+g AS (SELECT doc_id, place FROM c GROUP BY ALL HAVING bool_or(later))
 SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.place) AS INT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text
 FROM l LEFT JOIN g USING (doc_id, place) GROUP BY doc_id""",
     "op9_exact_topk": """

@@ -235,13 +235,11 @@ def brute_lines(rows):
             passage = tuple(x.strip(" ") for x in lines[k : k + 3])
             if any(passage):
                 seen[passage].append((key, k))
-    later, first = collections.defaultdict(set), collections.defaultdict(set)
+    later = collections.defaultdict(set)
     for places in seen.values():
-        if len(places) > 1:
-            for key, k in places[1:]:
-                later[key] |= {k, k + 1, k + 2}
-            first[places[0][0]] |= {places[0][1] + d for d in range(3)}
-    return {key: None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in later[key] - first[key]) for key, text in rows}
+        for key, k in places[1:]:
+            later[key] |= {k, k + 1, k + 2}
+    return {key: None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in later[key]) for key, text in rows}
 
 
 def test_line_dedup(spark, none):
@@ -252,6 +250,10 @@ def test_line_dedup(spark, none):
     assert {k: r["text"] for k, r in got.items()} == expected
     assert got[1]["text"] == "c\nd" and got[3]["text"] == texts[3] and got[0]["n_removed"] == 0
     assert line_dedup.dedup_lines(none).count() == 0
+    # A passage goes from the first of two copies, too, if an earlier text has it.
+    texts = ["p\nq\nr", "a\nb\nc\np\nq\nr\nd\ne\nf", "a\nb\nc\np\nq\nr\nd\ne\nf"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert got == {0: texts[0], 1: "a\nb\nc\nd\ne\nf", 2: ""}
 
 
 def test_line_dedup_repeated_rows_share_a_fate(spark):
