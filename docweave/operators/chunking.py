@@ -355,6 +355,20 @@ def best_splits(docs: DataFrame, limit: int = LIMIT, share: float = 0.75) -> Dat
     return best.select("doc_id", (-F.col("b._p")).alias("position"), F.col("b.score").alias("score"))
 
 
+def _best_places(docs: DataFrame, limit: int, shares: tuple[float, ...]) -> DataFrame:
+    """``doc_id, at_0, at_1 ..``: what ``best_splits`` finds for several shares, with the points found once."""
+    long = docs.where(token_count(F.col("text")) > limit)
+    targets = long.select("doc_id", *[F.floor(F.length("text") * int(limit * share) / token_count(F.col("text"))).alias(f"t{k}") for k, share in enumerate(shares)])
+    near = split_points(long).join(targets, "doc_id")
+
+    def best(k: int) -> Column:
+        target = F.col(f"t{k}")
+        score = F.when(F.col("position").between(target * 0.3, target * 1.5), F.col("priority") * (1 - F.abs(F.col("position") - target) / target))
+        return (-F.max(F.when(score > -1, F.struct(score.alias("s"), (-F.col("position")).alias("p"))))["p"]).alias(f"at_{k}")
+
+    return near.groupBy("doc_id").agg(*[best(k) for k in range(len(shares))])
+
+
 def split_long(docs: DataFrame, limit: int = LIMIT, rounds: int = 20) -> DataFrame:
     """``doc_id, part, content`` of texts split again and again where that is best, until the rest is within the limit.
 
@@ -375,8 +389,7 @@ def split_long(docs: DataFrame, limit: int = LIMIT, rounds: int = 20) -> DataFra
         return F.when((back > 0) & (at - back > 0), at - back + 1).otherwise(at).cast("long")
 
     for part in range(rounds):
-        first, second = (best_splits(rest, limit, share).select("doc_id", F.col("position").alias(f"at_{k}")) for k, share in enumerate((0.75, 0.6)))
-        cut = rest.join(first, "doc_id", "left").join(second, "doc_id", "left")
+        cut = rest.join(_best_places(rest, limit, (0.75, 0.6)), "doc_id", "left")
         size = token_count(F.col("text"))
         place = lambda k, share: F.coalesce(F.when(F.col(f"at_{k}") > 0, F.col(f"at_{k}")), F.greatest(at_line(F.floor(F.length("text") * int(limit * share) / size)), F.lit(1)))
         cut = cut.withColumn("_long", size > limit).withColumn("_a", F.when(F.col("_long"), place(0, 0.75))).withColumn("_b", F.when(F.col("_long"), place(1, 0.6)))

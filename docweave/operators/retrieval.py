@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import iso_stamp, token_count, words
 from docweave.operators.graph import both_ways, first_of, merge, reachable
 from docweave.operators.models import extractive_answer
-from docweave.operators.vectors import SEMANTIC, batch_topk, vector
+from docweave.operators.store import Store
+from docweave.operators.vectors import SEMANTIC, batch_topk, hybrid_topk, scoped, semantic_topk, vector
 
+#: Hits that are ranked for each chunk that is looked for, at first.
+DEPTH = 4
 #: What a hit's score is multiplied with when its parent chunk or a related chunk takes its place.
 CHILD, RELATED = 0.9, 0.8
 #: Labels whose hits are replaced by their chunk.
@@ -98,12 +104,15 @@ def lift_scored(hits: DataFrame, parents: DataFrame, related: DataFrame, k: int
 def chunks_of(edges: DataFrame, nodes: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     """``target, chunk, hops`` of all chunks within so many undirected hops of ``targets(id)``.
 
-    The search starts at the chunks, as there are never more of them than of
-    descriptions or entities, and only targets of it are kept.
+    Walks in both directions find the same pairs, so the search starts at the side with fewer nodes: at
+    the targets, or at the chunks.
     """
-    seeds = nodes.where("label = 'Chunk'").select(F.col("id").alias("seed"))
-    found = reachable(edges, seeds, hops).select(F.col("node").alias("id"), F.col("seed").alias("chunk"), "hops")
-    return found.join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("target"), "chunk", "hops")
+    chunks, targets = nodes.where("label = 'Chunk'").select("id"), targets.select("id").distinct()
+    if targets.count() <= chunks.count():
+        found = reachable(edges, targets.select(F.col("id").alias("seed")), hops)
+        return found.join(chunks.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("seed").alias("target"), F.col("node").alias("chunk"), "hops")
+    found = reachable(edges, chunks.select(F.col("id").alias("seed")), hops)
+    return found.join(targets.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("target"), F.col("seed").alias("chunk"), "hops")
 
 
 def context_of_document(nodes: DataFrame, edges: DataFrame, document: str, budget: int = 900_000, hops: int = 10) -> DataFrame:
@@ -136,18 +145,24 @@ def profile_hits(nodes: DataFrame, edges: DataFrame, document: str, queries: Dat
     All vectors within ``hops`` of the document are ranked for each question of
     ``queries(question, embedding)``; a Description leads to the chunks within
     ``chunk_hops`` of it. Reach is computed once for all questions, and questions
-    meet vectors block by block.
+    meet vectors block by block. Vectors are ranked no deeper than it takes to find ``k`` chunks for every
+    question: first ``DEPTH`` times ``k``, then ``DEPTH`` times as deep, and so on.
     """
-    spark = nodes.sparkSession
+    spark, store = nodes.sparkSession, Store(nodes.sparkSession, "profile")
     start = spark.createDataFrame([(document,)], nodes.select(F.col("id").alias("seed")).schema)
     found = reachable(edges, start, hops).select(F.col("node").alias("id")).distinct()
     near = nodes.where("label in ('Chunk', 'Description')").join(found, "id").select("id", "label", vector("embedding", "embeddings").alias("embedding")).where("embedding is not null")
-    scored = batch_topk(near, queries.select("question", "embedding"), near.count() or 1).select("question", F.col("id").alias("hit"), F.col("similarity").alias("score"))
-    scored = scored.join(near.select(F.col("id").alias("hit"), "label"), "hit")
-    of_text = chunks_of(edges, nodes, near.where("label = 'Description'").select("id"), chunk_hops).select(F.col("target").alias("hit"), "chunk")
-    direct = scored.where("label = 'Chunk'").select("question", "hit", "score", F.col("hit").alias("chunk"))
-    reached = direct.unionByName(scored.where("label = 'Description'").join(of_text, "hit").select("question", "hit", "score", "chunk"))
-    return consume_until(reached, k, [F.desc("score")])
+    near = store.save(near, "near")
+    of_text = store.save(chunks_of(edges, nodes, near.where("label = 'Description'").select("id"), chunk_hops).select(F.col("target").alias("hit"), "chunk"), "of_text")
+    labels, total, depth = near.select(F.col("id").alias("hit"), "label"), near.count(), DEPTH * k
+    while True:
+        scored = batch_topk(near, queries.select("question", "embedding"), min(depth, max(total, 1))).select("question", F.col("id").alias("hit"), F.col("similarity").alias("score")).join(labels, "hit")
+        direct = scored.where("label = 'Chunk'").select("question", "hit", "score", F.col("hit").alias("chunk"))
+        reached = store.save(direct.unionByName(scored.where("label = 'Description'").join(of_text, "hit").select("question", "hit", "score", "chunk")), f"reached{depth}")
+        enough = reached.groupBy("question").agg(F.count_distinct("chunk").alias("n")).where(F.col("n") >= k).select("question")
+        if depth >= total or queries.select("question").join(enough, "question", "left_anti").isEmpty():
+            return consume_until(reached, k, [F.desc("score")])
+        depth *= DEPTH
 
 
 def profile_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -227,6 +242,39 @@ def ask_all(questions: DataFrame, nodes: DataFrame, field: str, make, k: int = 1
     return rows.select("question_index", "question", "context", found["answer"].alias("answer"), found["answerable"].alias("answerable"), found["related_context"].alias("related_context"), F.lit(field).alias("embedding_field_used"))
 
 
+def search(nodes: DataFrame, query: list[float], keywords: list[str] | None = None, k: int = 10, least: float = 0.1, hybrid: bool = True) -> DataFrame:
+    """``id, label, text, score, method`` of the best ``k`` nodes: by the hybrid score or, where that fails, by the cosine alone.
+
+    The result is written at once, so that a failure shows here; a failure of the plain search is raised.
+    """
+    if not query:
+        raise ValueError("a search needs the question's vector")
+    store = Store(nodes.sparkSession, "search")
+    columns = lambda df, score, method: df.select("id", "label", "text", F.col(score).alias("score"), F.lit(method).alias("method"))
+    if hybrid:
+        try:
+            return store.save(columns(hybrid_topk(nodes, query, keywords, k, least), "combined_score", "hybrid"), "hybrid")
+        except PySparkException as error:
+            logging.getLogger(__name__).warning("plain search in place of the hybrid one: %s", error)
+    return store.save(columns(semantic_topk(nodes, query, k, least), "similarity", "semantic"), "plain")
+
+
+def ask_question(question: str, query: list[float], nodes: DataFrame, edges: DataFrame | None = None, document: str | None = None, keywords: list[str] | None = None, k: int = 10, hybrid: bool = True, least: float = 0.1) -> DataFrame:
+    """One row ``question, context, answer, answerable, related_context, document_scope, method``: the answer from the whole graph or from what ``document`` contains.
+
+    ``query`` is the question's vector. The best nodes, in the order of their scores, give the context. Without
+    any, the context is empty and the question cannot be answered.
+    """
+    chosen = nodes if document is None else scoped(nodes, edges, document)
+    found = search(chosen, query, keywords, k, least, hybrid)
+    hits = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumns({"question": F.lit(question), "text": F.coalesce("text", F.lit(""))})
+    asked = nodes.sparkSession.createDataFrame([(question,)], "question string")
+    rows = asked.join(search_context(hits, "question", "rank", "text"), "question", "left").join(found.agg(F.first("method").alias("method")))
+    rows = rows.withColumn("context", F.coalesce("context", F.lit("")))
+    reply = extractive_answer(F.col("question"), F.col("context"))
+    return rows.select("question", "context", *[reply[c].alias(c) for c in ("answer", "answerable", "related_context")], F.lit(document or "global_graph").alias("document_scope"), "method")
+
+
 def answer_metadata(answers: DataFrame, model: str, language: str, field: str, scope: str = "global_graph", stamp: Column | None = None) -> DataFrame:
     """The one row of metadata that goes with a file of answers."""
     counted = answer_summary(answers if "error" in answers.columns else answers.withColumn("error", F.lit(None).cast("string")))

@@ -92,10 +92,10 @@ def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float =
     asked = questions.select("question", vector("embedding").alias("v")).where("v is not null")
     rows = vectors.select(F.col(key).alias("k"), vector("embedding").alias("v"), (F.col(bonus).cast("double") if bonus else F.lit(0.0)).alias("b")).where("v is not null")
     sets, blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((asked, QUESTION_BLOCK), (rows, VECTOR_BLOCK)))
-    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    deal = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = asked.withColumn("part", deal(sets)).withColumn("block", every(blocks))
-    rows = rows.withColumn("block", deal(blocks)).withColumn("part", every(sets))
+    asked = asked.withColumn("part", deal(sets, "question", "v")).withColumn("block", every(blocks))
+    rows = rows.withColumn("block", deal(blocks, "k", "v")).withColumn("part", every(sets))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         (q_sizes, q_flat, q_starts), (sizes, flat, starts) = map(_flat, (left, right))

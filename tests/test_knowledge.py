@@ -194,3 +194,47 @@ def test_ask_all_stops_without_vectors(spark):
     assert retrieval.ask_all(questions, nodes, "en", lambda q: F.lit(None).cast("array<double>")).count() == 0
     got = retrieval.ask_all(questions, nodes, "en", lambda q: F.array(F.lit(1.0), F.lit(0.0)), least=-1.0).first()
     assert got["context"] == "=== CONTEXT INFORMATION ===\nContent: It is that." and got["embedding_field_used"] == "en"
+
+
+def test_one_question_and_its_scope(spark):
+    nodes = spark.createDataFrame(
+        [("d1", "Document", "one", None, [1.0, 0.0]), ("d2", "Document", "two", None, [0.0, 1.0]), ("c1", "Chunk", None, "Rivers carry water. Mountains stand still.", [1.0, 0.1]), ("c2", "Chunk", None, "Mountains are tall here.", [1.0, 0.0])],
+        "id string, label string, name string, text string, embedding array<double>",
+    )
+    edges = spark.createDataFrame([("d1", "c1", "CONTAINS"), ("d2", "c2", "CONTAINS")], "src string, dst string, type string")
+    full = nodes.withColumns({"summary": F.lit(None).cast("string"), "description": F.lit(None).cast("string")})
+    one = retrieval.ask_question("Where do mountains stand", [1.0, 0.0], full, edges, "d1").first()
+    assert (one["answer"], one["answerable"], one["document_scope"], one["method"]) == ("Mountains stand still.", True, "d1", "hybrid")
+    every = retrieval.ask_question("Where do mountains stand", [1.0, 0.0], full, k=2, hybrid=False).first()
+    assert every["document_scope"] == "global_graph" and every["method"] == "semantic" and "tall here" in every["context"]
+    # without the columns that the hybrid score reads, the plain search answers
+    plain = retrieval.ask_question("Where do mountains stand", [1.0, 0.0], nodes, edges, "d2", keywords=["x"]).first()
+    assert plain["method"] == "semantic" and plain["answer"].endswith("Mountains are tall here.")
+    none = retrieval.ask_question("Where?", [0.0, 0.0], full).first()
+    assert (none["context"], none["answerable"]) == ("", False)
+    with pytest.raises(ValueError, match="vector"):
+        retrieval.ask_question("Where?", [], full)
+    with pytest.raises(ValueError, match="no document"):
+        retrieval.ask_question("Where?", [1.0], full, edges, "d9")
+
+
+def test_chunks_are_found_from_either_side(spark):
+    edges = spark.createDataFrame([("e1", "c1", "X"), ("d1", "e1", "X"), ("d2", "c1", "X"), ("d3", "c2", "X"), ("d3", "x", "X")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([(n, {"c": "Chunk", "d": "Description", "e": "Entity", "x": "Entity"}[n[0]]) for n in ("c1", "c2", "c3", "d1", "d2", "d3", "e1", "x")], "id string, label string")
+    expected = {"d1": {("c1", 2)}, "d2": {("c1", 1)}, "d3": {("c2", 1)}}
+    for some in (["d1", "d2", "d3"], ["d1"], ["d1", "d2", "d3", "e1", "x"]):
+        got = retrieval.chunks_of(edges, nodes, spark.createDataFrame([(x,) for x in some], "id string"), 2).where("target like 'd%'").collect()
+        assert {t: {(r["chunk"], r["hops"]) for r in got if r["target"] == t} for t in some if t in expected} == {t: expected[t] for t in some if t in expected}
+
+
+def test_consumed_rows_do_not_depend_on_partitions(spark, sf_dir):
+    from docweave.plans.knowledge_queries import QUERIES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = [tuple(r) for r in QUERIES["profile_retrieval"](spark, sf_dir).collect()]
+            assert len(rows) == len(set(rows)) == 25
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
