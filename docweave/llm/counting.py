@@ -65,10 +65,11 @@ def hash_bits(total_bytes: int) -> int:
     return min(64, max(48, int(total_bytes).bit_length() + 16))
 
 
-def shard_bounds(keys: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
-    """Where each shard's range of values begins in sorted hashes of so many bits."""
-    width = (1 << bits) // shards
-    return np.append(np.searchsorted(keys, np.array([k * width for k in range(shards)], np.uint64)), len(keys))
+def shard_bounds(keys: np.ndarray, shards: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """``(shard, from, to)`` of the shards that hold any of the sorted hashes of so many bits; each has a range of values, the last one the rest."""
+    own = np.minimum(keys // np.uint64((1 << bits) // shards), np.uint64(shards - 1)).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    return list(zip(own[first].tolist(), first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True))
 
 
 class Grams:
@@ -170,8 +171,7 @@ def requests(dealt: DataFrame, shards: int, order: int, bits: int, counted: Call
                     valid = grams.valid[level]
                     keys, back = np.unique(grams.keys[level][valid], return_inverse=True)
                     counts = np.bincount(back, weights=use[valid], minlength=len(keys)).astype(np.int64)
-                    at = shard_bounds(keys, shards, grams.bits[level])
-                    parts = [(s, a, b) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a]
+                    parts = shard_bounds(keys, shards, grams.bits[level])
                     yield pa.RecordBatch.from_arrays([
                         pa.array([s for s, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([level] * len(parts), pa.int32()),
                         pa.array([pack_keys(keys[a:b]) for _, a, b in parts], pa.binary()), pa.array([pack_counts(counts[a:b]) for _, a, b in parts], pa.binary()),
@@ -208,11 +208,9 @@ def known_counts(grams: Grams, answers: pa.Table, shards: int) -> list[tuple[np.
     for level, (row, valid) in enumerate(zip(grams.keys, grams.valid, strict=True)):
         places = np.flatnonzero(valid)
         keys, first, back = np.unique(row[places], return_index=True, return_inverse=True)
-        at = shard_bounds(keys, shards, grams.bits[level])
         total = np.zeros(len(keys), np.int64)
-        for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b > a:
-                total[a:b] = unpack_counts(got[level, s], b - a)
+        for s, a, b in shard_bounds(keys, shards, grams.bits[level]):
+            total[a:b] = unpack_counts(got[level, s], b - a)
         found = np.full(len(row), -1, np.int32)
         found[places] = back
         out.append((total, places[first].astype(np.int32), found))
