@@ -30,8 +30,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import Scratch, bound_batches, documents, partitions
+from docweave.llm.common import Scratch, bound_batches, documents, partitions, shuffle_files_deleted
 from docweave.llm.components import components
+from docweave.operators.store import temporary_tables
 
 #: Classes of characters that share bits, and places after which the bits repeat.
 CLASSES, PERIOD = 64, 1024
@@ -354,8 +355,11 @@ def edited_fingerprints(docs: DataFrame, least: float | None = LEAST) -> DataFra
     sent = sent.select("to.part", "to.own", "place", "tie", *row(1, "doc_id", "text")).select(*columns)
     if least is not None:
         # Classes and fingerprints travel to their rows' ranges, each just ahead of its row, so each text is walked once.
-        prints = scratch.save(fingerprints(rows, "place", "tie", heads=True), "prints")
-        classes = prints.join(near_copies(prints, least), "node").dropDuplicates(["place", "tie"])
+        with shuffle_files_deleted(spark), temporary_tables():
+            prints = scratch.save(fingerprints(rows, "place", "tie", heads=True), "prints")
+            found = prints.join(near_copies(prints, least), "node").dropDuplicates(["place", "tie"])
+            classes = scratch.save(found.select("place", "tie", "class_id", "print", "head"), "classes")
+        scratch.drop("prints")
         sent = sent.unionByName(add_part(classes).withColumn("own", F.lit(1)).select("part", "own", "place", "tie", *row(0, "class_id", "print", "head")))
     sent = sent.repartition(n, "part").sortWithinPartitions("part", "own", "place", "tie", "kind")
 
