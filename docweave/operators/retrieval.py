@@ -263,13 +263,13 @@ def ask_question(question: str, query: list[float], nodes: DataFrame, edges: Dat
     """One row ``question, context, answer, answerable, related_context, document_scope, method``: the answer from the whole graph or from what ``document`` contains.
 
     ``query`` is the question's vector. The best nodes, in the order of their scores, give the context. Without
-    any, the context is empty and the question cannot be answered.
+    any, the context is empty, the question cannot be answered, and ``method`` is null.
     """
     chosen = nodes if document is None else scoped(nodes, edges, document)
     found = search(chosen, query, keywords, k, least, hybrid)
     hits = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumns({"question": F.lit(question), "text": F.coalesce("text", F.lit(""))})
     asked = nodes.sparkSession.createDataFrame([(question,)], "question string")
-    rows = asked.join(search_context(hits, "question", "rank", "text"), "question", "left").join(found.agg(F.first("method").alias("method")))
+    rows = asked.join(search_context(hits, "question", "rank", "text"), "question", "left").join(hits.groupBy("question").agg(F.first("method").alias("method")), "question", "left")
     rows = rows.withColumn("context", F.coalesce("context", F.lit("")))
     reply = extractive_answer(F.col("question"), F.col("context"))
     return rows.select("question", "context", *[reply[c].alias(c) for c in ("answer", "answerable", "related_context")], F.lit(document or "global_graph").alias("document_scope"), "method")
