@@ -216,3 +216,19 @@ def test_zeta_sums_over_subsets():
 def test_terms():
     assert lexical_search.terms_of("Ab1-É中 x_Y".encode()) == ["ab1".encode(), "É中".encode(), b"x", b"y"]
     assert list(lexical_search._texts(pa.array(["a", None]))) == [b"a", b""]
+
+
+def test_token_rows_of_odd_documents_and_their_files(spark, tmp_path):
+    from docweave.llm import token_packing as packing
+
+    odd = spark.createDataFrame([(None, "one two"), (None, "one two"), (4, "same id"), (4, "other text"), (5, None), (6, "")], "doc_id long, text string").coalesce(1)
+    packed = packing.pack_tokens(odd, row_tokens=64)
+    packing.write_packed(packed, str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, packed.collect())) and read.schema["input_ids"].dataType.typeName() == "binary"
+    ids = [i for r in read.collect() for i in r["doc_ids"]]
+    assert collections.Counter(ids) == {None: 2, 4: 2}  # no row without tokens has a segment
+    long = "q" + "z" * 200_000  # no blank to cut at
+    whole = packing.pack_tokens(spark.createDataFrame([(9, long)], "doc_id long, text string"), row_tokens=512, group_tokens=4000)
+    assert whole.agg(F.max("n_tokens")).first()[0] == 512
+    assert packing.unpack(whole).first()["text"] == long
