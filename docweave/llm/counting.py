@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docweave.llm.common import mix, partitions, text_slices, word_hashes
 
 #: Bytes of text in a block and behind a shard, and with it the memory of one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Blocks, or shards, in one shuffle partition.
 PER_PARTITION = 4
 #: Different words that a task collects before it passes them on.
