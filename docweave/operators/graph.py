@@ -55,24 +55,43 @@ def paths(edges: DataFrame, seeds: DataFrame, least: int, most: int) -> DataFram
     return reduce(DataFrame.unionByName, found)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """``seed, node, hops`` of every node within ``most`` hops, with its least number of hops.
 
     A breadth-first search of all seeds at once: each hop joins the frontier with
     the edges, drops what was seen, and is written, so the plan stays short and a
     lost executor costs one hop. It ends early with an empty frontier.
+
+    With ``targets(node)`` only these are found. How far every node is from its next target is known
+    first, by one search from all targets together, with one row a node; a hop then goes only to nodes from
+    which the hops that are left can lead to a target; so in the last hop many seeds at one busy node do not each list its neighbours.
     """
     store = Store(edges.sparkSession, "reach")
     links = edges.select("src", "dst") if directed else both_ways(edges.select("src", "dst"))
     links = store.save(links.where("src <> dst").distinct().select(F.col("src").alias("node"), F.col("dst").alias("_next")), "links")
+    ahead = None if targets is None else _hops_to(links, targets, most - 1, store)
     frontier = store.save(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("hops", F.lit(0)), "hop0")
     seen = frontier
     for hops in range(1, most + 1):
-        further = frontier.join(links, "node").select("seed", F.col("_next").alias("node")).distinct()
+        useful = links if ahead is None else links.join(ahead.where(F.col("left") <= most - hops).select(F.col("node").alias("_next")), "_next", "left_semi")
+        further = frontier.join(useful, "node").select("seed", F.col("_next").alias("node")).distinct()
         frontier = store.save(further.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hops)), f"hop{hops}")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    return seen if targets is None else seen.join(targets.select("node").distinct(), "node", "left_semi").select("seed", "node", "hops")
+
+
+def _hops_to(links: DataFrame, targets: DataFrame, most: int, store: Store) -> DataFrame:
+    """``node, left``: each node within ``most`` hops of any target, with the least number of hops to one."""
+    frontier = store.save(targets.select("node").distinct().withColumn("left", F.lit(0)), "left0")
+    seen = frontier
+    for left in range(1, most + 1):
+        before = links.join(frontier.select(F.col("node").alias("_next")), "_next", "left_semi").select("node").distinct()
+        frontier = store.save(before.join(seen.select("node"), "node", "left_anti").withColumn("left", F.lit(left)), f"left{left}")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
     return seen
 
 

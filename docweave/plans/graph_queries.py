@@ -65,9 +65,9 @@ SELECT w.seed AS description, w.node AS chunk, min(w.hops) AS hops FROM walk w J
 def chunks_for_description(spark, sf_dir):
     """The chunks within two undirected hops of each node of one type, all in one search."""
     nodes, edges = tree(spark, sf_dir)
-    found = g.reachable(edges, nodes.where("type = 'BUILDING'").select(F.col("id").alias("seed")), 2)
     chunks = nodes.where("label = 'Chunk'").select(F.col("id").alias("node"))
-    return found.join(chunks, "node").select(F.col("seed").alias("description"), F.col("node").alias("chunk"), "hops")
+    found = g.reachable(edges, nodes.where("type = 'BUILDING'").select(F.col("id").alias("seed")), 2, targets=chunks)
+    return found.select(F.col("seed").alias("description"), F.col("node").alias("chunk"), "hops")
 
 
 def _triples(direction: str):

@@ -27,6 +27,27 @@ def test_reachable(spark, small):
     assert directed == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("e", "e", 0)}
 
 
+def test_reachable_targets_do_not_list_the_neighbours_of_busy_nodes(spark, monkeypatch):
+    """Many seeds at one hub: the pairs with the target, and within two hops no written table of all pairs of seeds."""
+    written = {}
+    save = graph.Store.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(graph.Store, "save", counted)
+    edges = spark.createDataFrame([("hub", f"s{k}") for k in range(40)] + [("up", "hub"), ("s0", "x"), ("x", "y")], "src string, dst string")
+    seeds = edges.where("dst like 's%'").select(F.col("dst").alias("seed")).unionByName(spark.createDataFrame([("y",), ("up",)], "seed string"))
+    for most in (1, 2, 3):
+        whole = {tuple(r) for r in graph.reachable(edges, seeds, most).where("node in ('hub', 'up')").collect()}
+        written.clear()
+        got = [tuple(r) for r in graph.reachable(edges, seeds, most, targets=spark.createDataFrame([("hub",), ("up",), ("none",)], "node string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == whole
+        assert most > 2 or max(n for name, n in written.items() if name != "links") <= 2 * 42
+
+
 def test_paths_keep_parallel_walks(spark, small):
     seeds = spark.createDataFrame([("b",)], "seed string")
     assert graph.paths(small[1], seeds, 2, 2).where("node = 'd'").count() == 2
