@@ -401,7 +401,7 @@ def layout_order(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), "event_type", F.lit(0.0).alias("x0"), F.lit(10.0).alias("x1"), F.col("value").alias("y0"))
     elements = e.where("event_type in ('view', 'click')").select("page", "seq", "x0", "x1", "y0", (F.col("y0") + 5).alias("y1"), F.when(F.col("event_type") == "view", "text").otherwise("image").alias("kind"), F.col("event_type").alias("content"))
     rows = F.array(F.array(F.lit("a"), F.col("seq").cast("string")), F.array(F.lit(" "), F.lit(None)), F.array(F.lit("x|y"), F.lit(None)))
-    tables = e.where("event_type = 'purchase'").select("page", "x0", "x1", "y0", (F.col("y0") + 20).alias("y1"), rows.alias("rows"))
+    tables = e.where("event_type = 'purchase'").select("page", "x0", "x1", "y0", F.lit(20.0).alias("height"), rows.alias("rows"))
     return y.layout_order(elements, tables)
 
 

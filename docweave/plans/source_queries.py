@@ -79,7 +79,7 @@ _BOX = "SELECT user_id AS page, event_id AS seq, event_type, value AS y FROM eve
 @query(f"WITH b AS ({_BOX}) SELECT page, seq FROM b WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM b t WHERE t.event_type = 'purchase' AND t.page = b.page AND b.y >= t.y - 10 AND b.y + 5 <= t.y + 30)")
 def outside_tables(spark, sf_dir):
     """Text blocks that lie in no table."""
-    box = lambda kind, high: read(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("x1"), F.col("value").alias("y0"), (F.col("value") + high).alias("y1"))
+    box = lambda kind, high: read(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("x1"), F.col("value").alias("y0"), (F.col("value") + high).alias("y1"), F.lit(high).cast("double").alias("height"))
     return layout.outside_tables(box("view", 5), box("purchase", 20)).select("page", "seq")
 
 

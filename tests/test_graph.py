@@ -48,6 +48,15 @@ def test_reachable_targets_do_not_list_the_neighbours_of_busy_nodes(spark, monke
         assert most > 2 or max(n for name, n in written.items() if name != "links") <= 2 * 42
 
 
+def test_layout_order_rounds_the_middle_of_a_table_once(spark):
+    """An image 10 below a table's upper edge stands where the table's middle is, also where sums of the two edges are rounded."""
+    tops = [k / 100 for k in range(1000, 1400)]
+    images = spark.createDataFrame([(k, 5, 0.0, top + 10, 1.0, top + 11, "image", "i") for k, top in enumerate(tops)], "page int, seq int, x0 double, y0 double, x1 double, y1 double, kind string, content string")
+    tables = spark.createDataFrame([(k, 0.0, 1.0, top, 20.0, [["a"]]) for k, top in enumerate(tops)], "page int, x0 double, x1 double, y0 double, height double, rows array<array<string>>")
+    first = layout.layout_order(images, tables).where("place = 0").select("kind").distinct().collect()
+    assert [r["kind"] for r in first] == ["table"]
+
+
 def test_paths_keep_parallel_walks(spark, small):
     seeds = spark.createDataFrame([("b",)], "seed string")
     assert graph.paths(small[1], seeds, 2, 2).where("node = 'd'").count() == 2
