@@ -311,7 +311,8 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def kilobytes(size: Column) -> Column:
-    return F.concat(F.format_string("%.1f", size / 1024.0), F.lit(" KB"))
+    """With one decimal: the nearest to the number as it is in binary, of two the even one, as C and Python print it."""
+    return F.concat(F.call_function("format_number", size / 1024.0, F.lit("0.0")), F.lit(" KB"))
 
 
 def preview(text: Column, most: int = 500) -> Column:

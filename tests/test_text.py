@@ -113,3 +113,9 @@ def test_split_long_loses_nothing(spark):
         parts = [r["content"] for r in rows if r["doc_id"] == k]
         assert "".join(parts) == text
         assert k == 2 or all(len(p) // 4 <= 60 for p in parts)
+
+
+def test_kilobytes_are_rounded_as_python_does(spark):
+    sizes = [153.6, 256.0, 768.0, 51.2, 358.4, 0.0, -153.6, 1234567.89, 1.0e9, 1023.99, *[k * 25.6 for k in range(200)]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(sizes)], "k int, x double").select("k", t.kilobytes(F.col("x")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in rows} == {k: f"{x / 1024:.1f} KB" for k, x in enumerate(sizes)}
