@@ -2,7 +2,7 @@
 
 Both work on one row a chunk: ids are resolved and edges made inside the row, by
 array functions; the rows are written once, and nodes and edges are read from
-them. Only nodes that several chunks name meet in a shuffle.
+them. Only nodes and edges that several chunks may name meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ _FIELDS = [field.split(" ", 1) for field in _NODE.split(", ")]
 _EDGE = "src string, dst string, type string"
 
 
-def _node(key: Column, label: str | Column, pos: Column, **values: Column) -> Column:
-    """One node as a struct of all fields and ``pos``, its place in the chunk."""
+def _node(key: Column, label: str | Column, pos: Column, shared: Column | None = None, **values: Column) -> Column:
+    """One node as a struct of all fields, ``pos``, its place in the chunk, and ``shared``: whether other chunks may name it too."""
     given = {"id": key, "label": F.lit(label) if isinstance(label, str) else label, **values}
-    return F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FIELDS], pos.cast("int").alias("pos"))
+    return F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FIELDS], pos.cast("int").alias("pos"), (F.lit(False) if shared is None else shared).alias("shared"))
 
 
-def _edge(src: Column, dst: Column, kind: str) -> Column:
-    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
+def _edge(src: Column, dst: Column, kind: str, shared: Column | None = None) -> Column:
+    """One edge; ``shared`` as in ``_node``, which it is only if both its ends are."""
+    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), (F.lit(False) if shared is None else shared).alias("shared"))
 
 
 def _optional(df: DataFrame, name: str, kind: str) -> Column:
@@ -42,23 +43,35 @@ def _fields(df: DataFrame, array: str, inner: str | None = None) -> set[str]:
     return set((kind[inner].dataType if inner else kind).fieldNames()) if inner is None or inner in kind.fieldNames() else set()
 
 
-def _heads(df: DataFrame, text: str, summary: str, embedding: str) -> DataFrame:
-    """With ids of document and chunk, and the nodes and the edge of both."""
-    out = df.withColumn("doc", make_id(F.lit("document"), F.col("document"))).withColumn("chunk", make_id(F.lit("chunk"), F.concat_ws("/", "document", "chunk_id")))
-    metadata = _optional(df, "metadata", "map<string,string>")
-    head = F.array(
-        _node(F.col("doc"), "Document", F.lit(-2), name=F.col("document")),
-        _node(F.col("chunk"), "Chunk", F.lit(-1), text=F.col(text), summary=_optional(df, summary, "string"), embedding=_optional(df, embedding, "array<double>"), properties=metadata),
+def _ids(df: DataFrame) -> DataFrame:
+    """With the ids of document and chunk."""
+    return df.withColumn("doc", make_id(F.lit("document"), F.col("document"))).withColumn("chunk", make_id(F.lit("chunk"), F.concat_ws("/", "document", "chunk_id")))
+
+
+def _head(df: DataFrame, text: str, summary: str, embedding: str) -> Column:
+    """The nodes of document and chunk."""
+    return F.array(
+        _node(F.col("doc"), "Document", F.lit(-2), F.lit(True), name=F.col("document")),
+        _node(F.col("chunk"), "Chunk", F.lit(-1), text=F.col(text), summary=_optional(df, summary, "string"), embedding=_optional(df, embedding, "array<double>"), properties=_optional(df, "metadata", "map<string,string>")),
     )
-    return out.withColumn("head", head)
 
 
-def _collected(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of ``rows(chunk, nodes, edges)``; of nodes with one id the first, by chunk and place, counts."""
-    saved = Store(rows.sparkSession, name).save(rows.select("chunk", F.col("all_nodes"), F.col("all_edges")), "chunks")
-    nodes = saved.select("chunk", F.explode("all_nodes").alias("n"))
-    first = nodes.groupBy("n.id").agg(F.min_by("n", F.struct("chunk", "n.pos")).alias("n"))
-    return first.select(*[f"n.{field}" for field, _ in _FIELDS]), saved.select(F.inline("all_edges")).distinct()
+def _collected(rows: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of written ``rows(chunk, all_nodes, all_edges)``; of nodes with one id the first, by chunk and place, counts.
+
+    What is not shared belongs to its chunk alone and stays where it is. Only if a chunk comes in several rows,
+    or names two of its own nodes alike, all that it has meets the rest by id.
+    """
+    own = F.transform(F.filter("all_nodes", lambda n: ~n["shared"]), lambda n: n["id"])
+    counted = rows.select("chunk", (F.size(own) != F.size(F.array_distinct(own))).alias("alike")).groupBy("chunk").agg(F.count("*").alias("n"), F.bool_or("alike").alias("alike"))
+    again = store.save(counted.where("n > 1 or alike").select("chunk", F.lit(True).alias("_again")), "again")
+    marked = rows.join(again, "chunk", "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
+    met = lambda name: F.filter(name, lambda x: x["shared"] | F.col("_again"))
+    alone = lambda name: F.filter(name, lambda x: ~(x["shared"] | F.col("_again")))
+    first = marked.select("chunk", F.explode(met("all_nodes")).alias("n")).groupBy("n.id").agg(F.min_by("n", F.struct("chunk", "n.pos")).alias("n")).select("n")
+    nodes = first.unionByName(marked.select(F.explode(alone("all_nodes")).alias("n"))).select(*[f"n.{field}" for field, _ in _FIELDS])
+    some = marked.select(F.inline(met("all_edges"))).drop("shared").distinct()
+    return nodes, some.unionByName(marked.select(F.inline(F.array_distinct(alone("all_edges")))).drop("shared"))
 
 
 def text_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +84,8 @@ def text_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
     end that the chunk lacks are left out. Chunks keep summary, vector and
     metadata, descriptions their vectors, so that the graph can be searched.
     """
-    df = _heads(extractions, "chunk_text", "summary", "embedding")
+    df = _ids(extractions)
+    df = df.withColumn("head", _head(df, "chunk_text", "summary", "embedding"))
     about = "struct<type:string,text:string,embedding:array<double>>"
     entity = lambda e, i: F.struct(make_id(F.lit("entity"), F.concat_ws("/", "chunk", i.cast("string"))).alias("node"), e["name"].alias("name"), e["type"].alias("type"), e["description_node"].cast(about).alias("d"))
     df = df.withColumn("es", F.transform(F.coalesce("entities", F.expr("cast(array() as " + extractions.schema["entities"].dataType.simpleString() + ")")), entity))
@@ -96,7 +110,8 @@ def text_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(told("es"), lambda x: _edge(x["node"], text_of(x), "DESCRIBES")), F.transform(told("rs"), lambda x: _edge(x["node"], text_of(x), "DESCRIBES")),
         F.transform("rs", lambda r: _edge(r["a"], r["node"], "RELATED")), F.transform("rs", lambda r: _edge(r["b"], r["node"], "RELATED")),
     )
-    return _collected(df.withColumns({"all_nodes": nodes, "all_edges": edges}), "text_graph")
+    store = Store(df.sparkSession, "text_graph")
+    return _collected(store.save(df.select("chunk", nodes.alias("all_nodes"), edges.alias("all_edges")), "chunks"), store)
 
 
 def table_graph(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +127,7 @@ def table_graph(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     have = _fields(graphs, "nodes")
     none = F.create_map().cast("map<string,string>")
-    df = _heads(graphs, "text", "chunk_summary", "chunk_embedding")
+    df = _ids(graphs)
 
     def thing(n: Column, i: Column) -> Column:
         label = F.when(n["type"].isin("Table", "Item"), n["type"]).otherwise("Entity")
@@ -146,21 +161,26 @@ def table_graph(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
         key = F.concat_ws("/", "chunk", x["source"], x["target"], x["type"])
         return F.struct(make_id(F.lit("relationship"), key).alias("node"), x["type"].alias("type"), x["a"]["node"].alias("a"), x["b"]["node"].alias("b"), describe(F.lit("Relationship"), x["type"], about).alias("text"), F.lit(None).cast("array<double>").alias("embedding"))
 
-    df = df.withColumn("rs", F.transform(others, relation))
+    holds = F.transform(holds, lambda x: F.struct(x["a"]["node"].alias("a"), x["b"]["node"].alias("b")))
+    store, head = Store(df.sparkSession, "table_graph"), [c for c in ("document", "text", "chunk_summary", "chunk_embedding", "metadata") if c in df.columns]
+    # Written before nodes and edges repeat the ids.
+    df = store.save(df.select("doc", "chunk", *head, "ns", "ms", holds.alias("hs"), F.transform(others, relation).alias("rs")), "chunks")
+    df = df.withColumn("head", _head(df, "text", "chunk_summary", "chunk_embedding"))
     text_of = lambda x: make_id(F.lit("description"), x["node"])
-    description = lambda x, i: _node(text_of(x), "Description", i, text=x["text"], embedding=x["embedding"])
+    merged = lambda n: n["label"] == "Entity"
+    description = lambda x, i, shared=None: _node(text_of(x), "Description", i, shared, text=x["text"], embedding=x["embedding"])
     nodes = F.concat(
-        "head", F.transform("ns", lambda n, i: _node(n["node"], n["label"], i, name=n["name"], type=n["type"], properties=n["properties"])),
-        F.transform("rs", lambda r, i: _node(r["node"], "Relationship", i, type=r["type"])), F.transform("ns", description), F.transform("rs", description),
+        "head", F.transform("ns", lambda n, i: _node(n["node"], n["label"], i, merged(n), name=n["name"], type=n["type"], properties=n["properties"])),
+        F.transform("rs", lambda r, i: _node(r["node"], "Relationship", i, type=r["type"])), F.transform("ns", lambda n, i: description(n, i, merged(n))), F.transform("rs", lambda r, i: description(r, i)),
     )
     free = F.array_except(F.transform(F.filter("ns", lambda n: n["label"] == "Entity"), lambda n: n["node"]), F.transform("ms", lambda m: m["dst"]))
     edges = F.concat(
         F.array(_edge(F.col("doc"), F.col("chunk"), "CONTAINS")), F.transform(F.filter("ns", lambda n: n["label"] == "Table"), lambda n: _edge(F.col("chunk"), n["node"], "CONTAINS")),
-        F.transform(holds, lambda x: _edge(x["a"]["node"], x["b"]["node"], "CONTAINS")), "ms", F.transform(free, lambda n: _edge(F.col("chunk"), n, "MENTIONS")),
-        F.transform("ns", lambda n: _edge(n["node"], text_of(n), "DESCRIBE")), F.transform("rs", lambda r: _edge(r["node"], text_of(r), "DESCRIBE")),
+        F.transform("hs", lambda x: _edge(x["a"], x["b"], "CONTAINS")), "ms", F.transform(free, lambda n: _edge(F.col("chunk"), n, "MENTIONS")),
+        F.transform("ns", lambda n: _edge(n["node"], text_of(n), "DESCRIBE", merged(n))), F.transform("rs", lambda r: _edge(r["node"], text_of(r), "DESCRIBE")),
         F.transform("rs", lambda r: _edge(r["a"], r["node"], "SOURCE")), F.transform("rs", lambda r: _edge(r["node"], r["b"], "TARGET")),
     )
-    return _collected(df.withColumns({"all_nodes": nodes, "all_edges": edges}), "table_graph")
+    return _collected(df.select("chunk", nodes.alias("all_nodes"), edges.alias("all_edges")), store)
 
 
 def build_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

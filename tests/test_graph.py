@@ -48,6 +48,25 @@ def test_reachable_targets_do_not_list_the_neighbours_of_busy_nodes(spark, monke
         assert most > 2 or max(n for name, n in written.items() if name != "links") <= 2 * 42
 
 
+def test_table_graph_of_repeated_chunks_and_like_ids(spark, monkeypatch):
+    """Nodes and edges come once where a chunk comes twice, and where two relationships of a chunk get one id; ids are written once a chunk."""
+    columns = {}
+    save = graph.Store.save
+    monkeypatch.setattr(graph.Store, "save", lambda self, df, name: columns.update({name: df.columns}) or save(self, df, name))
+    schema = "document string, chunk_id string, text string, nodes array<struct<id:string,type:string>>, edges array<struct<source:string,target:string,type:string>>"
+    plain = ("d", "1", "t", [("t", "Table"), ("i", "Item"), ("a", "City")], [("t", "i", "CONTAINS"), ("i", "a", "MENTIONS"), ("a", "t", "IN")])
+    alike = ("d", "2", "t", [("a/b", "City"), ("c", "City"), ("a", "City"), ("b/c", "City")], [("a/b", "c", "IN"), ("a", "b/c", "IN")])
+    for rows in ([plain, alike], [plain, plain, alike, ("e", *plain[1:])]):
+        nodes, edges = build.table_graph(spark.createDataFrame(rows, schema))
+        nodes, edges, documents = nodes.collect(), edges.collect(), len({r[0] for r in rows})
+        assert len(nodes) == len({n["id"] for n in nodes}) and len(edges) == len({tuple(e) for e in edges})
+        # Of each plain chunk: chunk, table, item, city and relationship; of the other: chunk, three more cities and one relationship; all but chunks described.
+        own = {"Document": 1, "Chunk": 1, "Table": 1, "Item": 1, "Entity": 1, "Relationship": 1, "Description": 4}
+        count = {k: sum(n["label"] == k for n in nodes) for k in own}
+        assert count == {k: n * documents + {"Chunk": 1, "Entity": 3, "Relationship": 1, "Description": 4}.get(k, 0) for k, n in own.items()}
+    assert "all_edges" not in columns["chunks"]
+
+
 def test_layout_order_rounds_the_middle_of_a_table_once(spark):
     """An image 10 below a table's upper edge stands where the table's middle is, also where sums of the two edges are rounded."""
     tops = [k / 100 for k in range(1000, 1400)]
