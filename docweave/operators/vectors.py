@@ -14,6 +14,8 @@ from docweave.operators.graph import paths
 
 #: Questions and vectors that meet in one task.
 QUESTION_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Scores that a task holds at once.
+SCORES = 1 << 20
 #: Weights of the hybrid score; a keyword hit scores 0.3 before its weight.
 SEMANTIC, KEYWORD, HIT = 0.6, 0.3, 0.3
 
@@ -86,7 +88,7 @@ def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float =
 
     Both sides are dealt into blocks, ``QUESTION_BLOCK`` questions and
     ``VECTOR_BLOCK`` vectors on average. Each two blocks meet in one task, which
-    multiplies them and passes on each question's best k, ties of the last among
+    multiplies them, some questions at a time (``SCORES``), and passes on each question's best k, ties of the last among
     them. The driver sees two counts.
     """
     asked = questions.select("question", vector("embedding").alias("v")).where("v is not null")
@@ -105,15 +107,18 @@ def batch_topk(vectors: DataFrame, questions: DataFrame, k: int, least: float =
             members, at = np.flatnonzero(q_sizes == size), np.flatnonzero(sizes == size)
             if not len(at):
                 continue
-            q, m = q_flat[q_starts[members][:, None] + np.arange(size)], flat[starts[at][:, None] + np.arange(size)]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)) * weight + extra[at]
-            for n, row in zip(members, scores, strict=True):
-                good = np.flatnonzero(row >= least)
-                if len(good) > k:
-                    cut = np.partition(row[good], len(good) - k)[len(good) - k]
-                    good = good[row[good] >= cut]
-                found.append((np.full(len(good), n), at[good], row[good]))
+            m = flat[starts[at][:, None] + np.arange(size)]
+            lengths, step = np.linalg.norm(m, axis=1), max(1, SCORES // len(at))
+            for some in (members[first : first + step] for first in range(0, len(members), step)):
+                q = q_flat[q_starts[some][:, None] + np.arange(size)]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = (q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * lengths) * weight + extra[at]
+                for n, row in zip(some, scores, strict=True):
+                    good = np.flatnonzero(row >= least)
+                    if len(good) > k:
+                        cut = np.partition(row[good], len(good) - k)[len(good) - k]
+                        good = good[row[good] >= cut]
+                    found.append((np.full(len(good), n), at[good], row[good]))
         n, i, s = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3))
         return pa.table({"question": left.column("question").take(pa.array(n.astype(np.int64))), key: right.column("k").take(pa.array(i.astype(np.int64))), "similarity": pa.array(s.astype(np.float64))})
 

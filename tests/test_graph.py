@@ -122,6 +122,17 @@ def test_batch_topk_ties_go_to_the_smaller_key(spark):
     assert vectors.batch_topk(vec, asked.limit(0), 2).count() == 0
 
 
+def test_batch_topk_holds_few_scores_at_once(spark, monkeypatch):
+    """With room for the scores of seven questions the result is that of all at once."""
+    rows = [(k, [float((k * 7 + j * 3) % 11), float(j + k % 5), 1.0]) for k in range(100) for j in [k % 4]]
+    vec = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = vec.select(F.col("id").alias("question"), "embedding")
+    whole = {tuple(r)[:2] + (round(r["similarity"], 9),) for r in vectors.batch_topk(vec, asked, 3).collect()}
+    assert vectors.SCORES * 8 <= 8 << 20
+    monkeypatch.setattr(vectors, "SCORES", 700)
+    assert {tuple(r)[:2] + (round(r["similarity"], 9),) for r in vectors.batch_topk(vec, asked, 3).collect()} == whole
+
+
 def test_batch_topk_keeps_questions_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUESTION_BLOCK", 7)
     monkeypatch.setattr(vectors, "VECTOR_BLOCK", 30, raising=False)
