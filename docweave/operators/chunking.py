@@ -488,6 +488,7 @@ def split_oversized(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     Further columns: ``split_from`` (the section's position), ``part`` ("2/3") and ``original_length`` of split ones.
     """
+    parts = Store(parts.sparkSession, "oversized").save(parts, "parts")  # read three times
     long = F.col("length").cast("int") > limit
     whole = parts.where(~long | F.col("is_table")).withColumns({"split_from": F.lit(None).cast("int"), "part": F.lit(None).cast("string"), "original_length": F.lit(None).cast("int"), "_part": F.lit(0)})
     cut = parts.where(long & ~F.col("is_table"))

@@ -238,3 +238,20 @@ def test_consumed_rows_do_not_depend_on_partitions(spark, sf_dir):
             assert len(rows) == len(set(rows)) == 25
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_oversized_sections_are_computed_once(spark):
+    """The merged sections are read by several branches; what makes them runs once for each row."""
+    from docweave.operators import chunking
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    schema = "doc_id long, position int, level int, path array<string>, content string, length int, is_table boolean, merged_from array<int>, merge_count int"
+    rows = [(k, 0, 1, ["h"], "word. " * n, n * 6 // 4, False, [0], 1) for k, n in enumerate((2, 100, 300))]
+    parts = chunking.split_oversized(spark.createDataFrame(rows, schema).mapInPandas(count, schema), 60).collect()
+    assert made.value == len(rows) and {p["doc_id"] for p in parts} == {0, 1, 2} and all(p["length"] <= 60 for p in parts)
