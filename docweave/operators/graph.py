@@ -7,6 +7,7 @@ edge type, so that scans of one label or type read only its files.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from docweave.operators.store import Store
 
+#: Rows of both sides that a task sorts, on average, where one large table is held against another.
+TASK_ROWS = 1 << 19
+
 
 def turned(edges: DataFrame) -> DataFrame:
     """Every edge the other way round."""
@@ -127,14 +131,26 @@ def create_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame, cascade: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Tables without the nodes of ``ids(id)``. Their edges go too; without ``cascade`` nodes that have edges stay."""
+    """Tables without the nodes of ``ids(id)``. Their edges go too; without ``cascade`` nodes that have edges stay.
+
+    Without ``cascade`` no edge goes. Ids and edges meet in tasks of ``TASK_ROWS`` rows: short ids compress so well
+    that partitions of a bounded size on disk are many times as large in memory. The ids that go are written, so that few
+    of them are sent to the nodes' tasks, and nodes are neither shuffled nor sorted.
+    """
     if not cascade:
         used = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
-        ids = ids.join(used, "id", "left_anti")
+        gone = Store(nodes.sparkSession, "delete").save(_lacking(ids.select("id"), used, "id"), "gone")
+        return nodes.join(gone, "id", "left_anti") if gone.count() <= TASK_ROWS else _lacking(nodes, gone, "id"), edges
     kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.join(ids, "id", "left_anti"), kept.select(*edges.columns)
 
 
+def _lacking(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``others``; as many tasks as it takes for each to hold ``TASK_ROWS`` rows on average."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil((rows.count() + others.count()) / TASK_ROWS))
+    return rows.repartition(tasks, key).join(others.repartition(tasks, key), key, "left_anti")
+
+
 def distinct_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
     """The first edge of each source, target and type."""
     return first_of(edges, ["src", "dst", "type"], order)

@@ -103,6 +103,22 @@ def test_mutations(spark, small):
     assert graph.duplicate_ids(nodes.unionByName(nodes.limit(1))).count() == 1
 
 
+def test_strict_deletion_holds_few_rows_a_task(spark, monkeypatch):
+    nodes = spark.range(400).select(F.concat(F.lit("v"), "id").alias("id"), F.lit("Entity").alias("label"))
+    edges = spark.range(0, 400, 8).select(F.concat(F.lit("v"), "id").alias("src"), F.concat(F.lit("v"), F.col("id") + 1).alias("dst"), F.lit("X").alias("type"))
+    expected = {f"v{k}" for k in range(400) if k % 8 < 2}
+    for rows in (10, 1000):  # more ids than that go, then fewer
+        monkeypatch.setattr(graph, "TASK_ROWS", rows)
+        left, kept = graph.delete_nodes(nodes, edges, nodes.select("id"), cascade=False)
+        assert {r["id"] for r in left.collect()} == expected and kept.count() == 50
+        if rows == 10:
+            assert left.rdd.getNumPartitions() == 70
+        else:
+            assert "hashpartitioning" not in left._jdf.queryExecution().toString()
+    none, _ = graph.delete_nodes(nodes.where("false"), edges, nodes.select("id"), cascade=False)
+    assert none.count() == 0
+
+
 def test_statistics(small):
     assert tuple(graph.statistics(*small).first()) == (4, ["x", "y"], 6)
     assert graph.statistics(*small, compat=True).first()["relationships"] == 24
