@@ -7,6 +7,7 @@ one ordered ``aggregate`` in the row, so no shuffle happens for packing.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +19,8 @@ from docweave.operators.store import Store
 
 #: Tokens that a chunk may hold.
 LIMIT = 650
+#: Characters of texts that a task cuts into lines and sorts, on average.
+TASK_CHARS = 4 << 20
 
 
 def pack(pieces: Column, limit: int, joint: str, measure=token_count, empty_first: bool = False) -> Column:
@@ -275,7 +278,12 @@ def header_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     its parent's do not; else its own text is one and its descendants are looked at in turn. A section
     without descendants stays whole, however long it is. Each section in a chunk comes under the full line of its headings.
     As a section never holds more than its parent does, this needs no recursion: its own sums and its parent's decide. Blank chunks are left out; null texts give none.
+
+    Texts are written once and dealt whole, ``TASK_CHARS`` to a task: lines compress so well that partitions of a bounded size on disk are many times as large in memory.
     """
+    docs = Store(docs.sparkSession, "headers").save(docs.select("doc_id", "text").where("text is not null"), "docs")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    docs = docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / TASK_CHARS)), "doc_id")
     whole = token_count(F.col("text")) <= limit
     short = docs.where(whole).select("doc_id", F.lit(0).alias("section"), F.array().cast("array<string>").alias("path"), F.col("text").alias("content"))
     found = header_sections(docs.where(~whole))
@@ -284,11 +292,14 @@ def header_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     upto = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
     taken = F.last(F.when(~F.col("_within") & (F.col("_fits") | F.col("leaf")), F.struct("section", "end", "path")), ignorenulls=True).over(upto)
     found = found.withColumn("_in", taken).withColumn("_in", F.when(F.col("section") < F.col("_in.end"), F.col("_in")))
-    lines_of = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", F.concat("prefix", "body").alias("l")))), lambda x: x["l"]))
-    together = found.where("_in is not null").groupBy("doc_id", F.col("_in.section").alias("section")).agg(F.first("_in.path").alias("path"), strip(F.array_join(lines_of, "\n")).alias("content"))
-    own = strip(F.array_join("body", "\n"))
-    alone = found.where(F.col("_in").isNull() & (own != "")).select("doc_id", "section", "path", F.concat(F.array_join("prefix", "\n\n"), F.lit("\n\n"), own).alias("content"))
-    every = short.unionByName(together).unionByName(alone).where(strip(F.col("content")) != "")
+    # A section that is in none is a group of its own, so both kinds come from one pass over the sections.
+    own, within = strip(F.array_join("body", "\n")), F.col("_in").isNotNull()
+    lines_of = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(within, F.struct("section", F.concat("prefix", "body").alias("l"))))), lambda x: x["l"]))
+    alone = F.when(~within & (own != ""), F.concat(F.array_join("prefix", "\n\n"), F.lit("\n\n"), own))
+    chunks = found.groupBy("doc_id", F.coalesce("_in.section", "section").alias("section")).agg(
+        F.first(F.coalesce("_in.path", "path")).alias("path"), F.when(F.bool_or(within), strip(F.array_join(lines_of, "\n"))).otherwise(F.first(alone)).alias("content"),
+    )
+    every = short.unionByName(chunks).where(strip(F.col("content")) != "")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1
     return every.select("doc_id", place.alias("chunk_id"), "path", "content", token_count(F.col("content")).alias("token_count"))
 

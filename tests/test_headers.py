@@ -77,3 +77,15 @@ def test_header_chunks_are_those_of_the_recursion(spark):
         got.setdefault(r["doc_id"], []).append((r["path"], r["content"]))
     assert got == {k: v for k, v in expected.items() if v}
     assert chunking.header_chunks(docs.where("false")).count() == 0
+
+
+def test_header_chunks_hold_few_texts_a_task(spark, monkeypatch):
+    section = "\n".join(f"{'#' * (1 + k % 3)} Part {k}\n" + "some words " * (3 + k) for k in range(12))
+    docs = spark.createDataFrame([(k, f"text {k}\n{section}" if k % 2 else f"short {k}") for k in range(60)] + [(None, section), (99, None)], "doc_id long, text string")
+    rows = lambda found: sorted(map(str, found.collect()))
+    whole = rows(chunking.header_chunks(docs, 60))
+    monkeypatch.setattr(chunking, "TASK_CHARS", 2000)
+    found = chunking.header_chunks(docs, 60)
+    chars = sum(len(r["text"] or "") for r in docs.collect())
+    assert found.rdd.getNumPartitions() == -(-chars // 2000) > spark.sparkContext.defaultParallelism
+    assert rows(found) == whole and len({r["doc_id"] for r in found.collect()}) == 61
