@@ -63,11 +63,16 @@ def word_places(text: Column, dimension: int = DIMENSION) -> Column:
 
 
 def _counted(text: Column, dimension: int, finish: Callable[[Column, Column], Column]) -> Column:
-    """What ``finish`` makes of a text's count of words in each component, taken in one pass, and of the counts' length."""
-    none = F.array_repeat(F.lit(0.0), dimension)
-    add = lambda counts, p: F.transform(counts, lambda x, i: F.when(i == p, x + 1.0).otherwise(x))
+    """What ``finish`` makes of a text's count of words in each component, and of the counts' length.
+
+    Places are sorted, each component and the one after the last once more among them, so that a count is how far
+    the next component's first place is away; a word costs a sort's steps and not a walk over all components.
+    """
+    first = lambda x: F.array_compact(F.transform(x, lambda p, i: F.when((i == 0) | (F.get(x, i - 1) < p), i)))
+    count = lambda at: F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda k: (F.get(at, k) - F.get(at, k - 1) - 1).cast("double"))
     length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.aggregate(word_places(text, dimension), none, add, lambda counts: let(length(counts), lambda n: finish(counts, n)))
+    places = F.sort_array(F.concat(word_places(text, dimension), F.sequence(F.lit(0), F.lit(dimension))))
+    return let(let(let(places, first), count), lambda counts: let(length(counts), lambda n: finish(counts, n)))
 
 
 def embed_one(text: Column, dimension: int = DIMENSION) -> Column:

@@ -1,5 +1,10 @@
 """Chunking of mixed documents, merging of sections, extraction, creation and sinks on small hand-checked inputs."""
 
+import hashlib
+import math
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +177,25 @@ def test_small_text_functions(spark):
     assert one(spark, t.fill("{a}-{b}-{a}", a=F.col("c0"), b=F.lit(None)), "x") == "x--x"
 
 
+def test_embedding_costs_a_word_no_walk_over_all_components(spark):
+    text = " ".join(f"word{k % 700}" for k in range(30_000))
+    docs = spark.createDataFrame([(text,), ("",), (None,), ("One one two",)], "text string").coalesce(1).cache()
+    docs.count()
+
+    def timed(dimension):
+        began = time.perf_counter()
+        got = [r["v"] for r in docs.select(models.embed(F.col("text"), dimension).alias("v")).collect()]
+        return time.perf_counter() - began, got
+
+    timed(64)
+    (few, _), (many, got) = timed(64), timed(4096)
+    assert many < 10 * few + 5
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 4096
+    for found, words in zip(got, (text.split(), [], [], ["one", "one", "two"]), strict=True):
+        counts = np.bincount([place(w) for w in words], minlength=4096).astype(float) if words else np.zeros(4096)
+        assert found == (counts / (math.sqrt((counts**2).sum()) or 1.0)).tolist()
+
+
 def test_captions_return(spark):
     rows = docs(spark, "# Head\nfirst part\nsecond words follow here", "no place", "has [IMAGE_DESCRIPTION]: known")
     lost = spark.createDataFrame([(0, 1, "one", "", "Second words follow there"), (0, 2, "two", "first part", "absent phrase"), (1, 1, "three", "?", "?"), (2, 1, "known", "", "")], "doc_id long, image int, description string, context_before string, context_after string")
