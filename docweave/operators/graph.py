@@ -59,7 +59,13 @@ def paths(edges: DataFrame, seeds: DataFrame, least: int, most: int) -> DataFram
     return reduce(DataFrame.unionByName, found)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = False, targets: DataFrame | None = None) -> DataFrame:
+def steps(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """``node, _next``: each step of a search once; an edge that ends where it begins is none."""
+    both = edges.select("src", "dst") if directed else both_ways(edges.select("src", "dst"))
+    return both.where("src <> dst").distinct().select(F.col("src").alias("node"), F.col("dst").alias("_next"))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = False, targets: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """``seed, node, hops`` of every node within ``most`` hops, with its least number of hops.
 
     A breadth-first search of all seeds at once: each hop joins the frontier with
@@ -69,15 +75,19 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = Fa
     With ``targets(node)`` only these are found. How far every node is from its next target is known
     first, by one search from all targets together, with one row a node; a hop then goes only to nodes from
     which the hops that are left can lead to a target; so in the last hop many seeds at one busy node do not each list its neighbours.
+    Edges that lead on to no target are left out once, before the first hop.
+
+    ``links`` are those of ``steps(edges, ...)`` where several searches of one graph share them.
     """
     store = Store(edges.sparkSession, "reach")
-    links = edges.select("src", "dst") if directed else both_ways(edges.select("src", "dst"))
-    links = store.save(links.where("src <> dst").distinct().select(F.col("src").alias("node"), F.col("dst").alias("_next")), "links")
-    ahead = None if targets is None else _hops_to(links, targets, most - 1, store)
+    links = store.save(steps(edges, directed), "links") if links is None else links
+    if targets is not None:
+        ahead = _hops_to(links, targets, most - 1, store)
+        links = store.save(links.join(ahead.select(F.col("node").alias("_next"), "left"), "_next"), "useful")
     frontier = store.save(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("hops", F.lit(0)), "hop0")
     seen = frontier
     for hops in range(1, most + 1):
-        useful = links if ahead is None else links.join(ahead.where(F.col("left") <= most - hops).select(F.col("node").alias("_next")), "_next", "left_semi")
+        useful = links if targets is None else links.where(F.col("left") <= most - hops)
         further = frontier.join(useful, "node").select("seed", F.col("_next").alias("node")).distinct()
         frontier = store.save(further.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hops)), f"hop{hops}")
         if frontier.isEmpty():

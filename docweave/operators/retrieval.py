@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import iso_stamp, token_count, words
-from docweave.operators.graph import both_ways, first_of, merge, reachable
+from docweave.operators.graph import both_ways, first_of, merge, reachable, steps
 from docweave.operators.models import extractive_answer
 from docweave.operators.store import Store
 from docweave.operators.vectors import SEMANTIC, batch_topk, hybrid_topk, scoped, semantic_topk, vector
@@ -101,18 +101,18 @@ def lift_scored(hits: DataFrame, parents: DataFrame, related: DataFrame, k: int
     return out.select("node", "inherited_from", (F.col("semantic_score") * rate).alias("semantic_score"), "keyword_score", F.lit(0.05).alias("type_bonus"), "content_bonus", F.col("score").alias("combined_score"))
 
 
-def chunks_of(edges: DataFrame, nodes: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
+def chunks_of(edges: DataFrame, nodes: DataFrame, targets: DataFrame, hops: int, links: DataFrame | None = None) -> DataFrame:
     """``target, chunk, hops`` of all chunks within so many undirected hops of ``targets(id)``.
 
-    Walks in both directions find the same pairs, so the search starts at the side with fewer nodes: at
-    the targets, or at the chunks.
+    Walks in both directions find the same pairs, so the search starts at the side with fewer nodes, at
+    the targets or at the chunks, and goes only where the other side can still be met. ``links`` as for ``reachable``.
     """
     chunks, targets = nodes.where("label = 'Chunk'").select("id"), targets.select("id").distinct()
     if targets.count() <= chunks.count():
-        found = reachable(edges, targets.select(F.col("id").alias("seed")), hops)
-        return found.join(chunks.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("seed").alias("target"), F.col("node").alias("chunk"), "hops")
-    found = reachable(edges, chunks.select(F.col("id").alias("seed")), hops)
-    return found.join(targets.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("target"), F.col("seed").alias("chunk"), "hops")
+        found = reachable(edges, targets.select(F.col("id").alias("seed")), hops, targets=chunks.select(F.col("id").alias("node")), links=links)
+        return found.select(F.col("seed").alias("target"), F.col("node").alias("chunk"), "hops")
+    found = reachable(edges, chunks.select(F.col("id").alias("seed")), hops, targets=targets.select(F.col("id").alias("node")), links=links)
+    return found.select(F.col("node").alias("target"), F.col("seed").alias("chunk"), "hops")
 
 
 def context_of_document(nodes: DataFrame, edges: DataFrame, document: str, budget: int = 900_000, hops: int = 10) -> DataFrame:
@@ -150,10 +150,11 @@ def profile_hits(nodes: DataFrame, edges: DataFrame, document: str, queries: Dat
     """
     spark, store = nodes.sparkSession, Store(nodes.sparkSession, "profile")
     start = spark.createDataFrame([(document,)], nodes.select(F.col("id").alias("seed")).schema)
-    found = reachable(edges, start, hops).select(F.col("node").alias("id")).distinct()
+    links = store.save(steps(edges), "links")
+    found = reachable(edges, start, hops, links=links).select(F.col("node").alias("id")).distinct()
     near = nodes.where("label in ('Chunk', 'Description')").join(found, "id").select("id", "label", vector("embedding", "embeddings").alias("embedding")).where("embedding is not null")
     near = store.save(near, "near")
-    of_text = store.save(chunks_of(edges, nodes, near.where("label = 'Description'").select("id"), chunk_hops).select(F.col("target").alias("hit"), "chunk"), "of_text")
+    of_text = store.save(chunks_of(edges, nodes, near.where("label = 'Description'").select("id"), chunk_hops, links).select(F.col("target").alias("hit"), "chunk"), "of_text")
     labels, total, depth = near.select(F.col("id").alias("hit"), "label"), near.count(), DEPTH * k
     while True:
         scored = batch_topk(near, queries.select("question", "embedding"), min(depth, max(total, 1))).select("question", F.col("id").alias("hit"), F.col("similarity").alias("score")).join(labels, "hit")

@@ -119,6 +119,25 @@ def test_strict_deletion_holds_few_rows_a_task(spark, monkeypatch):
     assert none.count() == 0
 
 
+def test_chunks_of_many_targets_list_no_dead_ends(spark, monkeypatch):
+    tree = [("d", f"k{c}") for c in range(5)] + [(f"k{c}", f"e{c}{e}") for c in range(5) for e in range(10)]
+    tree += [(f"e{c}{e}", f"i{c}{e}{i}") for c in range(5) for e in range(10) for i in range(10)]
+    edges = spark.createDataFrame(tree, "src string, dst string").withColumn("type", F.lit("CONTAINS"))
+    nodes = spark.createDataFrame([(f"k{c}", "Chunk") for c in range(5)], "id string, label string")
+    targets = spark.createDataFrame([(f"e{c}{e}",) for c in range(5) for e in range(2)], "id string")
+    sizes, save = {}, graph.Store.save
+
+    def counted(store, df, name):
+        out = save(store, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(graph.Store, "save", counted)
+    got = {tuple(r) for r in retrieval.chunks_of(edges, nodes, targets, 6).collect()}
+    assert got == {(f"e{c}{e}", f"k{k}", 1 if c == k else 3) for c in range(5) for e in range(2) for k in range(5)}
+    assert max(n for name, n in sizes.items() if name.startswith("hop")) <= 600  # 2,000 in the fourth hop with all dead ends
+
+
 def test_statistics(small):
     assert tuple(graph.statistics(*small).first()) == (4, ["x", "y"], 6)
     assert graph.statistics(*small, compat=True).first()["relationships"] == 24
