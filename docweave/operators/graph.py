@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.operators.store import Store
@@ -77,7 +77,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int, directed: bool = Fa
     which the hops that are left can lead to a target; so in the last hop many seeds at one busy node do not each list its neighbours.
     Edges that lead on to no target are left out once, before the first hop.
 
-    ``links`` are those of ``steps(edges, ...)`` where several searches of one graph share them.
+    ``links`` are those of ``steps(edges, ...)``, or of ``trimmed``, where several searches of one graph share them.
     """
     store = Store(edges.sparkSession, "reach")
     links = store.save(steps(edges, directed), "links") if links is None else links
@@ -109,6 +109,27 @@ def _hops_to(links: DataFrame, targets: DataFrame, most: int, store: Store) -> D
     return seen
 
 
+def trimmed(edges: DataFrame, keep: DataFrame, rounds: int = 2) -> DataFrame:
+    """``node, _next`` as of ``steps``, without those that no shortest walk between two nodes of ``keep(id)`` takes because they end at a leaf.
+
+    A leaf is a node at one edge only. Unless it is kept it leads from nothing to nothing else, so its edge goes; so does, a round
+    later, what has become a leaf by that. Numbers of hops between kept nodes stay. Each round counts edges by node, and holds them
+    against the nodes that stay, first by their ends: edges lead to what is contained, so most leaves are there and few edges
+    are left for the starts. Repeated edges only keep a leaf for the first round. Tasks hold ``TASK_ROWS`` rows on average.
+    """
+    store, left = Store(edges.sparkSession, "trim"), edges.select("src", "dst")
+    for n in range(rounds):
+        counted = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
+        stay = store.save(counted.where("n > 1").select("id").unionByName(keep.select("id")), f"stay{n}")
+        few, tasks = (rows := stay.count()) <= TASK_ROWS, _tasks(edges.sparkSession, left.count() + rows)
+        for end in ("dst", "src"):
+            ids = stay.select(F.col("id").alias(end))
+            left = left.join(ids, end, "left_semi") if few else left.repartition(tasks, end).join(ids.repartition(tasks, end), end, "left_semi")
+        pairs = left.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        left = store.save(pairs.distinct(), f"pairs{n}")
+    return both_ways(left).select(F.col("src").alias("node"), F.col("dst").alias("_next"))
+
+
 def lift(hits: DataFrame, parents: DataFrame, factor: float) -> DataFrame:
     """Hits ``node, score`` moved to their ``parents(node, parent)`` at a reduced score."""
     return hits.join(parents, "node").select(F.col("parent").alias("node"), F.col("node").alias("inherited_from"), (F.col("score") * factor).alias("score"))
@@ -157,10 +178,14 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame, cascade: bo
 
 def _lacking(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not in ``others``; as many tasks as it takes for each to hold ``TASK_ROWS`` rows on average."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil((rows.count() + others.count()) / TASK_ROWS))
+    tasks = _tasks(rows.sparkSession, rows.count() + others.count())
     return rows.repartition(tasks, key).join(others.repartition(tasks, key), key, "left_anti")
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
 def distinct_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
     """The first edge of each source, target and type."""
     return first_of(edges, ["src", "dst", "type"], order)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import iso_stamp, token_count, words
-from docweave.operators.graph import both_ways, first_of, merge, reachable, steps
+from docweave.operators.graph import both_ways, first_of, merge, reachable, trimmed
 from docweave.operators.models import extractive_answer
 from docweave.operators.store import Store
 from docweave.operators.vectors import SEMANTIC, batch_topk, hybrid_topk, scoped, semantic_topk, vector
@@ -144,16 +144,17 @@ def profile_hits(nodes: DataFrame, edges: DataFrame, document: str, queries: Dat
 
     All vectors within ``hops`` of the document are ranked for each question of
     ``queries(question, embedding)``; a Description leads to the chunks within
-    ``chunk_hops`` of it. Reach is computed once for all questions, and questions
-    meet vectors block by block. Vectors are ranked no deeper than it takes to find ``k`` chunks for every
+    ``chunk_hops`` of it. Reach is computed once for all questions, over a graph without the branches
+    that hold neither chunk nor vector, and questions meet vectors block by block. Vectors are ranked no deeper than it takes to find ``k`` chunks for every
     question: first ``DEPTH`` times ``k``, then ``DEPTH`` times as deep, and so on.
     """
     spark, store = nodes.sparkSession, Store(nodes.sparkSession, "profile")
     start = spark.createDataFrame([(document,)], nodes.select(F.col("id").alias("seed")).schema)
-    links = store.save(steps(edges), "links")
+    asked = nodes.where("label in ('Chunk', 'Description')").select("id", "label", vector("embedding", "embeddings").alias("embedding"))
+    asked = store.save(asked.where("label = 'Chunk' or embedding is not null"), "asked")
+    links = trimmed(edges, asked.select("id").unionByName(start.select(F.col("seed").alias("id"))))
     found = reachable(edges, start, hops, links=links).select(F.col("node").alias("id")).distinct()
-    near = nodes.where("label in ('Chunk', 'Description')").join(found, "id").select("id", "label", vector("embedding", "embeddings").alias("embedding")).where("embedding is not null")
-    near = store.save(near, "near")
+    near = store.save(asked.where("embedding is not null").join(found, "id"), "near")
     of_text = store.save(chunks_of(edges, nodes, near.where("label = 'Description'").select("id"), chunk_hops, links).select(F.col("target").alias("hit"), "chunk"), "of_text")
     labels, total, depth = near.select(F.col("id").alias("hit"), "label"), near.count(), DEPTH * k
     while True:

@@ -138,6 +138,45 @@ def test_chunks_of_many_targets_list_no_dead_ends(spark, monkeypatch):
     assert max(n for name, n in sizes.items() if name.startswith("hop")) <= 600  # 2,000 in the fourth hop with all dead ends
 
 
+@pytest.mark.parametrize("rows", [1 << 19, 10])
+def test_trimmed_links_keep_the_hops_between_kept_nodes(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "TASK_ROWS", rows)
+    rng = np.random.default_rng(3)
+    for n, some in ((40, 38), (6, 4)):
+        pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, n, (some, 2))] + [("n0", None), (None, "n1"), ("n2", "n2"), ("n0", "n1"), ("n1", "n0")]
+        edges = spark.createDataFrame(pairs, "src string, dst string")
+        keep = [f"n{k}" for k in range(0, n, 5)] + ["alone"]
+        seeds = spark.createDataFrame([(k,) for k in keep], "seed string")
+        whole = {tuple(r) for r in graph.reachable(edges, seeds, 5).collect() if r["node"] in keep}
+        for rounds in (1, 2):
+            links = graph.trimmed(edges, seeds.select(F.col("seed").alias("id")), rounds)
+            assert {tuple(r) for r in graph.reachable(edges, seeds, 5, links=links).collect() if r["node"] in keep} == whole
+            assert {tuple(r) for r in links.collect()} <= {tuple(r) for r in graph.steps(edges).collect()} and links.count() == links.distinct().count()
+
+
+def test_profiles_search_no_branch_without_vectors(spark, monkeypatch):
+    """Items below descriptions, and descriptions without vectors, lead to nothing: items are in no table that is written."""
+    tree = [("d", f"k{c}") for c in range(3)] + [(f"k{c}", f"e{c}{e}") for c in range(3) for e in range(20)]
+    tree += [(f"e{c}{e}", f"i{c}{e}{i}") for c in range(3) for e in range(20) for i in range(20)]
+    edges = spark.createDataFrame(tree, "src string, dst string").withColumn("type", F.lit("CONTAINS"))
+    vectors = {f"e{c}{e}": [1.0, c + e / 10] for c in range(3) for e in range(2)}
+    kinds = {"d": "Document", "k": "Chunk", "e": "Description", "i": "Item"}
+    rich = [(n, kinds[n[0]], vectors.get(n)) for n in sorted({x for edge in tree for x in edge})]
+    nodes = spark.createDataFrame(rich, "id string, label string, embedding array<double>").withColumn("embeddings", F.lit(None).cast("array<double>"))
+    sizes, save = {}, graph.Store.save
+
+    def counted(store, df, name):
+        out = save(store, df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph.Store, "save", counted)
+    asked = spark.createDataFrame([(1, [0.0, 1.0])], "question int, embedding array<double>")
+    got = {(r["hit"], r["chunk"]) for r in retrieval.profile_hits(nodes, edges, "d", asked, 3).collect()}
+    assert got == {("e21", "k0"), ("e21", "k1"), ("e21", "k2")}
+    assert max(sizes.values()) <= 200, sizes  # 2,526 links with all items
+
+
 def test_statistics(small):
     assert tuple(graph.statistics(*small).first()) == (4, ["x", "y"], 6)
     assert graph.statistics(*small, compat=True).first()["relationships"] == 24
