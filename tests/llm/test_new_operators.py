@@ -153,6 +153,18 @@ def test_equal_strings_have_equal_anchors():
     assert all(at[s] == first[s] for s in range(101))
 
 
+def test_equal_strings_have_equal_anchors_in_pieces_of_any_length(monkeypatch):
+    """Hashes that differ in their low bits only: a long piece may not cut more of them than a short one."""
+    whole = suffix_dedup.Sums.of
+    monkeypatch.setattr(suffix_dedup.Sums, "of", lambda self, start, end: whole(self, start, end) >> np.uint64(52))
+    data = np.random.default_rng(8).integers(97, 101, 5000).astype(np.uint8)
+    found = []
+    for part in (data[:500], data):
+        runs = suffix_dedup.Runs(part, np.ones(len(part) - 399, bool), 400, 100)
+        found.append([a - s for low, high, a in zip(runs.low.tolist(), runs.high.tolist(), runs.anchor.tolist(), strict=True) for s in range(low, high + 1)][:101])
+    assert found[0] == found[1]
+
+
 def test_query_of_repeats(spark, sf_dir):
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op12_suffix_dedup"](spark, sf_dir).collect()}
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
