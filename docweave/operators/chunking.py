@@ -8,14 +8,16 @@ one ordered ``aggregate`` in the row, so no shuffle happens for packing.
 from __future__ import annotations
 
 import math
-from functools import reduce
+import re
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import has_pipe_table, is_empty_heading, is_table, make_id, markdown_heading, sentences, strip, token_count, words
-from docweave.operators.store import Store
+from docweave.operators.store import Store, bound_batches
 
 #: Tokens that a chunk may hold.
 LIMIT = 650
@@ -366,53 +368,111 @@ def best_splits(docs: DataFrame, limit: int = LIMIT, share: float = 0.75) -> Dat
     return best.select("doc_id", (-F.col("b._p")).alias("position"), F.col("b.score").alias("score"))
 
 
-def _best_places(docs: DataFrame, limit: int, shares: tuple[float, ...]) -> DataFrame:
-    """``doc_id, at_0, at_1 ..``: what ``best_splits`` finds for several shares, with the points found once."""
-    long = docs.where(token_count(F.col("text")) > limit)
-    targets = long.select("doc_id", *[F.floor(F.length("text") * int(limit * share) / token_count(F.col("text"))).alias(f"t{k}") for k, share in enumerate(shares)])
-    near = split_points(long).join(targets, "doc_id")
-
-    def best(k: int) -> Column:
-        target = F.col(f"t{k}")
-        score = F.when(F.col("position").between(target * 0.3, target * 1.5), F.col("priority") * (1 - F.abs(F.col("position") - target) / target))
-        return (-F.max(F.when(score > -1, F.struct(score.alias("s"), (-F.col("position")).alias("p"))))["p"]).alias(f"at_{k}")
-
-    return near.groupBy("doc_id").agg(*[best(k) for k in range(len(shares))])
-
-
-def split_long(docs: DataFrame, limit: int = LIMIT, rounds: int = 20) -> DataFrame:
+#: Line ends that ``strip`` keeps but ``$`` in a pattern looks past.
+_ENDS = ("\x85", "\u2028", "\u2029")
+_CONTENTS = re.compile("contents", re.I | re.A)
+_ENTRY_BEGINS = re.compile(r"\[[^\[\]]*\Z")
+_ENTRY = re.compile(r"\[[^\]]+\]\s*\[[^\]]+\]\([^)]+\)", re.A)
+_ITEM = re.compile(r"([-*+]|[0-9]+\.)\s", re.A)
+_SENTENCE = re.compile(r"[.!?][\x85\u2028\u2029]?\Z")
+
+
+def _stripped(text: str) -> str:
+    """``strip`` of a text in Python."""
+    end = text[-1:] if text.endswith(_ENDS) else ""
+    return text[: len(text) - len(end)].strip(" \t\n\x0b\f\r") + end
+
+
+def _points(lines: list[str], first: str, k: int, starts: list[int], begin: int, until: float) -> Iterator[tuple[int, int]]:
+    """``position, priority`` of ``split_points`` for what is left of a text from ``begin`` on, up to a position; line ``k`` is the first, as far as it is left."""
+    toc = unfinished = False
+    soon = lambda n: next((x for x in lines[k + 1 : k + 1 + n] if x), "[")
+    while k < len(lines) and (before := max(starts[k] - begin, 0)) <= until:
+        t, after = lines[k] if starts[k] >= begin else first, starts[k + 1] - begin
+        named, heads = _CONTENTS.search(t) is not None, t.startswith("#")
+        leaves = t == "" and not soon(2).startswith("[")
+        toc = named or (toc and not heads and not leaves)
+        if named or heads or leaves:
+            unfinished = False
+        elif toc and _ENTRY_BEGINS.match(t):
+            unfinished = True
+        elif toc and (t.endswith(")") or "](" in t or _ENTRY.match(t)):
+            unfinished = False
+        if not toc and t == "" and k + 1 < len(lines):
+            yield after, 100
+        elif not toc and heads:
+            yield before, 90
+        elif toc and t == "" and not unfinished:
+            if not soon(3).startswith("["):
+                yield after, 95
+        elif not toc and _ITEM.match(t):
+            yield before, 80
+        elif not unfinished:
+            yield after, 15 if toc else 70 if _SENTENCE.search(t) else 60 if t.endswith(":") else 30
+        k += 1
+
+
+def _cuts(text: str, limit: int, shares: tuple[float, ...] = (0.75, 0.6)) -> Iterator[int]:
+    """Where ``split_long`` cuts a text, in order. A cut looks at the lines near it only, so the work grows with the text."""
+    begin, k, size = 0, 0, len(text)
+    if size // 4 <= limit:
+        return
+    lines = text.split("\n")
+    starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    lines = [_stripped(x) for x in lines]
+
+    def at_line(at: int) -> int:
+        """The end of the last line before a place, or the place if there is no such line."""
+        back = text.rfind("\n", begin, begin + at) - begin
+        return back + 1 if back > 0 else at
+
+    while (tokens := (size - begin) // 4) > limit:
+        while starts[k + 1] <= begin:
+            k += 1
+        targets = [(size - begin) * int(limit * share) // tokens for share in shares]
+        until, points = max(targets) * 1.5, []
+        if starts[k + 1] - begin <= until:  # else no place is near
+            points = list(_points(lines, _stripped(text[begin : starts[k + 1] - 1]), k, starts, begin, until))
+        tried = []
+        for target in targets:
+            scored = [(priority * (1 - abs(at - target) / target), -at) for at, priority in points if target * 0.3 <= at <= target * 1.5 and at > 0]
+            tried.append(-max(scored)[1] if scored else max(at_line(target), 1))
+        tried.append(at_line((size - begin) * limit // (2 * tokens)))
+        at = next((x for x in tried if x > 0 and len(_stripped(text[begin : begin + x])) // 4 <= limit), max((size - begin) // 3, 1))
+        begin += at
+        if begin >= size:
+            return
+        yield begin
+
+
+def long_parts(text: Column, limit: int = LIMIT) -> Column:
+    """The parts of ``split_long`` for a text, as an array; a null text is one null part."""
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        def one(x: str | None) -> list[str | None]:
+            if x is None:
+                return [None]
+            cuts = list(_cuts(x, limit))
+            return [x[a:b] for a, b in zip([0, *cuts], [*cuts, len(x)], strict=True)]
+
+        return texts.map(one)
+
+    return parts(text)
+
+
+def split_long(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id, part, content`` of texts split again and again where that is best, until the rest is within the limit.
 
-    Each round cuts one part off the front of every text that is still too long, at
+    Each step cuts one part off the front of a text that is still too long, at
     three quarters of the limit or, where that part would be too long, at 60 %. Without
     a place to split it cuts at the last line break before that length, or there. A part that is
-    still too long gives way to half the limit, and that to a third of the text. What
-    is left after the last round stays whole.
+    still too long gives way to half the limit, and that to a third of the text. There is no bound on
+    the number of parts. Places are those of ``best_splits`` for what is left. Each row is split by itself, so
+    repeated or null ids do no harm.
     """
-    store, parts = Store(docs.sparkSession, "split"), []
-    rest = docs.select("doc_id", "text")
-    head = lambda at: F.substring("text", F.lit(1), at.cast("int"))
-    fits = lambda at: token_count(strip(head(at))) <= limit
-
-    def at_line(at: Column) -> Column:
-        """The end of the last line before a place, or the place if there is no such line."""
-        back = F.locate("\n", F.reverse(head(at)))
-        return F.when((back > 0) & (at - back > 0), at - back + 1).otherwise(at).cast("long")
-
-    for part in range(rounds):
-        cut = rest.join(_best_places(rest, limit, (0.75, 0.6)), "doc_id", "left")
-        size = token_count(F.col("text"))
-        place = lambda k, share: F.coalesce(F.when(F.col(f"at_{k}") > 0, F.col(f"at_{k}")), F.greatest(at_line(F.floor(F.length("text") * int(limit * share) / size)), F.lit(1)))
-        cut = cut.withColumn("_long", size > limit).withColumn("_a", F.when(F.col("_long"), place(0, 0.75))).withColumn("_b", F.when(F.col("_long"), place(1, 0.6)))
-        half = at_line(F.floor(F.length("text") * limit / (2 * size)))
-        at = F.when(fits(F.col("_a")), F.col("_a")).when(fits(F.col("_b")), F.col("_b")).when((half > 0) & fits(half), half).otherwise(F.greatest(F.floor(F.length("text") / 3), F.lit(1)))
-        at = F.when(F.col("_long") & (at < F.length("text")), at)
-        cut = store.save(cut.withColumn("at", at).select("doc_id", "text", "at"), f"round{part}")
-        parts.append(cut.select("doc_id", F.lit(part).alias("part"), F.when(F.col("at").isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("at").cast("int"))).alias("content")))
-        rest = cut.where("at is not null").select("doc_id", F.substring("text", F.col("at").cast("int") + 1, F.length("text")).alias("text"))
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-    return reduce(DataFrame.unionByName, [*parts, rest.select("doc_id", F.lit(rounds).alias("part"), F.col("text").alias("content"))])
+    bound_batches(docs.sparkSession)
+    return docs.select("doc_id", F.posexplode(long_parts(F.col("text"), limit)).alias("part", "content"))
 
 
 def headed_sections(docs: DataFrame) -> DataFrame:
@@ -499,16 +559,13 @@ def split_oversized(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     Further columns: ``split_from`` (the section's position), ``part`` ("2/3") and ``original_length`` of split ones.
     """
-    parts = Store(parts.sparkSession, "oversized").save(parts, "parts")  # read three times
+    bound_batches(parts.sparkSession)
+    parts = Store(parts.sparkSession, "oversized").save(parts, "parts")  # read twice
     long = F.col("length").cast("int") > limit
     whole = parts.where(~long | F.col("is_table")).withColumns({"split_from": F.lit(None).cast("int"), "part": F.lit(None).cast("string"), "original_length": F.lit(None).cast("int"), "_part": F.lit(0)})
-    cut = parts.where(long & ~F.col("is_table"))
-    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("position").cast("string"))
-    texts = split_long(cut.select(key.alias("doc_id"), F.col("content").alias("text")), limit).withColumn("content", strip(F.col("content"))).where("content <> ''")
-    texts = texts.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("part")))
-    pieces = texts.select(F.col("doc_id").alias("_key"), F.col("content").alias("_content"), F.col("_k"), F.col("_n"))
-    out = cut.withColumn("_key", key).join(pieces, "_key").withColumns({"split_from": F.col("position"), "part": F.concat_ws("/", F.col("_k").cast("string"), F.col("_n").cast("string")), "original_length": F.col("length"), "_part": F.col("_k")})
-    out = out.withColumn("content", F.col("_content")).withColumn("length", token_count(F.col("content")))
+    cut = parts.where(long & ~F.col("is_table")).withColumn("_texts", F.filter(F.transform(long_parts(F.col("content"), limit), strip), lambda x: x != ""))
+    out = cut.select("*", F.posexplode("_texts").alias("_k", "_text")).withColumns({"split_from": F.col("position"), "part": F.concat_ws("/", (F.col("_k") + 1).cast("string"), F.size("_texts").cast("string")), "original_length": F.col("length"), "_part": F.col("_k")})
+    out = out.withColumn("content", F.col("_text")).withColumn("length", token_count(F.col("content")))
     out = whole.unionByName(out.select(*whole.columns))
     place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "_part")) - 1).cast("int")
     return out.withColumn("position", place).drop("_part")
