@@ -131,17 +131,28 @@ def has_pipe_table(text: Column) -> Column:
 
 def is_table(text: Column) -> Column:
     """Whether text is a table: a grid, aligned pipe rows, or pipe rows with a separator line."""
-    lines = F.split(strip(text), "\n")
-    piped = F.filter(lines, lambda x: F.contains(x, F.lit("|")))
-    grid = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-+=|][-+=| \t]*$") & x.rlike(r"[+=]"))) >= 2
-    separator = F.exists(lines, lambda x: x.rlike(r"^[-| \t:]*$") & F.contains(x, F.lit("|")) & F.contains(x, F.lit("-")))
+    once = lambda x, then: F.get(F.transform(F.array(x), then), F.lit(0))
 
     def places(line: Column) -> Column:
-        return F.filter(F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.when(F.substring(line, i, F.lit(1)) == "|", i)), lambda i: i.isNotNull())
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
-    first = places(F.get(piped, F.lit(0)))
-    aligned = (F.size(piped) >= 3) & F.exists(F.slice(piped, 2, 4), lambda x: F.size(F.array_intersect(places(x), first)) * 2 >= F.size(F.array_distinct(first)))
-    return F.coalesce((F.size(lines) >= 2) & (grid | ((F.size(piped) >= 2) & (aligned | separator))), F.lit(False))
+        def step(state: Column, part: Column) -> Column:
+            at = state["at"] + F.length(part) + 1
+            return F.struct(at.alias("at"), F.array_append(state["found"], at).alias("found"))
+
+        # What stands before the first mark, between two of them, and behind the last one.
+        return F.aggregate(F.split(line, r"\|", -1), start, step, lambda s: F.slice(s["found"], F.lit(1), F.size(s["found"]) - 1))
+
+    def piped(lines: Column, rows: Column) -> Column:
+        separator = F.exists(lines, lambda x: x.rlike(r"^[-| \t:]*$") & F.contains(x, F.lit("|")) & F.contains(x, F.lit("-")))
+        aligned = once(places(F.get(rows, F.lit(0))), lambda first: F.exists(F.slice(rows, 2, 4), lambda x: F.size(F.array_intersect(places(x), first)) * 2 >= F.size(first)))
+        return (F.size(rows) >= 2) & (separator | ((F.size(rows) >= 3) & aligned))
+
+    def table(lines: Column) -> Column:
+        grid = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-+=|][-+=| \t]*$") & x.rlike(r"[+=]"))) >= 2
+        return (F.size(lines) >= 2) & (grid | once(F.filter(lines, lambda x: F.contains(x, F.lit("|"))), lambda rows: piped(lines, rows)))
+
+    return F.coalesce(once(F.split(strip(text), "\n"), table), F.lit(False))
 
 
 def is_empty_heading(text: Column) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -505,7 +506,32 @@ def effective_level(content: Column, level: Column) -> Column:
     return F.when((level > 1) & F.exists(pairs, lambda x: x), level - 1).otherwise(level)
 
 
-_MERGED = "doc_id {kind}, position int, level int, path array<string>, content string, length int, is_table boolean, merged_from array<int>, merge_count int"
+def _groups(levels: list[int], paths: list[list[str]], size: list[int], limit: int) -> list[list[int]]:
+    """The sections of a document that become one, by their places, as ``merge_sections`` says; ``size`` is changed."""
+    children: dict[int, list[int]] = {k: [] for k in range(-1, len(levels))}
+    open_nodes: list[int] = []
+    for k, (level, path) in enumerate(zip(levels, paths, strict=True)):
+        while open_nodes and not (levels[open_nodes[-1]] < level and path[: levels[open_nodes[-1]]] == paths[open_nodes[-1]][: levels[open_nodes[-1]]]):
+            open_nodes.pop()
+        children[open_nodes[-1] if open_nodes else -1].append(k)
+        open_nodes.append(k)
+    groups = {k: [k] for k in range(len(levels))}  # the sections that now are one with k
+    for k in range(len(levels) - 1, -2, -1):  # a parent comes before its children, so these are done
+        kept: list[int] = []
+        for child in children[k]:
+            last = kept[-1] if kept else None
+            same = last is not None and not children[child] and not children[last] and levels[last] == levels[child] and paths[last][: levels[last] - 1] == paths[child][: levels[child] - 1]
+            if same and size[last] + size[child] <= limit:
+                groups[last] += groups.pop(child)
+                size[last] += size[child]
+            else:
+                kept.append(child)
+        children[k] = kept
+        if k >= 0 and len(kept) == 1 and not children[kept[0]] and size[k] + size[kept[0]] <= limit:
+            groups[k] += groups.pop(kept[0])
+            size[k] += size[kept[0]]
+            children[k] = []
+    return [members for _, members in sorted(groups.items())]
 
 
 def merge_sections(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -514,44 +540,28 @@ def merge_sections(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     Sections form a tree: a section's parent is the nearest one before it of a lower level whose
     headings its own begin with. From the leaves up, neighbouring children without children of their own become one
     section while their lengths add up to no more than the limit; a parent takes in its child if it
-    has a single one, without children. Merged lengths are sums. One task holds the sections of one document.
+    has a single one, without children. Merged lengths are sums. One row holds the sections of one document.
     """
-    leveled = parts.withColumn("_level", effective_level(F.col("content"), F.col("level")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position").reset_index(drop=True)
-        levels, paths = rows["_level"].tolist(), [tuple(p) for p in rows["path"]]
-        children: dict[int, list[int]] = {k: [] for k in range(-1, len(rows))}
-        open_nodes: list[int] = []
-        for k, (level, path) in enumerate(zip(levels, paths, strict=True)):
-            while open_nodes and not (levels[open_nodes[-1]] < level and path[: levels[open_nodes[-1]]] == paths[open_nodes[-1]][: levels[open_nodes[-1]]]):
-                open_nodes.pop()
-            children[open_nodes[-1] if open_nodes else -1].append(k)
-            open_nodes.append(k)
-        groups = {k: [k] for k in range(len(rows))}  # the sections that now are one with k
-        size = rows["length"].tolist()
-        for k in range(len(rows) - 1, -2, -1):  # a parent comes before its children, so these are done
-            kept: list[int] = []
-            for child in children[k]:
-                last = kept[-1] if kept else None
-                same = last is not None and not children[child] and not children[last] and levels[last] == levels[child] and paths[last][: levels[last] - 1] == paths[child][: levels[child] - 1]
-                if same and size[last] + size[child] <= limit:
-                    groups[last] += groups.pop(child)
-                    size[last] += size[child]
-                else:
-                    kept.append(child)
-            children[k] = kept
-            if k >= 0 and len(kept) == 1 and not children[kept[0]] and size[k] + size[kept[0]] <= limit:
-                groups[k] += groups.pop(kept[0])
-                size[k] += size[kept[0]]
-                children[k] = []
-        out = []
-        for place, (k, members) in enumerate(sorted(groups.items())):
-            some = rows.iloc[members]
-            out.append((rows["doc_id"][0], place, rows["level"][k], rows["path"][k], "\n\n".join(some["content"]), size[k], bool(some["is_table"].any()), some["position"].tolist(), len(members)))
-        return pd.DataFrame(out, columns=["doc_id", "position", "level", "path", "content", "length", "is_table", "merged_from", "merge_count"])
-
-    return leveled.groupBy("doc_id").applyInPandas(run, _MERGED.format(kind=parts.schema["doc_id"].dataType.simpleString()))
+
+    @F.arrow_udf("array<array<int>>")
+    def merged(levels: pa.Array, paths: pa.Array, lengths: pa.Array) -> pa.Array:
+        documents = zip(levels.to_pylist(), paths.to_pylist(), lengths.to_pylist(), strict=True)
+        return pa.array([_groups(*document, limit) for document in documents], pa.list_(pa.list_(pa.int32())))
+
+    bound_batches(parts.sparkSession)
+    row = F.struct("position", "level", "path", "content", "length", "is_table", effective_level(F.col("content"), F.col("level")).alias("_level"))
+    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    grouped = listed.withColumn("_groups", merged("_rows._level", "_rows.path", "_rows.length"))
+
+    def one(members: Column) -> Column:
+        of = lambda field: F.transform(members, lambda k: F.get("_rows", k)[field])
+        first = F.get("_rows", F.get(members, F.lit(0)))
+        return F.struct(
+            first["level"].alias("level"), first["path"].alias("path"), F.array_join(of("content"), "\n\n").alias("content"), F.aggregate(of("length"), F.lit(0), lambda n, x: n + x).alias("length"),
+            F.exists(of("is_table"), lambda x: x).alias("is_table"), of("position").alias("merged_from"), F.size(members).alias("merge_count"),
+        )
+
+    return grouped.select("doc_id", F.posexplode(F.transform("_groups", one)).alias("position", "_m")).select("doc_id", "position", "_m.*")
 
 
 def split_oversized(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -564,7 +574,8 @@ def split_oversized(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     long = F.col("length").cast("int") > limit
     whole = parts.where(~long | F.col("is_table")).withColumns({"split_from": F.lit(None).cast("int"), "part": F.lit(None).cast("string"), "original_length": F.lit(None).cast("int"), "_part": F.lit(0)})
     cut = parts.where(long & ~F.col("is_table")).withColumn("_texts", F.filter(F.transform(long_parts(F.col("content"), limit), strip), lambda x: x != ""))
-    out = cut.select("*", F.posexplode("_texts").alias("_k", "_text")).withColumns({"split_from": F.col("position"), "part": F.concat_ws("/", (F.col("_k") + 1).cast("string"), F.size("_texts").cast("string")), "original_length": F.col("length"), "_part": F.col("_k")})
+    # By the outer form, as a filter on what is exploded would cut all texts a second time.
+    out = cut.select("*", F.posexplode_outer("_texts").alias("_k", "_text")).where("_text is not null").withColumns({"split_from": F.col("position"), "part": F.concat_ws("/", (F.col("_k") + 1).cast("string"), F.size("_texts").cast("string")), "original_length": F.col("length"), "_part": F.col("_k")})
     out = out.withColumn("content", F.col("_text")).withColumn("length", token_count(F.col("content")))
     out = whole.unionByName(out.select(*whole.columns))
     place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "_part")) - 1).cast("int")

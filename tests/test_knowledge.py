@@ -73,6 +73,16 @@ def test_sections_keep_headings_and_merge_bottom_up(spark):
     assert "".join(MARKDOWN.split()) == "".join("".join(r["chunk_text"] for r in final).split())
 
 
+def test_merging_takes_documents_of_one_batch_apart(spark):
+    texts = [MARKDOWN, "only text", "# A\n" + "".join(f"## {k}\nwords of {k}\n" for k in range(500)), "# A\ntext\n# B\ntext"]
+    alone = [[tuple(r)[1:] for r in c.merge_sections(c.headed_sections(docs(spark, x)), 60).orderBy("position").collect()] for x in texts]
+    rows = c.merge_sections(c.headed_sections(docs(spark, *texts).coalesce(1)), 60).orderBy("doc_id", "position").collect()
+    assert [[tuple(r)[1:] for r in rows if r["doc_id"] == k] for k in range(4)] == alone
+    large = [r for r in rows if r["doc_id"] == 2]
+    assert [r["position"] for r in large] == list(range(len(large))) and [n for r in large for n in r["merged_from"]] == list(range(500))
+    assert all(r["length"] <= 60 and r["merge_count"] == len(r["merged_from"]) == r["content"].count("## ") and not r["is_table"] for r in large)
+
+
 def test_splits_in_and_after_a_table_of_contents(spark):
     text = "Contents\n[One][1](a)\n[Two\nlines](b)\n\n\n\nText begins.\n# Head\nlast"
     got = {r["line_no"]: (r["kind"], r["priority"]) for r in c.split_points(docs(spark, text)).collect()}

@@ -1,5 +1,7 @@
 """Text functions on small cases."""
 
+import time
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -115,6 +117,15 @@ def test_split_long_loses_nothing(spark):
         assert k == 2 or all(len(p) // 4 <= 60 for p in parts)
 
 
+def test_tables_with_long_rows_are_found_in_time(spark):
+    """Places of marks come from what stands between them, not from a look at each character of a row."""
+    row = "| " + "w" * 200_000 + " | \u00e9\U0001f600 |"
+    texts = {f"{row}\n{row}\n{row}": True, f"{row}\n{'|' * 3}\nx | y": False, "a | b\nc | d\ne | f": True, "a | b\nccc | d\n\n|e": False, "| a |\n|-|": True, "||\n||\n||": True, "+--+\n+==+": True, "|": False, "": False}
+    started = time.time()
+    rows = spark.createDataFrame([*texts.items(), (None, False)], "x string, found boolean").select("found", t.is_table(F.col("x")).alias("got")).collect()
+    assert all(r["got"] == r["found"] for r in rows) and time.time() - started < 20
+
+
 def test_kilobytes_are_rounded_as_python_does(spark):
     sizes = [153.6, 256.0, 768.0, 51.2, 358.4, 0.0, -153.6, 1234567.89, 1.0e9, 1023.99, *[k * 25.6 for k in range(200)]]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(sizes)], "k int, x double").select("k", t.kilobytes(F.col("x")).alias("s")).collect()
